@@ -1,0 +1 @@
+"""Incremental ingest as a file-source stream; batch results stay the same."""
