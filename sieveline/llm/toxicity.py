@@ -18,10 +18,10 @@ from .calibrate import Isotonic
 from .common import in_training_fold, labelled_sample
 
 #: The bound of what is learned from: labelled rows of each label, and bytes of their texts.
-SAMPLE_ROWS, SAMPLE_BYTES = 5000, 14 << 20
+SAMPLE_ROWS, SAMPLE_BYTES = 5000, 8 << 20
 #: Lexicon entries are words and beginnings of words of these lengths.
 STEM_LENGTHS = range(3, 9)
-LEXICON_SIZE, MIN_TOXIC_DOCS = 400, 6
+LEXICON_SIZE, MIN_TOXIC_DOCS = 400, 4
 NEAR_WORDS = 5
 CACHE_WORDS = 200_000
 THRESHOLD = 0.7
@@ -44,28 +44,32 @@ def _stems(word: str) -> list[str]:
 
 def learn_lexicon(texts: list[str], y: list[int]) -> dict[str, float]:
     """Entries by log odds of their document frequencies in toxic and other texts, the most telling first; an entry that a longer or shorter one explains as well is left out."""
-    seen = (Counter(), Counter())
     n = Counter(y)
+
+    def keys(text: str) -> set[str]:
+        return {k for w in {_EDGE.sub("", x) for x in text.lower().split()} if w for k in _stems(w)}
+
+    # keys of toxic texts first; of the other texts only those that are left are counted
+    seen: Counter = Counter()
+    for text, k in zip(texts, y):
+        if k == 1:
+            seen.update(keys(text))
+            if len(seen) > 1_000_000:
+                seen = Counter({key: c for key, c in seen.items() if c > 1})
+    seen = Counter({key: c for key, c in seen.items() if c >= MIN_TOXIC_DOCS})
+    other: Counter = Counter()
     for text, k in zip(texts, y):
-        keys = set()
-        for w in {_EDGE.sub("", x) for x in text.lower().split()}:
-            if w:
-                keys.update(_stems(w))
-        seen[k].update(keys)
-        if len(seen[0]) > 3_000_000:  # the sample's bound keeps this from growing on; rare entries go first
-            for s in seen:
-                for key in [x for x, c in s.items() if c == 1]:
-                    del s[key]
+        if k == 0:
+            other.update(keys(text) & seen.keys())
     scored = []
-    for key, c in seen[1].items():
-        if c >= MIN_TOXIC_DOCS:
-            d = seen[0].get(key, 0)
-            odds = math.log((c + 0.5) / (n[1] + 1)) - math.log((d + 0.5) / (n[0] + 1))
-            if odds >= 1.5:
-                scored.append(((c / n[1] - d / max(1, n[0])) * odds, key, odds, c, d))
+    for key, c in seen.items():
+        d = other.get(key, 0)
+        odds = math.log((c + 0.5) / (n[1] + 1)) - math.log((d + 0.5) / (n[0] + 1))
+        if odds >= 1.5:
+            scored.append(((c / n[1] - d / max(1, n[0])) * odds, key, odds))
     scored.sort(key=lambda x: (-x[0], len(x[1]), x[1]))
     out: dict[str, float] = {}
-    for _, key, odds, _, _ in scored:
+    for _, key, odds in scored:
         stem = key.rstrip("-")
         if not any(stem.startswith(k[:-1]) for k in out if k.endswith("-")):
             out[key] = odds
@@ -213,28 +217,35 @@ class ToxicityModel:
         return self.scale(self.trees.raw(np.array([maker(t) for t in texts])))
 
 
-def fit(sample: list[tuple[str, int]], counts: dict[int, int]) -> ToxicityModel:
-    """The lexicon from one third of the sample, the trees from the next, the calibration from the last, weighted to the labels' real shares."""
+def fit(sample: list[tuple[str, int]], counts: dict[int, int], folds: int = 3) -> ToxicityModel:
+    """The model from all of the sample, each part learned as it will be used.
+
+    Features of a fold come from the lexicon of the other folds, so the trees see how far an entry carries beyond the
+    texts that it was found in; the calibration sees each fold's scores by trees of the others. The lexicon and trees
+    of the model are then those of the whole sample. Weights restore the labels' real shares.
+    """
     sample = list(sample)
     random.Random(6).shuffle(sample)
-    parts = [sample[k::3] for k in range(3)]
-    lexicon = learn_lexicon([t for t, _ in parts[0]], [y for _, y in parts[0]])
-    maker = FeatureMaker(lexicon)
-
-    def data(part: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x = np.array([maker(t) for t, _ in part]).reshape(len(part), len(FEATURES))
-        y = np.array([k for _, k in part], float)
-        n = {k: max(1, int((y == k).sum())) for k in (0, 1)}
-        w = np.array([counts.get(int(k), 1) / n[int(k)] for k in y])
-        return x, y, w / w.mean() if len(w) else w
-
-    x, y, w = data(parts[1])
-    trees = BoostedTrees()
-    if len(set(y.tolist())) == 2:
-        trees.fit(x, y, w)
-    x, y, w = data(parts[2])
+    texts, labels = [t for t, _ in sample], [y for _, y in sample]
+    y = np.array(labels, float)
     rate = counts.get(1, 0) / max(1, sum(counts.values()))
-    return ToxicityModel(lexicon, trees, Isotonic(trees.raw(x), y, w, rate))
+    if len(set(labels)) < 2:
+        return ToxicityModel({}, BoostedTrees(), Isotonic(np.empty(0), np.empty(0), prior=rate))
+    fold = np.arange(len(sample)) % folds
+    share = {k: counts.get(k, 1) / labels.count(k) for k in (0, 1)}
+    w = np.array([share[k] for k in labels])
+    w /= w.mean()
+    x = np.zeros((len(sample), len(FEATURES)))
+    for k in range(folds):
+        rest = np.flatnonzero(fold != k).tolist()
+        maker = FeatureMaker(learn_lexicon([texts[i] for i in rest], [labels[i] for i in rest]))
+        for i in np.flatnonzero(fold == k).tolist():
+            x[i] = maker(texts[i])
+    raw = np.zeros(len(sample))
+    for k in range(folds):
+        own = fold == k
+        raw[own] = BoostedTrees().fit(x[~own], y[~own], w[~own]).raw(x[own])
+    return ToxicityModel(learn_lexicon(texts, labels), BoostedTrees().fit(x, y, w), Isotonic(raw, y, w, rate))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
