@@ -1,0 +1,100 @@
+"""Control-plane state of a data folder in one SQLite file: snapshots, files, runs, artifacts, row errors.
+
+Only metadata of files goes through here; rows never do.
+"""
+
+from __future__ import annotations
+
+import sqlite3
+import uuid
+from contextlib import contextmanager
+from datetime import datetime, timezone
+from pathlib import Path
+
+_TABLES = """
+CREATE TABLE IF NOT EXISTS snapshots (snapshot_id TEXT PRIMARY KEY, raw_root TEXT, source_family TEXT, snapshot_date TEXT, label TEXT, registered_at TEXT);
+CREATE TABLE IF NOT EXISTS files (file_id TEXT PRIMARY KEY, snapshot_id TEXT, collector_name TEXT, relative_path TEXT, content_sha256 TEXT, size_bytes INTEGER,
+  config TEXT, parse_status TEXT DEFAULT 'pending', parsed_rows INTEGER DEFAULT 0, quarantined_rows INTEGER DEFAULT 0, UNIQUE (snapshot_id, collector_name, relative_path));
+CREATE TABLE IF NOT EXISTS runs (run_id TEXT PRIMARY KEY, snapshot_id TEXT, stage TEXT, collector_name TEXT, status TEXT, started_at TEXT, ended_at TEXT);
+CREATE TABLE IF NOT EXISTS artifacts (snapshot_id TEXT, kind TEXT, relative_path TEXT, row_count INTEGER, PRIMARY KEY (snapshot_id, kind, relative_path));
+CREATE TABLE IF NOT EXISTS row_errors (file_id TEXT, error_code TEXT, n INTEGER, PRIMARY KEY (file_id, error_code));
+"""
+
+
+def now() -> str:
+    return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+class Store:
+    def __init__(self, path: str | Path):
+        self.path = Path(path)
+        self.path.parent.mkdir(parents=True, exist_ok=True)
+        with self._open() as db:
+            db.executescript(_TABLES)
+
+    @contextmanager
+    def _open(self):
+        db = sqlite3.connect(self.path)
+        db.row_factory = sqlite3.Row
+        try:
+            with db:
+                yield db
+        finally:
+            db.close()
+
+    def _rows(self, sql: str, *args) -> list[dict]:
+        with self._open() as db:
+            return [dict(r) for r in db.execute(sql, args)]
+
+    def snapshot(self, snapshot_id: str) -> dict | None:
+        return next(iter(self._rows("SELECT * FROM snapshots WHERE snapshot_id = ?", snapshot_id)), None)
+
+    def files(self, snapshot_id: str, collector: str | None = None) -> list[dict]:
+        return self._rows("SELECT * FROM files WHERE snapshot_id = ? AND (? IS NULL OR collector_name = ?) ORDER BY collector_name, relative_path", snapshot_id, collector, collector)
+
+    def register(self, snapshot: dict, files: list[dict]) -> None:
+        """Insert once; a second registration must name the same root, family, date and files."""
+        have = self.snapshot(snapshot["snapshot_id"])
+        if have:
+            for k in ("raw_root", "source_family", "snapshot_date"):
+                if have[k] != snapshot[k]:
+                    raise ValueError(f"snapshot {snapshot['snapshot_id']} is registered with another {k}")
+            key = lambda rows: sorted((r["collector_name"], r["relative_path"], r["content_sha256"]) for r in rows)
+            if key(self.files(snapshot["snapshot_id"])) != key(files):
+                raise ValueError(f"snapshot {snapshot['snapshot_id']} is registered with other files")
+            return
+        with self._open() as db:
+            db.execute("INSERT INTO snapshots VALUES (:snapshot_id, :raw_root, :source_family, :snapshot_date, :label, :registered_at)", snapshot | {"registered_at": now()})
+            db.executemany("INSERT INTO files (file_id, snapshot_id, collector_name, relative_path, content_sha256, size_bytes) VALUES (:file_id, :snapshot_id, :collector_name, :relative_path, :content_sha256, :size_bytes)", files)
+
+    def start_run(self, snapshot_id: str, stage: str, collector: str = "") -> str:
+        run = uuid.uuid4().hex
+        with self._open() as db:
+            db.execute("INSERT INTO runs VALUES (?, ?, ?, ?, 'running', ?, NULL)", (run, snapshot_id, stage, collector, now()))
+        return run
+
+    def finish_run(self, run: str, status: str) -> None:
+        with self._open() as db:
+            db.execute("UPDATE runs SET status = ?, ended_at = ? WHERE run_id = ?", (status, now(), run))
+
+    def parsed(self, file_id: str, config: str, parsed: int, errors: dict[str, int]) -> None:
+        """A file's result and its error counts, replaced together."""
+        with self._open() as db:
+            db.execute("UPDATE files SET parse_status = 'success', config = ?, parsed_rows = ?, quarantined_rows = ? WHERE file_id = ?", (config, parsed, sum(errors.values()), file_id))
+            db.execute("DELETE FROM row_errors WHERE file_id = ?", (file_id,))
+            db.executemany("INSERT INTO row_errors VALUES (?, ?, ?)", [(file_id, k, n) for k, n in errors.items()])
+
+    def error_counts(self, snapshot_id: str) -> list[dict]:
+        return self._rows("SELECT collector_name, error_code, SUM(n) AS n FROM row_errors JOIN files USING (file_id) WHERE snapshot_id = ? GROUP BY 1, 2 ORDER BY 1, 2", snapshot_id)
+
+    def put_artifact(self, snapshot_id: str, kind: str, path: str, rows: int) -> None:
+        with self._open() as db:
+            db.execute("INSERT INTO artifacts VALUES (?, ?, ?, ?) ON CONFLICT DO UPDATE SET row_count = excluded.row_count", (snapshot_id, kind, path, rows))
+
+    def replace_artifacts(self, snapshot_id: str, kind: str, rows: dict[str, int]) -> None:
+        with self._open() as db:
+            db.execute("DELETE FROM artifacts WHERE snapshot_id = ? AND kind = ?", (snapshot_id, kind))
+            db.executemany("INSERT INTO artifacts VALUES (?, ?, ?, ?)", [(snapshot_id, kind, p, n) for p, n in rows.items()])
+
+    def artifacts(self, snapshot_id: str, kind: str | None = None) -> list[dict]:
+        return self._rows("SELECT * FROM artifacts WHERE snapshot_id = ? AND (? IS NULL OR kind = ?) ORDER BY kind, relative_path", snapshot_id, kind, kind)
