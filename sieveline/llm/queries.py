@@ -68,4 +68,12 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_shards, op3_quality, op4_simhash, op5_suffix_dedup, op6_toxicity, op7_warc, op8_quality_rules, op9_tokens, op10_mix)}
-ORACLE_SQL: dict[str, str] = {}
+#: Fingerprints, learned models, tokenizer ids and seeded orders are beyond SQL; their tests use brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op7_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+copies AS (SELECT h, max(page_id) AS top FROM p WHERE strlen(h) >= 1000 GROUP BY h)
+SELECT p.page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes, sha1(p.h) AS payload_digest,
+  CASE WHEN top <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN top <> p.page_id THEN top END AS refers_to
+FROM p LEFT JOIN copies USING (h)"""
+}
