@@ -37,8 +37,9 @@ def _let(value: Column, body) -> Column:
 def repeated_words(words: Column) -> Column:
     """Words inside 5-word windows that occur twice or more in the array, the first occurrence included.
 
-    Windows are compared by 64-bit hash: hashes are sorted with their positions, neighbours with equal hashes mark
-    their positions, and each marked position adds the words up to the next marked one, 5 at most.
+    Windows are compared by 64-bit hashes of their words' hashes. If any repeats, hashes are sorted with their
+    positions, neighbours with equal hashes mark their positions, and each marked position adds the words up to the
+    next marked one, 5 at most.
     """
 
     def positions(hashed: Column) -> Column:
@@ -59,9 +60,11 @@ def repeated_words(words: Column) -> Column:
         )
 
     def of(w: Column) -> Column:
-        hashed = F.array_sort(F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.struct(F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]).alias("h"), i.alias("i"))))
-        # without a repeated hash, which a hash set tells fast, there is nothing to sort
-        return F.when(F.size(w) <= WINDOW, F.lit(0)).otherwise(_let(hashed, lambda s: _let(positions(s), covered)))
+        windows = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))
+        ordered = lambda x: F.array_sort(F.transform(x, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        # where all windows differ, which a hash set tells fast, there is nothing to sort
+        repeated = lambda x: F.when(F.size(F.array_distinct(x)) == F.size(x), F.lit(0)).otherwise(_let(ordered(x), lambda s: _let(positions(s), covered)))
+        return F.when(F.size(w) <= WINDOW, F.lit(0)).otherwise(_let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: _let(windows(h), repeated)))
 
     return of(words).cast("long")
 
