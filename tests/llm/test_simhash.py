@@ -71,10 +71,25 @@ def test_links_of_dense_and_sparse_fingerprints(spark):
     df = spark.createDataFrame([(s,) for s in signed], "fp long")
     want = brute_components(signed, fps)
     for n, block in ((len(fps), 8192), (len(fps), 16), (1 << 22, 64), (1 << 29, 64), (1 << 40, 64)):
-        roots = {r.node: r.root for r in connected_components(S.fingerprint_links(df, n, block)).collect()}
+        roots = {r.node: r.root for r in connected_components(S.fingerprint_links(df, n, block), task_links=block).collect()}
         assert [roots.get(s, s) for s in signed] == want, (n, block)
 
 
+def test_components_of_paths_stars_and_loops(spark):
+    rng = random.Random(6)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(300, i) for i in range(301, 330)] + [(7, 7), (5, None)] + [(rng.randrange(400, 460), rng.randrange(400, 460)) for _ in range(40)]
+    nodes = sorted({x for e in edges if None not in e for x in e})
+    root = {n: n for n in nodes}
+    for _ in nodes:
+        for a, b in edges:
+            if b is not None:
+                root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame(edges + edges[:5], "a long, b long")
+    for task_links in (0, 10**6):
+        got = {r.node: r.root for r in connected_components(df, task_links=task_links).collect()}
+        assert {n: got.get(n, n) for n in nodes} == root
+
+
 def test_every_close_pair_shares_a_key_and_passes_the_ring():
     rng = random.Random(5)
     for chain in (2, 3, 4, 5):
