@@ -8,6 +8,7 @@ trailer: u64 blocks, u64 documents, u64 ids, u64 offset of the footer, magic "BT
 
 from __future__ import annotations
 
+import functools
 import struct
 import unicodedata
 import zlib
@@ -27,8 +28,8 @@ from .common import fresh_dir
 MAGIC, END, VERSION = b"SLTB", b"BTLS", 1
 BLOCK_IDS = 1 << 16
 END_ID = 1
-#: Entries of a task's word cache; it is emptied when full.
-CACHE_WORDS = 400_000
+#: Entries of a Python worker's word cache; it is emptied when full.
+CACHE_WORDS = 900_000
 #: Bytes of text that one part of the output is made from, about.
 PART_BYTES = 32 << 20
 
@@ -190,6 +191,12 @@ class WordCachedEncoder:
         return b"".join([x if (x := get(w)) is not None else make(w) for w in text.split()])
 
 
+@functools.lru_cache(maxsize=2)
+def encoder_for(path: str) -> WordCachedEncoder:
+    """One encoder for a tokenizer in each Python worker, so that its word cache outlives a task."""
+    return WordCachedEncoder(path)
+
+
 def _byte_alphabet() -> dict[int, str]:
     """The printable character that byte-level vocabularies use for each byte: printable ones stand for themselves, the others follow from 256 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -215,7 +222,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
-        encoder = WordCachedEncoder(tokenizer)
+        encoder = encoder_for(tokenizer)
         bits = bits_for(max(encoder.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1))
         files, root = _files(path)
         files.create_dir(root, recursive=True)
