@@ -97,14 +97,13 @@ def placed_documents(docs: DataFrame, id_col: str, text_col: str, source_col: st
     range, so that no task holds a source. keep: with the whole input row as the struct `row`.
     """
     text, source = F.col(text_col), F.col(source_col).cast("string")
-    rows = docs.select(
-        *([F.struct(*docs.columns).alias("row")] if keep else []),
+    own = [
         F.col(id_col).alias("id"),
         word_count(text).alias("size"),
         F.xxhash64(F.lit(seed), F.col(id_col), F.crc32(F.coalesce(text, F.lit("")).cast("binary"))).alias("h"),
         F.struct(source.isNull().alias("none"), F.coalesce(source, F.lit("")).alias("name")).alias("src"),
-    )
-    rows = materialize(rows, "mix-rows")
+    ]
+    rows = materialize(docs.select(*own), "mix-rows")
     per = rows.groupBy("src").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()  # one row for each source
     plan = plan_mix([(None if r.src.none else r.src.name, r.words) for r in per], block)
     pieces = max(16, -(-max((r.n for r in per), default=0) // PIECE_ROWS))
@@ -112,11 +111,14 @@ def placed_documents(docs: DataFrame, id_col: str, text_col: str, source_col: st
         [((p["source"] is None, p["source"] or ""), p["source_size"], p["target"], min(p["blocks"] * block, CAP * p["source_size"])) for p in plan],
         "src struct<none: boolean, name: string>, source_size long, target double, words long",
     )
-    rows = rows.withColumn("piece", F.pmod(F.shiftrightunsigned("h", 20), F.lit(pieces)).cast("int"))
+    piece = F.pmod(F.shiftrightunsigned("h", 20), F.lit(pieces)).cast("int").alias("piece")
+    rows = rows.select("*", piece)
     sums = rows.groupBy("src", "piece").agg(F.sum("size").alias("own"))
     before = sums.select("src", "piece", (F.sum("own").over(Window.partitionBy("src").orderBy("piece")) - F.col("own")).alias("before"))
     before = before.join(table, "src")
     within = Window.partitionBy("src", "piece").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    if keep:  # sizes are counted again, so that no text is written
+        rows = docs.select(F.struct(*docs.columns).alias("row"), *own).select("*", piece)
     placed = rows.withColumn("run", F.sum("size").over(within)).join(before, ["src", "piece"])
     # the run of blocks begins at a seeded block and goes round; whole rounds come first
     s = F.greatest("source_size", F.lit(1))

@@ -221,24 +221,38 @@ def learn_rules(
     return rules
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> tuple[DataFrame, list[Rule]]:
-    """(doc_id, statistics, base_failed, rule, kept) for each row of docs, and the learned rules; keep: with the struct `row`.
+def learn_from(stats: DataFrame, labels: DataFrame) -> list[Rule]:
+    """Rules from statistics(doc_id, ...) of documents that pass the base checks and the labels of the training fold."""
+    y = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & in_training_fold(F.col("doc_id")))
+    y = y.groupBy(F.col("doc_id").alias("key")).agg(F.min("quality").alias("quality"))
+    train = stats.where(~base_failed()).select(F.col("doc_id").alias("key"), *STATISTICS)
+    return learn_rules(train.join(y, "key").withColumn("bad", (F.col("quality") == 0).cast("int")))
+
+
+def with_verdict(stats: DataFrame, rules: list[Rule]) -> DataFrame:
+    judged = stats.withColumn("base_failed", base_failed()).withColumn("rule", decision_list(rules))
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+
+
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[Rule]]:
+    """(doc_id, statistics, base_failed, rule, kept) for each row of docs, and the learned rules.
 
     Statistics are written once to the shared folder. Labels are learned only from rows of the training fold; a row
     is kept if it neither fails the base checks nor meets a learned rule. Null and empty texts have no words and so
     fail the base checks. Null ids are judged like any but teach nothing. Repeated rows are judged alike; an empty
     table gives no rows; other columns, whatever their names, have no effect.
     """
-    stats = materialize(with_statistics(docs, id_col, text_col, keep), "rule-statistics")
-    y = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & in_training_fold(F.col("doc_id")))
-    y = y.groupBy(F.col("doc_id").alias("key")).agg(F.min("quality").alias("quality"))
-    train = stats.where(~base_failed()).select(F.col("doc_id").alias("key"), *STATISTICS)
-    rules = learn_rules(train.join(y, "key").withColumn("bad", (F.col("quality") == 0).cast("int")))
-    judged = stats.withColumn("base_failed", base_failed()).withColumn("rule", decision_list(rules))
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0)), rules
+    stats = materialize(with_statistics(docs, id_col, text_col), "rule-statistics")
+    rules = learn_from(stats, labels)
+    return with_verdict(stats, rules), rules
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that the rules keep, with the columns of docs."""
-    judged, _ = judge(docs, labels, id_col, text_col, keep=True)
-    return judged.where("kept").select("row.*")
+    """The rows of docs that the rules keep, with the columns of docs; judged as by judge().
+
+    Only the training fold's statistics are written; the verdict then streams over docs, so no text is stored or
+    shuffled.
+    """
+    train = docs.where(in_training_fold(F.col(id_col)))
+    rules = learn_from(materialize(with_statistics(train, id_col, text_col), "rule-statistics"), labels)
+    return with_verdict(with_statistics(docs, id_col, text_col, keep=True), rules).where("kept").select("row.*")

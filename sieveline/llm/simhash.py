@@ -206,9 +206,15 @@ def fingerprint_components(rows: DataFrame) -> DataFrame:
 
 
 def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stand for their near-duplicate components: the smallest id, one row of it."""
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    marked = materialize(with_fingerprint(packed).drop("text"), "fingerprinted")
-    comps = fingerprint_components(marked.select("doc_id", "fp")).select("fp", "root", "component_id")
-    kept = marked.join(comps, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return kept.dropDuplicates(["doc_id", "root"]).select("row.*")
+    """The rows of docs that stand for their near-duplicate components: the smallest id, one row of it.
+
+    Decisions are made on ids and hashes; the texts are shuffled once, to meet the decisions.
+    """
+    key = lambda df: df.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    small = materialize(with_fingerprint(key(docs)).select("doc_id", "h", "fp"), "fingerprints")
+    comps = fingerprint_components(small.select("doc_id", "fp")).select("fp", "root", "component_id")
+    first = small.join(comps, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id").agg(F.min("h").alias("h"))
+    first = first.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("h"))
+    kept = packed.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "h"]).select("row.*")
