@@ -50,12 +50,12 @@ def _line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("l_returnflag") == "R", "retraction").when(F.col("l_returnflag") == "A", "expression_of_concern").otherwise("major_correction")
-    return _line(spark, sf_dir).where("l_linenumber <= 2").select("doi", kind.alias("notice_type"), F.col("day").alias("notice_date"), "source_name", "source_url", "ord")
+    return _line(spark, sf_dir).where("l_linenumber <= 3").select("doi", kind.alias("notice_type"), F.col("day").alias("notice_date"), "source_name", "source_url", "ord")
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag = F.when(F.col("l_linestatus") == "O", "community_flag").when(F.col("l_returnflag") == "R", "image_issue").otherwise("tortured_phrase")
-    return _line(spark, sf_dir).where("l_linenumber = 3").select("doi", tag.alias("tag"), F.col("day").alias("signal_date"), "source_name", "source_url", "ord")
+    return _line(spark, sf_dir).where("l_linenumber > 3").select("doi", tag.alias("tag"), F.col("day").alias("signal_date"), "source_name", "source_url", "ord")
 
 
 # The same in SQL, stated apart from the Column code above.
@@ -80,10 +80,10 @@ line AS (
     l_linenumber, l_returnflag, l_linestatus FROM lineitem),
 notices AS (
   SELECT doi, CASE l_returnflag WHEN 'R' THEN 'retraction' WHEN 'A' THEN 'expression_of_concern' ELSE 'major_correction' END AS notice_type,
-    day AS notice_date, source_name, source_url, ord FROM line WHERE l_linenumber <= 2),
+    day AS notice_date, source_name, source_url, ord FROM line WHERE l_linenumber <= 3),
 signals AS (
   SELECT doi, CASE WHEN l_linestatus = 'O' THEN 'community_flag' WHEN l_returnflag = 'R' THEN 'image_issue' ELSE 'tortured_phrase' END AS tag,
-    day AS signal_date, source_name, source_url, ord FROM line WHERE l_linenumber = 3),
+    day AS signal_date, source_name, source_url, ord FROM line WHERE l_linenumber > 3),
 known AS (
   SELECT doi, 0 AS kind, notice_type AS label, notice_date AS d, source_name, source_url, ord FROM notices WHERE notice_date <= DATE '{SNAPSHOT}'
   UNION ALL
