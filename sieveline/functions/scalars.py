@@ -73,8 +73,10 @@ def restore_abstract(c: Column) -> Column:
     entries = F.map_entries(c)
     placed = F.flatten(F.transform(entries, lambda e, i: F.transform(e["value"], lambda p: F.struct(p.alias("p"), (-i).alias("i"), e["key"].alias("w")))))
     ordered = F.array_sort(placed)
-    kept = F.filter(ordered, lambda x, i: (i == 0) | (F.get(ordered, i - 1)["p"] != x["p"]))
-    return F.coalesce(F.array_join(F.transform(kept, lambda x: x["w"]), " "), F.lit(""))
+    # beside each entry the one before it; a lambda that reads `ordered` itself would sort once for each entry
+    before = F.concat(F.slice(F.transform(ordered, lambda x: F.lit(None).cast("int")), 1, 1), F.transform(ordered, lambda x: x["p"].cast("int")))
+    pairs = F.zip_with(ordered, before, lambda x, b: F.struct(x["w"].alias("w"), (x.isNotNull() & ~x["p"].eqNullSafe(b)).alias("first")))
+    return F.coalesce(F.array_join(F.transform(F.filter(pairs, lambda x: x["first"]), lambda x: x["w"]), " "), F.lit(""))
 
 
 def sigmoid(x: Column) -> Column:

@@ -93,11 +93,11 @@ def add_months(spark, d):
 
 @query(
     "inverted_abstract",
-    "SELECT doc_id, coalesce(array_to_string(string_split(regexp_replace(trim(text), '\\s+', ' ', 'g'), ' '), ' '), '') AS abstract FROM documents WHERE n_chars < 3000 AND text NOT SIMILAR TO '\\s*'",
+    "SELECT doc_id, coalesce(array_to_string(string_split(regexp_replace(trim(text), '\\s+', ' ', 'g'), ' '), ' '), '') AS abstract FROM documents",
 )
 def inverted_abstract(spark, d):
-    docs = read(spark, d, "documents").where("n_chars < 3000").where(~F.col("text").rlike(r"^\s*$"))
-    words = docs.select("doc_id", F.posexplode(F.split(F.regexp_replace(F.trim("text"), r"\s+", " "), " ")).alias("p", "w"))
+    docs = read(spark, d, "documents")
+    words = docs.select("doc_id", F.posexplode(F.split(F.regexp_replace(F.trim(F.coalesce("text", F.lit(""))), r"\s+", " "), " ")).alias("p", "w"))
     inverted = words.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("m"))
     return inverted.select("doc_id", S.restore_abstract(F.col("m")).alias("abstract"))
 
