@@ -110,11 +110,11 @@ def json_extract(spark, d):
 _RELATED = "json_object('relation', json_object('is-retraction-of', json_array(json_object('id', '10.1/' || event_id))), 'created', '2024-01-05', 'DOI', '10.9/X' || user_id)"
 
 
-@query("relation_explode", "SELECT event_id, '10.1/' || event_id AS doi, 'retraction' AS notice_type, '2024-01-05' AS notice_date, 'https://doi.org/10.9/x' || user_id AS source_url FROM events WHERE event_id % 2 = 0")
+@query("relation_explode", "SELECT event_id, '10.1/' || event_id AS doi, 'retraction' AS notice_type, '2024-01-05' AS notice_date, 'https://doi.org/10.9/x' || user_id AS source_url FROM events")
 def relation_explode(spark, d):
     e = F.col("event_id").cast("string")
     line = F.concat(F.lit('{"relation": {"is-retraction-of": [{"id": "10.1/'), e, F.lit('"}], "is-cited-by": {"id": "x"}}, "created": {"date-parts": [[2024, 1, 5]]}, "DOI": "10.9/X'), F.col("user_id").cast("string"), F.lit('"}'))
-    lines = read(spark, d, "events").where("event_id % 2 = 0").select(line.alias("line"), F.lit("f").alias("file_id"), F.col("event_id").alias("line_number"), F.lit("s").alias("snapshot_id"))
+    lines = read(spark, d, "events").select(line.alias("line"), F.lit("f").alias("file_id"), F.col("event_id").alias("line_number"), F.lit("s").alias("snapshot_id"))
     n = normalize.normalize_notices(lines).where("kind = 'normalized'")
     return n.select(F.col("line_number").alias("event_id"), "row.doi", "row.notice_type", F.col("row.notice_date").cast("string").alias("notice_date"), "row.source_url")
 
