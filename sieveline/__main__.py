@@ -14,10 +14,12 @@ def main(argv: list[str] | None = None) -> int:
     sub = p.add_subparsers(dest="verb", required=True)
     for verb in ("register-snapshot", "ingest-snapshot", "materialize-canonical", "validate-snapshot", "build-core"):
         s = sub.add_parser(verb)
-        s.add_argument("--snapshot-id", required=True)
+        s.add_argument("--snapshot-id", required=verb != "build-core")
         if verb == "register-snapshot":
             s.add_argument("--raw-root", required=True)
             s.add_argument("--label", default="")
+        if verb == "build-core":
+            s.add_argument("--source-dir", default=None)  # articles, official_notices and external_signals as JSON lines
         if verb == "ingest-snapshot":
             s.add_argument("--collector", required=True)
             s.add_argument("--early-scope", action="store_true")
@@ -30,12 +32,15 @@ def main(argv: list[str] | None = None) -> int:
         if verb == "make-adjudication-set":
             s.add_argument("--sample-size", type=int, default=500)
     a = p.parse_args(argv)
+    if a.verb == "build-core" and not (a.snapshot_id or a.source_dir):
+        p.error("build-core needs --snapshot-id or --source-dir")
 
     from pyspark.sql import SparkSession
 
     from .plans import catalog
     from .plans.workflow import Workflow
     from .schemas import SNAPSHOT_DATE
+    from .sources import files
     from .sources.sinks import summary_payload
 
     if a.verb == "queries":
@@ -54,7 +59,11 @@ def main(argv: list[str] | None = None) -> int:
         out = w.validate(a.snapshot_id)
         code = int(bool(out))
     elif a.verb == "build-core":
-        out = w.build_core(w.canonical(a.snapshot_id, "articles"), w.canonical(a.snapshot_id, "official_notices"), None, day)
+        if a.source_dir:
+            sources = files.source_bundle(w.spark, a.source_dir)
+        else:
+            sources = (w.canonical(a.snapshot_id, "articles"), w.canonical(a.snapshot_id, "official_notices"), w.signals(a.snapshot_id))
+        out = w.build_core(*sources, day)
     elif a.verb == "build-splits":
         out = w.build_splits()
     elif a.verb == "audit-leakage":

@@ -146,6 +146,10 @@ class Workflow:
     def canonical(self, snapshot_id: str, name: str) -> DataFrame:
         return self.spark.read.parquet(self._at("canonical", snapshot_id, name))
 
+    def signals(self, snapshot_id: str) -> DataFrame:
+        """External signals laid beside the canonical tables; none if there is no such file."""
+        return files.source_rows(self.spark, self.root / "canonical" / snapshot_id, "external_signals", SIGNALS)
+
     def validate(self, snapshot_id: str) -> list[tuple[str, str]]:
         """Broken promises of the canonical snapshot, at most 1,000 of them, and counts that differ from the artifacts."""
         day = self.store.snapshot(snapshot_id)["snapshot_date"]

@@ -9,12 +9,15 @@ import re
 import tarfile
 from collections.abc import Iterator
 from datetime import date
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 from pyspark.sql.window import Window
 
+from ..schemas import ARTICLES, NOTICES, SIGNALS
+
 PUBMED_XML = (
     "MedlineCitation struct<PMID: string, Article: struct<Journal: struct<Title: string, ISOAbbreviation: string>, "
     "ELocationID: array<struct<_VALUE: string, _EIdType: string>>, PublicationTypeList: struct<PublicationType: array<string>>>, "
@@ -36,10 +39,28 @@ def numbered_lines(spark: SparkSession, path: str, glob: str | None = None) -> D
     return df.withColumn("line_number", n.cast("long")).where(F.trim("value") != "").select("file", "line_number", F.trim("value").alias("line"))
 
 
-def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def json_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").option("recursiveFileLookup", True).json(path)
 
 
+def source_rows(spark: SparkSession, folder: str | Path, name: str, schema: str) -> DataFrame:
+    """Rows of <name>.jsonl, else of <name>.jsonl.gz, else of the shards <name>/*.jsonl.gz, else none."""
+    at = Path(folder).resolve()
+    for p in (at / f"{name}.jsonl", at / f"{name}.jsonl.gz"):
+        if p.exists():
+            return json_lines(spark, f"file://{p}", schema)
+    shards = sorted(f"file://{p}" for p in (at / name).glob("*.jsonl.gz"))
+    return json_lines(spark, shards, schema) if shards else spark.createDataFrame([], schema)
+
+
+def source_bundle(spark: SparkSession, folder: str | Path) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Articles, official notices and external signals of a source folder; a precision that is not given is a day."""
+    articles = source_rows(spark, folder, "articles", ARTICLES)
+    none = F.array().cast("array<string>")
+    filled = {c: F.coalesce(c, d) for c, d in (("publication_date_precision", F.lit("day")), ("authors", none), ("institutions", none))}
+    return articles.withColumns(filled), source_rows(spark, folder, "official_notices", NOTICES), source_rows(spark, folder, "external_signals", SIGNALS)
+
+
 def csv_rows(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """Header-driven rows of text columns; cells past the header are dropped."""
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("recursiveFileLookup", True)
