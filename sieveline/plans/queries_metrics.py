@@ -161,7 +161,7 @@ def best_run(spark, d):
 
 @query("bootstrap_ci", None)
 def bootstrap_ci(spark, d):
-    return metrics.bootstrap_ci(scored(spark, d), ["lang"], 200)
+    return metrics.bootstrap_ci(scored(spark, d), ["lang"])
 
 
 @query("logistic_gd", None)
