@@ -113,7 +113,7 @@ class FeatureMaker:
             at = np.searchsorted(you, hits)
             gap = np.minimum(np.abs(you[np.minimum(at, len(you) - 1)] - hits), np.abs(you[np.maximum(at - 1, 0)] - hits))
             near = float((gap <= NEAR_WORDS).mean())
-        upper = sum(map(str.isupper, text)) if chars < 2000 else len(text) - len(_UPPER.sub("", text))
+        upper = sum(map(str.isupper, text))
         return [
             100.0 * len(hits) / n,
             math.log1p(len(hits)),
@@ -135,7 +135,6 @@ class FeatureMaker:
         ]
 
 
-_UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]+")
 _CAPS = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{2,}\b")
 _PUNCT = re.compile(r"[!-/:-@\[-`{-~]")
 _DIGIT = re.compile(r"[0-9]")
