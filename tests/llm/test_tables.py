@@ -33,21 +33,95 @@ def test_karmarkar_karp_places_every_item(sizes, ways):
     assert max(sums.values(), default=0) - min(sums.get(k, 0) for k in range(ways)) <= max(sizes, default=0)
 
 
-def test_shards(spark):
-    rows = documents()
-    got = sharding.shard_documents(frame(spark, rows)).collect()
-    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows)
+def brute_differencing(sizes, ways):
+    """The spread that plain differencing of single items leaves: lists of sums, the two widest joined until one is left."""
+    states = [sorted([s] + [0] * (ways - 1)) for s in sizes]
+    while len(states) > 1:
+        states.sort(key=lambda x: x[-1] - x[0])
+        a, b = states.pop(), states.pop()
+        states.append(sorted(x + y for x, y in zip(a, reversed(b))))
+    return states[0][-1] - states[0][0] if states else 0
+
+
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=24), st.integers(1, 5))
+@settings(max_examples=80, deadline=None)
+def test_differencing_is_the_plain_method_up_to_ties(sizes, ways):
+    sums = [0] * ways
+    for s, p in zip(sizes, sharding.karmarkar_karp(sizes, ways)):
+        sums[p] += s
+    distinct = len(set(sizes)) == len(sizes) and ways == 2
+    spread = max(sums) - min(sums)
+    assert spread == brute_differencing(sizes, ways) if distinct else spread <= max(sizes)
+
+
+@given(st.lists(st.lists(st.integers(0, 99), min_size=3, max_size=3), min_size=1, max_size=9))
+@settings(max_examples=60, deadline=None)
+def test_places_of_states_are_permutations_that_give_the_sums(states):
+    totals, places = sharding._anchored([tuple(s) for s in states])
+    assert places[0] == [0, 1, 2] and all(sorted(p) == [0, 1, 2] for p in places)
+    want = [0, 0, 0]
+    for s, p in zip(states, places):
+        for k in range(3):
+            want[p[k]] += s[k]
+    assert totals == want
+
+
+def check_shards(rows, got):
+    size = lambda t: len((t or "").encode()) + 1
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == Counter((r[0], size(r[1]), zlib.crc32((r[1] or "").encode())) for r in rows)
     places = defaultdict(list)
     for r in got:
         places[r["shard"]].append(r["slot"])
     assert all(sorted(s) == list(range(len(s))) for s in places.values()) and set(places) <= set(range(8))
     by_text = defaultdict(set)
+    sums = Counter({k: 0 for k in range(8)})
     for r in got:
         by_text[(r["size"], r.text_crc32)].add(r["shard"])
+        sums[r["shard"]] += r["size"]
     assert all(len(s) == 1 for s in by_text.values())
+    return sums
+
+
+def groups_of(rows):
+    out = Counter()
+    for r in rows:
+        out[r[1] or ""] += len((r[1] or "").encode()) + 1
+    return out
+
+
+def test_shards(spark):
+    rows = documents()
+    sums = check_shards(rows, sharding.shard_documents(frame(spark, rows)).collect())
+    assert max(sums.values()) - min(sums.values()) <= max(groups_of(rows).values())
     assert sharding.shard_documents(frame(spark, [])).count() == 0
 
 
+def test_shards_are_even_through_tasks_and_levels(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [(i, "x" * rng.randrange(1, 400) + str(i), *[None] * 7) for i in range(900)]
+    spread = brute_differencing(list(groups_of(rows).values()), 8)
+    # one task, many tasks, and many tasks whose states are differenced in two further levels
+    for piece_groups, piece_states in ((10**6, 4096), (60, 4096), (40, 3)):
+        sums = check_shards(rows, sharding.shard_documents(frame(spark, rows), big_part=50, piece_groups=piece_groups, piece_states=piece_states).collect())
+        assert max(sums.values()) - min(sums.values()) <= spread + (0 if piece_groups > 900 else 100), (piece_groups, piece_states)
+
+
+def test_a_group_of_a_third_of_all_bytes_has_a_shard_of_its_own(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = [(i, "x" * rng.randrange(1, 400) + str(i), *[None] * 7) for i in range(600)]
+    rows += [(1000 + i, "hot " * 50, *[None] * 7) for i in range(300)] + [(None, "", *[None] * 7) for _ in range(300)]
+    got = sharding.shard_documents(frame(spark, rows), piece_groups=60).collect()
+    sums = check_shards(rows, got)
+    hot = {r["shard"] for r in got if r["size"] == 201 and r.doc_id and r.doc_id >= 1000}
+    assert len(hot) == 1 and sums[hot.copy().pop()] == 300 * 201
+    rest = [v for k, v in sums.items() if k not in hot]
+    assert max(rest) - min(rest) <= 100
+
+
 def test_write_shards_keeps_all_rows(spark, tmp_path):
     rows = documents()
     sharding.write_shards(frame(spark, rows), f"file://{tmp_path}/out")
