@@ -1,10 +1,11 @@
-"""Mixing sources to target weights: Sainte-Lague quotas of equal-token blocks and a seeded run of blocks per source."""
+"""Mixing sources to target weights: Sainte-Lague quotas of equal-token blocks for each shard, then seeded blocks within it."""
 
 from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -15,9 +16,11 @@ SHARE = Fraction(3, 2)
 CAP = 2
 #: Words of a block; a source's taken words differ from its target by about this much at most.
 BLOCK_WORDS = 32
+#: Shards of the mix, each with quotas of its own.
+SHARDS = 8
 SEED = 20240
-#: Documents that one task puts in order within a source.
-PIECE_ROWS = 20_000
+#: Documents that one task puts in order within a source, and the least number of hash ranges of a source.
+PIECE_ROWS, MIN_PIECES = 20_000, 256
 
 
 def targets(sizes: list[int], weights: list[int], total: Fraction, cap: int = CAP) -> list[Fraction]:
@@ -72,11 +75,32 @@ def sainte_lague(votes: list[Fraction], seats: int, caps: list[int]) -> list[int
     return out
 
 
-def plan_mix(sources: list[tuple[str | None, int]], block: int = BLOCK_WORDS, shards: int = 1, weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE) -> list[dict]:
+def shard_edges(blocks: int, shards: int) -> list[int]:
+    """The first block of each shard, and the number of blocks last: runs of blocks as even as can be."""
+    return [blocks * k // shards for k in range(shards + 1)]
+
+
+def _within(quotas: list[int], room: list[int]) -> list[int]:
+    """The quotas with none above its shard's room; what is above goes to the nearest later shard with room, else to earlier ones."""
+    out, over = [], 0
+    for q, r in zip(quotas, room):
+        take = min(q + over, r)
+        over += q - take
+        out.append(take)
+    for k in range(len(out) - 1, -1, -1):
+        take = min(over, room[k] - out[k])
+        out[k] += take
+        over -= take
+    return out
+
+
+def plan_mix(sources: list[tuple[str | None, int]], block: int = BLOCK_WORDS, shards: int = SHARDS, weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE) -> list[dict]:
     """For each source, nulls last and else by code point: size, target, blocks taken in all and in each shard.
 
-    A shard's quotas are the differences of two apportionments, of the blocks up to its end and up to its start; the
-    method never takes a block back as the number grows, so they are never negative.
+    A source's words, in seeded order, are cut into blocks, and runs of blocks are its part of each shard. A shard's
+    quotas are the differences of two apportionments, of the blocks up to its end and up to its start; the method
+    never takes a block back as the number grows, so they are never negative, and rounding does not add up over
+    shards. A quota is at most twice the blocks of its source in the shard; what rounding puts above goes to a neighbour.
     """
     sources = sorted(sources, key=lambda s: (s[0] is None, s[0] or ""))
     sizes = [s[1] for s in sources]
@@ -84,17 +108,22 @@ def plan_mix(sources: list[tuple[str | None, int]], block: int = BLOCK_WORDS, sh
     seats = int(sum(goal) / block + Fraction(1, 2))
     caps = [-(-CAP * s // block) for s in sizes]
     steps = [sainte_lague(goal, seats * k // shards, caps) for k in range(shards + 1)]
-    return [
-        {"source": name, "source_size": size, "target": float(goal[i]), "blocks": steps[-1][i], "shard_blocks": [b[i] - a[i] for a, b in zip(steps, steps[1:])]}
-        for i, (name, size) in enumerate(sources)
-    ]
+    out = []
+    for i, (name, size) in enumerate(sources):
+        edges = shard_edges(-(-size // block), shards)
+        room = [CAP * (b - a) for a, b in zip(edges, edges[1:])]
+        quotas = _within([b[i] - a[i] for a, b in zip(steps, steps[1:])], room)
+        out.append({"source": name, "source_size": size, "target": float(goal[i]), "blocks": sum(quotas), "shard_blocks": quotas})
+    return out
 
 
-def placed_documents(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, block: int, keep: bool = False) -> DataFrame:
-    """Each row with its place among its source's words in seeded order, and how often and where the mix takes it.
+def placed_documents(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, block: int, shards: int, keep: bool = False) -> DataFrame:
+    """Each row with its place [lo, hi) among its source's words in seeded order, and the runs of words that the mix takes of it.
 
-    Places are sums over the earlier hash ranges of the source, from a table of sums, plus a running sum within the
-    range, so that no task holds a source. keep: with the whole input row as the struct `row`.
+    `runs` is an array of (shard, rounds, from, n): the row's words of a shard, taken `rounds` times whole, and
+    n of them, from the row's word `from` on, once more. Places are sums over the earlier hash ranges of the source, from
+    a table of sums, plus a running sum within the range, so that no task holds a source. keep: with the whole
+    input row as the struct `row`.
     """
     text, source = F.col(text_col), F.col(source_col).cast("string")
     own = [
@@ -105,11 +134,11 @@ def placed_documents(docs: DataFrame, id_col: str, text_col: str, source_col: st
     ]
     rows = materialize(docs.select(*own), "mix-rows")
     per = rows.groupBy("src").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()  # one row for each source
-    plan = plan_mix([(None if r.src.none else r.src.name, r.words) for r in per], block)
-    pieces = max(16, -(-max((r.n for r in per), default=0) // PIECE_ROWS))
+    plan = plan_mix([(None if r.src.none else r.src.name, r.words) for r in per], block, shards)
+    pieces = max(MIN_PIECES, -(-max((r.n for r in per), default=0) // PIECE_ROWS))
     table = docs.sparkSession.createDataFrame(
-        [((p["source"] is None, p["source"] or ""), p["source_size"], p["target"], min(p["blocks"] * block, CAP * p["source_size"])) for p in plan],
-        "src struct<none: boolean, name: string>, source_size long, target double, words long",
+        [((p["source"] is None, p["source"] or ""), p["source_size"], p["target"], _shard_rows(p, block, shards, seed)) for p in plan],
+        "src struct<none: boolean, name: string>, source_size long, target double, parts array<struct<lo: long, hi: long, rounds: long, rest: long, first: long>>",
     )
     piece = F.pmod(F.shiftrightunsigned("h", 20), F.lit(pieces)).cast("int").alias("piece")
     rows = rows.select("*", piece)
@@ -120,55 +149,63 @@ def placed_documents(docs: DataFrame, id_col: str, text_col: str, source_col: st
     if keep:  # sizes are counted again, so that no text is written
         rows = docs.select(F.struct(*docs.columns).alias("row"), *own).select("*", piece)
     placed = rows.withColumn("run", F.sum("size").over(within)).join(before, ["src", "piece"])
-    # the run of blocks begins at a seeded block and goes round; whole rounds come first
-    s = F.greatest("source_size", F.lit(1))
-    first = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("src.name")), F.ceil(s / block)) * block
-    placed = placed.select(
-        *placed.columns,
-        (F.col("before") + F.col("run") - F.col("size")).alias("lo"),
-        (F.col("before") + F.col("run")).alias("hi"),
-        F.expr("words div greatest(source_size, 1)").alias("rounds"),
-        F.expr("words % greatest(source_size, 1)").alias("rest"),
-        first.cast("long").alias("first"),
-    )
-    # the part of the row's words in [first, first + rest), and in the same run one round earlier
-    for name, shift in (("late", F.lit(0)), ("early", F.col("source_size"))):
-        a = F.greatest(F.col("lo"), F.col("first") - shift)
-        b = F.least(F.col("hi"), F.col("first") + F.col("rest") - shift)
-        placed = placed.withColumn(f"{name}_from", (a - F.col("lo")).cast("long")).withColumn(name, F.greatest(b - a, F.lit(0)).cast("long"))
-    return placed
+    placed = placed.withColumns({"lo": F.col("before") + F.col("run") - F.col("size"), "hi": F.col("before") + F.col("run")})
+    return placed.withColumn("runs", F.flatten(F.transform("parts", _runs_of)))
+
+
+def _shard_rows(plan: dict, block: int, shards: int, seed: int) -> list[tuple[int, int, int, int, int]]:
+    """(lo, hi, rounds, rest, first) of each shard: its words of the source, how often all are taken, and how many once more, from the seeded block at first on and round."""
+    size, edges = plan["source_size"], shard_edges(-(-plan["source_size"] // block), shards)
+    out = []
+    for k, quota in enumerate(plan["shard_blocks"]):
+        lo, hi = min(size, edges[k] * block), min(size, edges[k + 1] * block)
+        if hi > lo:
+            words = min(quota * block, CAP * (hi - lo))
+            start = xxhash.xxh64_intdigest(f"{k}|{plan['source'] is None}|{plan['source'] or ''}", seed) % (edges[k + 1] - edges[k])
+            out.append((lo, hi, words // (hi - lo), words % (hi - lo), lo + start * block))
+    return out
+
+
+def _runs_of(p: Column) -> Column:
+    """The row's words [lo, hi) in a shard p: taken whole in each round, and its part of the run from p.first on, which goes round at the shard's end."""
+    lo, hi = F.greatest(F.col("lo"), p["lo"]), F.least(F.col("hi"), p["hi"])
+    struct = lambda times, a, b: F.struct(times.cast("int").alias("times"), (a - F.col("lo")).cast("int").alias("from"), (b - a).cast("int").alias("n"))
+    found = [struct(p["rounds"], lo, hi)]
+    for shift in (F.lit(0), p["hi"] - p["lo"]):
+        a = F.greatest(lo, p["first"] - shift)
+        b = F.least(hi, p["first"] + p["rest"] - shift)
+        found.append(struct(F.lit(1), a, b))
+    return F.filter(F.array(*found), lambda r: (r["times"] > 0) & (r["n"] > 0))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, block: int = BLOCK_WORDS) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, block: int = BLOCK_WORDS, shards: int = SHARDS) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row of docs.
 
     Sources share 150 % of all words by weights 5, 2, 1 in turn, none above twice its size. Equal-token blocks go to
-    sources by Sainte-Lague; each source's documents, in seeded order, form a round of blocks, of which a run from a
-    seeded block on is taken, whole rounds first. No document is taken more than twice; a source's taken words differ
-    from its target by a block or so. A null text has size 0 and taken 0; a null source is one source, the last; null
-    ids and repeated rows are allowed; an empty table gives no rows; other columns are ignored.
+    sources by Sainte-Lague, with quotas for each shard. Documents stand in seeded order, so each block of a source is
+    a random one; within a shard whole rounds of its blocks are taken first, and then as many as its quota asks for
+    from a block drawn by seed on and round. They are neighbours in that order, so that few documents are taken in
+    part. No document is taken more than twice; a source's taken words differ from its target by a block or so. A null text has
+    size 0 and taken 0; a null source is one source, the last; null ids and repeated rows are allowed; an empty table
+    gives no rows; other columns are ignored.
     """
-    placed = placed_documents(docs, id_col, text_col, source_col, seed, block)
-    taken = F.col("rounds") * F.col("size") + F.col("late") + F.col("early")
-    return placed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    placed = placed_documents(docs, id_col, text_col, source_col, seed, block, shards)
+    taken = F.aggregate("runs", F.lit(0).cast("long"), lambda t, r: t + r["times"] * r["n"])
+    return placed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken.alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, block: int = BLOCK_WORDS) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, block: int = BLOCK_WORDS, shards: int = SHARDS) -> DataFrame:
     """The mix itself, with the columns of docs: one row for each time a document is taken.
 
-    A document that the run of blocks covers in part (a few at most in each source) comes with those words only, one
-    space between them. Documents without words are not taken.
+    A document that a shard's blocks cover in part (a few at most in each shard of a source) comes with those words
+    only, one space between them, in a row for each run of them. Documents without words are not taken. Null ids,
+    texts and sources, repeated rows and an empty table as in mix().
     """
-    placed = placed_documents(docs, id_col, text_col, source_col, seed, block, keep=True)
-    text = F.col("row").getField(text_col)
-    none = F.array().cast("array<string>")
-    whole = F.when(F.col("rounds") > 0, F.transform(F.sequence(F.lit(1), F.col("rounds").cast("int")), lambda _: text)).otherwise(none)
-
-    def part(name: str):
-        words = F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0))
-        cut = F.array_join(F.slice(words, (F.col(f"{name}_from") + 1).cast("int"), F.col(name).cast("int")), " ")
-        return F.when(F.col(name) == 0, none).when(F.col(name) == F.col("size"), F.array(text)).otherwise(F.array(cut))
-
-    copies = F.when(F.col("size") == 0, none).otherwise(F.concat(whole, part("late"), part("early")))
-    rows = placed.select("row", F.explode(copies).alias("taken_text"))
+    placed = placed_documents(docs, id_col, text_col, source_col, seed, block, shards, keep=True)
+    rows = placed.select("row", "size", F.explode("runs").alias("r"))
+    text, r = F.col("row").getField(text_col), F.col("r")
+    words = F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0))
+    cut = F.when(r["n"] == F.col("size"), text).otherwise(F.array_join(F.slice(words, r["from"] + 1, r["n"]), " "))
+    rows = rows.select("row", cut.alias("taken_text"), r["times"].alias("times"))
+    rows = rows.select("row", "taken_text", F.explode(F.sequence(F.lit(1), "times")))
     return rows.select(*[F.col("taken_text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])

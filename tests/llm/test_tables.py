@@ -156,6 +156,53 @@ def test_quotas_of_shards_are_whole_and_add_up():
     assert all(min(p["shard_blocks"]) >= 0 and sum(p["shard_blocks"]) == p["blocks"] for p in plan)
 
 
+@given(st.lists(st.integers(0, 3000), min_size=1, max_size=6), st.integers(1, 9))
+@settings(max_examples=80, deadline=None)
+def test_quotas_of_shards_are_those_seat_by_seat(sizes, shards):
+    block = 16
+    sources = [(f"s{i}", n) for i, n in enumerate(sizes)]
+    plan = mixing.plan_mix(sources, block, shards)
+    goal = mixing.targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(sizes))], Fraction(3, 2) * sum(sizes))
+    caps = [-(-2 * n // block) for n in sizes]
+    seats = int(sum(goal) / block + Fraction(1, 2))
+    steps = [brute_seats(goal, seats * k // shards, caps) for k in range(shards + 1)]
+    for i, p in enumerate(plan):
+        edges = mixing.shard_edges(-(-sizes[i] // block), shards)
+        room = [2 * (b - a) for a, b in zip(edges, edges[1:])]
+        raw = [b[i] - a[i] for a, b in zip(steps, steps[1:])]
+        assert min(raw) >= 0 and all(q <= r for q, r in zip(p["shard_blocks"], room))
+        # only what is above a shard's room has moved
+        assert sum(abs(q - r) for q, r in zip(p["shard_blocks"], raw)) <= 2 * sum(max(0, q - r) for q, r in zip(raw, room))
+        assert sum(p["shard_blocks"]) == min(sum(raw), sum(room))
+
+
+def brute_mix(rows, spark, seed=mixing.SEED, block=mixing.BLOCK_WORDS, shards=mixing.SHARDS):
+    """Words taken of each row, word by word: [(row, [times of each of its words])]."""
+    from pyspark.sql import functions as F
+
+    df = frame(spark, rows).select("doc_id", "text", "source", F.xxhash64(F.lit(seed), "doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary"))).alias("h"))
+    by = defaultdict(list)
+    for r in df.collect():
+        by[r.source].append((r.h, r.doc_id, len(WORD.findall(r.text or "")), r.text))
+    plan = {p["source"]: p for p in mixing.plan_mix([(s, sum(x[2] for x in v)) for s, v in by.items()], block, shards)}
+    out = []
+    for source, v in by.items():
+        pieces = mixing.MIN_PIECES
+        v.sort(key=lambda x: ((x[0] % 2**64 >> 20) % pieces, x[0], x[1] is not None, x[1] or 0, x[2]))
+        words = [(k, j) for k, x in enumerate(v) for j in range(x[2])]
+        times = [0] * len(words)
+        for lo, hi, rounds, rest, first in mixing._shard_rows(plan[source], block, shards, seed):
+            for w in range(lo, hi):
+                times[w] += rounds
+            for w in range(first, first + rest):
+                times[lo + (w - lo) % (hi - lo)] += 1
+        per = [[0] * x[2] for x in v]
+        for (k, j), t in zip(words, times):
+            per[k][j] = t
+        out += [(x[1], x[3], t) for x, t in zip(v, per)]
+    return out
+
+
 def test_targets_cap_and_reshare():
     t = mixing.targets([100, 1000, 1000], [5, 2, 1], Fraction(3150))
     assert t[0] == 200 and sum(t) == 3150 and all(x <= 2 * s for x, s in zip(t, [100, 1000, 1000]))
@@ -177,6 +224,9 @@ def test_mix(spark):
         goal[by[r.doc_id]] = r.target
         assert r.source_size == source[by[r.doc_id]]
     assert all(abs(taken[s] - goal[s]) <= 2 * mixing.BLOCK_WORDS for s in goal)
+    assert len({r.target for r in got}) == len(goal)
+    want = brute_mix(rows, spark)
+    assert Counter((r.doc_id, r["size"], r.taken) for r in got) == Counter((i, len(t), sum(t)) for i, _, t in want)
     again = mixing.mix(frame(spark, rows[::-1]).repartition(5)).collect()
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
     docs = mixing.mixed_documents(frame(spark, rows))
@@ -185,6 +235,13 @@ def test_mix(spark):
     for r in docs.collect():
         words[r.source] += size(r.text)
     assert words == Counter({k: v for k, v in taken.items() if v})
+    seen, due = Counter(), Counter()
+    for r in docs.collect():
+        seen.update((r.doc_id, w) for w in WORD.findall(r.text or ""))
+    for i, text, times in want:
+        for w, t in zip(WORD.findall(text or ""), times):
+            due[(i, w)] += t
+    assert seen == +due
     assert mixing.mix(frame(spark, [])).count() == 0 and mixing.mixed_documents(frame(spark, [])).count() == 0
 
 
