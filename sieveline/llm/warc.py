@@ -14,17 +14,20 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, utf8
+from .common import file_system, fresh_dir, materialize, utf8
 
 FRAME_BYTES = 1 << 20
 #: Payloads under this are never revisits.
 MIN_REVISIT = 1000
 LEVEL = 3
+#: A payload with over this part of all repeated rows is matched by broadcast, so that no task gets all its copies.
+HOT_PART = 10_000
+#: Neighbouring frames that one task reads together, and about how many a partition of the read has.
+RUN_FRAMES, TASK_FRAMES, MAX_TASKS = 4, 64, 50_000
 
 # Fixed values of the seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
@@ -137,10 +140,6 @@ class Bundle:
             yield begin, head, body
 
 
-def _files(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
-
-
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", frame_bytes: int = FRAME_BYTES) -> DataFrame:
     """Write pages below path, one bundle a task, and return the index (archive, frame, offset, page_id), written once.
 
@@ -150,17 +149,24 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     but only the file of the attempt that counted is in the index.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), utf8(F.col(html_col)).alias("payload"))
-    digests = rows.select("page_id", F.when(F.length("payload") >= MIN_REVISIT, F.sha2("payload", 256)).alias("key")).where("key is not null")
-    largest = digests.groupBy("key").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    # small payloads get keys of another form, which join nothing and spread over the tasks
+    large = F.length("payload") >= MIN_REVISIT
+    digests = rows.where(large).select("page_id", F.sha2("payload", 256).alias("key"))
+    largest = materialize(digests.groupBy("key").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "warc-copies")
+    repeats = largest.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.col("n") * HOT_PART > repeats  # HOT_PART keys at most, whatever the input
+    # payloads that nothing else is joined to get keys of another form, which spread over the tasks
     alone = F.concat(F.lit("-"), F.hex(F.xxhash64("page_id", "url", "payload")))
-    keyed = rows.withColumn("key", F.when(F.length("payload") >= MIN_REVISIT, F.sha2("payload", 256)).otherwise(alone))
-    joined = keyed.join(largest, "key", "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("first"))
+    keyed = rows.withColumn("key", F.when(large, F.sha2("payload", 256)).otherwise(alone))
+    keyed = keyed.join(F.broadcast(largest.where(hot).select("key", F.col("first").alias("hot_first"), F.lit(True).alias("is_hot"))), "key", "left")
+    keyed = keyed.withColumn("key", F.when(F.col("is_hot"), alone).otherwise(F.col("key")))
+    # a written table, whose size decides whether payloads are shuffled at all
+    joined = keyed.join(largest.where(~hot).select("key", "first"), "key", "left").withColumn("first", F.coalesce("hot_first", "first"))
+    joined = joined.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         name = f"pages-{context.partitionId():06d}-{context.taskAttemptId()}.warc.zst"
-        files, root = _files(path)
+        files, root = file_system(path)
         files.create_dir(root, recursive=True)
         writer, out = None, None
         try:
@@ -191,14 +197,17 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
 
 def read_archives(archives: DataFrame, path: str) -> DataFrame:
-    """All records of archives(archive): (page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to).
+    """All records of archives(archive, frame): (page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to).
 
-    Frames are listed from each file's own seek table and dealt out one by one; a response's length and digest are
-    taken from the payload that was read, and its digest header must agree. A revisit has no payload but its headers.
+    Frames are listed from each file's own seek table and dealt out in short runs of one file, over a number of
+    partitions that follows from the number of frames in the index; a response's length and digest are taken from the
+    payload that was read, and its digest header must agree. A revisit has no payload but its headers.
     """
+    n_frames = archives.groupBy("archive").agg((F.max("frame") + 1).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    tasks = max(1, min(-(-n_frames // RUN_FRAMES), max(archives.sparkSession.sparkContext.defaultParallelism, min(MAX_TASKS, n_frames // TASK_FRAMES))))
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = _files(path)
+        files, root = file_system(path)
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 with files.open_input_file(f"{root}/{name}") as f:
@@ -206,26 +215,34 @@ def read_archives(archives: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(range(n), pa.int32())], names=["archive", "frame"])
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = _files(path)
+        files, root = file_system(path)
+        name, source, bundle = None, None, None
         for batch in batches:
-            for name, k in zip(*(c.to_pylist() for c in batch.columns)):
+            for archive, k in zip(*(c.to_pylist() for c in batch.columns)):
+                if archive != name:
+                    if source is not None:
+                        source.close()
+                    source = files.open_input_file(f"{root}/{archive}")
+                    name, bundle = archive, Bundle(source)
                 out: list[list] = [[] for _ in range(7)]
-                with files.open_input_file(f"{root}/{name}") as f:
-                    for _, head, body in Bundle(f).records(k):
-                        sha1 = base64.b32decode(head["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-                        revisit = head["WARC-Type"] == "revisit"
-                        if not revisit and hashlib.sha1(body).hexdigest() != sha1:
-                            raise ValueError(f"payload of {head['WARC-Record-ID']} is damaged")
-                        refers = page_of(head["WARC-Refers-To"]) if revisit else None
-                        row = (page_of(head["WARC-Record-ID"]), head["WARC-Target-URI"], None if revisit else body, int(head["X-Payload-Length"]) if revisit else len(body), sha1, head["WARC-Type"], refers)
-                        for col, x in zip(out, row):
-                            col.append(x)
+                for _, head, body in bundle.records(k):
+                    sha1 = base64.b32decode(head["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
+                    revisit = head["WARC-Type"] == "revisit"
+                    if not revisit and hashlib.sha1(body).hexdigest() != sha1:
+                        raise ValueError(f"payload of {head['WARC-Record-ID']} is damaged")
+                    refers = page_of(head["WARC-Refers-To"]) if revisit else None
+                    row = (page_of(head["WARC-Record-ID"]), head["WARC-Target-URI"], None if revisit else body, int(head["X-Payload-Length"]) if revisit else len(body), sha1, head["WARC-Type"], refers)
+                    for col, x in zip(out, row):
+                        col.append(x)
                 kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                 names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
 
+        if source is not None:
+            source.close()
+
     listed = archives.select("archive").distinct().mapInArrow(frames, "archive string, frame int")
-    dealt = listed.repartition(F.xxhash64("archive", "frame"))
+    dealt = listed.repartition(tasks, "archive", F.expr(f"frame div {RUN_FRAMES}")).sortWithinPartitions("archive", "frame")
     return dealt.mapInArrow(records, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
