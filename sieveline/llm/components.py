@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, written
 
 #: Links that one task takes; with no more than that a round has no shuffle.
 TASK_LINKS = 500_000
@@ -24,7 +24,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", task_link
     allowed; rows with a null end are ignored.
     """
     e = edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("m")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    e = materialize(e.distinct(), "links")
+    e, path = written(e.distinct(), "links")
     state = _state(e)
     while state[0]:
         if state[0] <= task_links:
@@ -38,8 +38,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", task_link
         # small star: every smaller neighbour of a node, and the node, are linked to the smallest
         lowest = large.groupBy("v").agg(F.min("m").alias("low"))
         small = large.join(lowest, "v").select(F.explode(F.array(pair(m, low), pair(v, low))).alias("e")).select("e.v", "e.m")
-        e = materialize(small.where("v != m").distinct(), "links")
+        e, done = written(small.where("v != m").distinct(), "links")
         new = _state(e)
+        discard(path)  # the round before is read no more
+        path = done
         if new == state:
             break
         state = new

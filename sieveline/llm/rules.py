@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, in_training_fold, materialize
+from .common import WORD_PATTERN, in_training_fold, materialize, training_labels
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 STATISTICS = (*BASE, "n_upper", "n_punct", "n_digits", "n_lines", "n_distinct")
@@ -223,10 +223,9 @@ def learn_rules(
 
 def learn_from(stats: DataFrame, labels: DataFrame) -> list[Rule]:
     """Rules from statistics(doc_id, ...) of documents that pass the base checks and the labels of the training fold."""
-    y = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & in_training_fold(F.col("doc_id")))
-    y = y.groupBy(F.col("doc_id").alias("key")).agg(F.min("quality").alias("quality"))
+    y = training_labels(labels, "quality").withColumnRenamed("doc_id", "key")
     train = stats.where(~base_failed()).select(F.col("doc_id").alias("key"), *STATISTICS)
-    return learn_rules(train.join(y, "key").withColumn("bad", (F.col("quality") == 0).cast("int")))
+    return learn_rules(train.join(y, "key").withColumn("bad", 1 - F.col("y")))
 
 
 def with_verdict(stats: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -17,13 +17,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .common import fresh_dir
+from .common import file_system, fresh_dir, written
 
 MAGIC, END, VERSION = b"SLTB", b"BTLS", 1
 BLOCK_IDS = 1 << 16
@@ -32,6 +32,8 @@ END_ID = 1
 CACHE_WORDS = 900_000
 #: Bytes of text that one part of the output is made from, about.
 PART_BYTES = 32 << 20
+#: Files at most: beyond that they grow, as each is written by one task that holds no more than a block of ids.
+MAX_PARTS = 100_000
 
 # The word pattern and normalisation of the "word_bpe" family of tokenizer files.
 _WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -204,10 +206,6 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-def _files(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
-
-
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> DataFrame:
     """Encode each text, append end_id, and write the ids below path in ascending id order; returns (part, file, n_docs, n_ids).
 
@@ -216,7 +214,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // PART_BYTES), min(docs.sparkSession.sparkContext.defaultParallelism, size >> 20))
+    parts = max(1, min(MAX_PARTS, -(-size // PART_BYTES)), min(docs.sparkSession.sparkContext.defaultParallelism, size >> 20))
     rows = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.crc32(F.col("text").cast("binary"))).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +222,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         part, attempt = context.partitionId(), context.taskAttemptId()
         encoder = encoder_for(tokenizer)
         bits = bits_for(max(encoder.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1))
-        files, root = _files(path)
+        files, root = file_system(path)
         files.create_dir(root, recursive=True)
         name = f"tokens-{part:06d}-{attempt}.bin"
         end = struct.pack("<I", end_id)
@@ -251,19 +249,15 @@ def token_documents(docs: DataFrame, tokenizer: str, path: str | None = None, en
     spark = docs.sparkSession
     path = path or fresh_dir(spark, "tokens")
     index = write_token_files(docs, path, tokenizer, end_id, id_col, text_col)
-    at = fresh_dir(spark, "token-index")
-    index.write.parquet(at)
-    index = spark.read.schema(index.schema).parquet(at)
-    before, plan = 0, []
-    for r in index.select("part", "n_ids").orderBy("part").collect():  # one row for each file
-        plan.append((r.part, before))
-        before += r.n_ids
-    starts = spark.createDataFrame(plan, "part long, before long")
-    rows = index.join(F.broadcast(starts), "part").select("file", "before", "doc_ids").repartition(max(1, len(plan)), "file")
+    index = written(index, "token-index")[0]
+    # ids of all files before, one row for each of MAX_PARTS files at most: a running sum and a join of a few numbers
+    sums = index.select("part", "n_ids").withColumn("before", F.sum("n_ids").over(Window.orderBy("part")) - F.col("n_ids"))
+    n_files = index.count()
+    rows = index.select("part", "file", "doc_ids").join(sums.select("part", "before"), "part").select("file", "before", "doc_ids").repartition(max(1, n_files), "file")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = _files(path)
+        files, root = file_system(path)
         for batch in batches:
             for file, start, ids in zip(*(c.to_pylist() for c in batch.columns)):
                 with files.open_input_file(f"{root}/{file}") as source:
