@@ -5,9 +5,8 @@ from __future__ import annotations
 import math
 import random
 import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -42,31 +41,78 @@ def _stems(word: str) -> list[str]:
     return [word, *(word[:k] + "-" for k in STEM_LENGTHS if len(word) > k)]
 
 
-def learn_lexicon(texts: list[str], y: list[int]) -> dict[str, float]:
-    """Entries by log odds of their document frequencies in toxic and other texts, the most telling first; an entry that a longer or shorter one explains as well is left out."""
-    n = Counter(y)
-
-    def keys(text: str) -> set[str]:
-        return {k for w in {_EDGE.sub("", x) for x in text.lower().split()} if w for k in _stems(w)}
-
-    # keys of toxic texts first; of the other texts only those that are left are counted
-    seen: Counter = Counter()
-    for text, k in zip(texts, y):
-        if k == 1:
-            seen.update(keys(text))
-            if len(seen) > 1_000_000:
-                seen = Counter({key: c for key, c in seen.items() if c > 1})
-    seen = Counter({key: c for key, c in seen.items() if c >= MIN_TOXIC_DOCS})
-    other: Counter = Counter()
-    for text, k in zip(texts, y):
-        if k == 0:
-            other.update(keys(text) & seen.keys())
+class KeyTable:
+    """The lexicon keys that each text of a sample has, as pairs of numbers, so that counts over any part of it are exact.
+
+    Keys that fewer than MIN_TOXIC_DOCS of the toxic texts have, which no part can learn, are left out. Work goes by
+    blocks of texts, so memory is bounded by the sample's.
+    """
+
+    def __init__(self, texts: list[str], y: list[int]):
+        self.y = np.array(y, bool)
+        words: dict[str, int] = {}
+        token: dict[str, int] = {}  # a word as it stands, with its marks: the number of the bare word, -1 for none
+        own: list[np.ndarray] = []  # numbers of the words of each text
+        for text in texts:
+            found = set()
+            for t in text.lower().split():
+                k = token.get(t)
+                if k is None:
+                    w = _EDGE.sub("", t)
+                    k = token[t] = words.setdefault(w, len(words)) if w else -1
+                found.add(k)
+            found.discard(-1)
+            own.append(np.fromiter(found, np.int64, len(found)))
+        names = list(words)
+        toxic = np.zeros(len(names), bool)
+        for k in np.flatnonzero(self.y):
+            toxic[own[k]] = True
+        keys: dict[str, int] = {}
+        flat: list[int] = []
+        edges = [0]
+        for w, used in zip(names, toxic.tolist()):
+            flat += [keys.setdefault(s, len(keys)) for s in _stems(w)] if used else []
+            edges.append(len(flat))
+        flat_keys, edges = np.array(flat, np.int64), np.array(edges)
+        self.keys = list(keys)
+        toxic_only = self._pairs([own[k] for k in np.flatnonzero(self.y)], flat_keys, edges, np.ones(len(keys), bool))[1]
+        kept = np.bincount(toxic_only, minlength=len(keys)) >= MIN_TOXIC_DOCS
+        self.text, self.key = self._pairs(own, flat_keys, edges, kept)
+
+    @staticmethod
+    def _pairs(own: list[np.ndarray], flat: np.ndarray, edges: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        texts, keys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for at in range(0, len(own), 256):
+            part = own[at : at + 256]
+            word = np.concatenate(part) if part else np.empty(0, np.int64)
+            text = np.repeat(np.arange(at, at + len(part)), [len(p) for p in part])
+            n = edges[word + 1] - edges[word]
+            if not n.sum():
+                continue
+            first = np.repeat(edges[word] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
+            key, text = flat[first + np.arange(n.sum())], np.repeat(text, n)
+            pair = np.unique((text * len(kept) + key)[kept[key]])
+            texts.append(pair // len(kept))
+            keys.append(pair % len(kept))
+        return np.concatenate(texts), np.concatenate(keys)
+
+    def counts(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many of the chosen toxic texts, and of the chosen others, have each key."""
+        own = chosen[self.text]
+        toxic = self.y[self.text]
+        return tuple(np.bincount(self.key[own & (toxic == t)], minlength=len(self.keys)) for t in (True, False))
+
+
+def learn_lexicon(table: KeyTable, chosen: np.ndarray) -> dict[str, float]:
+    """Entries by log odds of their document frequencies in toxic and other chosen texts, the most telling first; an entry that a longer or shorter one explains as well is left out."""
+    n1, n0 = int((chosen & table.y).sum()), int((chosen & ~table.y).sum())
+    toxic, other = table.counts(chosen)
     scored = []
-    for key, c in seen.items():
-        d = other.get(key, 0)
-        odds = math.log((c + 0.5) / (n[1] + 1)) - math.log((d + 0.5) / (n[0] + 1))
+    for k in np.flatnonzero(toxic >= MIN_TOXIC_DOCS).tolist():
+        c, d = int(toxic[k]), int(other[k])
+        odds = math.log((c + 0.5) / (n1 + 1)) - math.log((d + 0.5) / (n0 + 1))
         if odds >= 1.5:
-            scored.append(((c / n[1] - d / max(1, n[0])) * odds, key, odds))
+            scored.append(((c / n1 - d / max(1, n0)) * odds, table.keys[k], odds))
     scored.sort(key=lambda x: (-x[0], len(x[1]), x[1]))
     out: dict[str, float] = {}
     for _, key, odds in scored:
@@ -78,69 +124,111 @@ def learn_lexicon(texts: list[str], y: list[int]) -> dict[str, float]:
     return out
 
 
-@dataclass
+_CAPS = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{2,}\b")
+_PUNCT = re.compile(r"[!-/:-@\[-`{-~]")
+_DIGIT = re.compile(r"[0-9]")
+_STRETCH = re.compile(r"([^\W\d_])\1\1")
+#: What is known of a word: weight, whether it is strong, strong by undone look-alikes, second person, and counts of the rest.
+_FACTS = 11
+
+
+class _Words(dict):
+    """Numbers of words, each worked out when it is first met; row k of `facts` is what is known of word k."""
+
+    def __init__(self, facts_of):
+        super().__init__()
+        self.facts_of, self.facts = facts_of, np.zeros((4096, _FACTS))
+
+    def __missing__(self, word: str) -> int:
+        k = len(self)
+        if k == len(self.facts):
+            self.facts = np.concatenate((self.facts, np.zeros_like(self.facts)))
+        self.facts[k] = self.facts_of(word)
+        self[word] = k
+        return k
+
+
 class FeatureMaker:
-    lexicon: dict[str, float]
-    strong: float = 3.0
-    cache: dict[str, float] = field(default_factory=dict)
+    """The features of a text as sums over its words, whose own facts are worked out once for each distinct word.
+
+    No pattern here matches across white space, so a text's counts are its words'. The words of one text are never
+    cut; the cache is emptied between texts when it is full.
+    """
+
+    def __init__(self, lexicon: dict[str, float], strong: float = 3.0):
+        self.lexicon, self.strong = lexicon, strong
+        self.words = _Words(self._facts)
 
     def weight(self, word: str) -> float:
-        """The largest weight of the word's entries; negative if it is only met with look-alike characters undone."""
+        """The largest weight of the entries of a word in lower case; negative if it is only met with look-alike characters undone."""
         w = _EDGE.sub("", word)
         best = max((self.lexicon.get(k, 0.0) for k in _stems(w)), default=0.0) if w else 0.0
         if not best and _ODD.search(word):
             plain = _EDGE.sub("", word.translate(LOOKALIKES))
             best = -max((self.lexicon.get(k, 0.0) for k in _stems(plain)), default=0.0) if plain else 0.0
-        if len(self.cache) >= CACHE_WORDS:
-            self.cache.clear()
-        self.cache[word] = best
         return best
 
+    def _facts(self, word: str) -> tuple:
+        lower = word.lower()
+        w = self.weight(lower)
+        return (
+            abs(w),
+            abs(w) >= self.strong,
+            w <= -self.strong,
+            lower in SECOND_PERSON or lower.strip(".,!?;:") in SECOND_PERSON,
+            sum(map(str.isupper, word)),
+            len(_CAPS.findall(word)),
+            len(_PUNCT.findall(word)),
+            word.count("!"),
+            len(_DIGIT.findall(word)),
+            len(_ODD.findall(lower)),
+            len(_STRETCH.findall(lower)),
+        )
+
     def __call__(self, text: str) -> list[float]:
-        lower = text.lower()
-        words = lower.split()
+        words = text.split()
         n, chars = len(words), len(text)
         if not n:
             return [0.0] * len(FEATURES)
-        get, make = self.cache.get, self.weight
-        raw = np.fromiter([x if (x := get(w)) is not None else make(w) for w in words], float, n)
-        weights = np.abs(raw)
-        hits = np.flatnonzero(weights >= self.strong)
-        kinds = len({words[i] for i in hits.tolist()})
-        you = np.array([i for i, w in enumerate(words) if w in SECOND_PERSON or w.strip(".,!?;:") in SECOND_PERSON], int)
+        if len(self.words) >= CACHE_WORDS:
+            self.words = _Words(self._facts)
+        at = np.fromiter(map(self.words.__getitem__, words), np.int64, n)
+        total, top, hits, you = np.zeros(_FACTS), 0.0, [], []
+        for k in range(0, n, 1 << 15):
+            facts = self.words.facts[at[k : k + (1 << 15)]]
+            total += facts.sum(0)
+            top = max(top, float(facts[:, 0].max()))
+            hits.append(np.flatnonzero(facts[:, 1]) + k)
+            you.append(np.flatnonzero(facts[:, 3]) + k)
+        hits, you = np.concatenate(hits), np.concatenate(you)
+        weight, _, obfuscated, _, upper, caps, punct, shouts, digits, odd, stretched = total.tolist()
         near = 0.0
         if len(hits) and len(you):
-            at = np.searchsorted(you, hits)
-            gap = np.minimum(np.abs(you[np.minimum(at, len(you) - 1)] - hits), np.abs(you[np.maximum(at - 1, 0)] - hits))
+            k = np.searchsorted(you, hits)
+            gap = np.minimum(np.abs(you[np.minimum(k, len(you) - 1)] - hits), np.abs(you[np.maximum(k - 1, 0)] - hits))
             near = float((gap <= NEAR_WORDS).mean())
-        upper = sum(map(str.isupper, text))
+        kinds = len({words[i].lower() for i in hits.tolist()})
         return [
             100.0 * len(hits) / n,
             math.log1p(len(hits)),
             math.log1p(kinds),
-            float(weights.sum()) / n,
-            float(weights.max()),
+            weight / n,
+            top,
             len(you) / n,
             near,
             upper / chars,
-            len(_CAPS.findall(text)) / n,
-            len(_PUNCT.findall(text)) / chars,
-            text.count("!") / n,
-            len(_DIGIT.findall(text)) / chars,
-            len(_ODD.findall(lower)) / n,
-            100.0 * int((raw <= -self.strong).sum()) / n,
-            len(_STRETCH.findall(lower)) / n,
+            caps / n,
+            punct / chars,
+            shouts / n,
+            digits / chars,
+            odd / n,
+            100.0 * obfuscated / n,
+            stretched / n,
             (chars - n + 1) / n,
             math.log1p(n),
         ]
 
 
-_CAPS = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{2,}\b")
-_PUNCT = re.compile(r"[!-/:-@\[-`{-~]")
-_DIGIT = re.compile(r"[0-9]")
-_STRETCH = re.compile(r"([^\W\d_])\1\1")
-
-
 class BoostedTrees:
     """Gradient boosting of the logistic loss by histogram trees of fixed depth, deterministic."""
 
@@ -235,16 +323,16 @@ def fit(sample: list[tuple[str, int]], counts: dict[int, int], folds: int = 3) -
     w = np.array([share[k] for k in labels])
     w /= w.mean()
     x = np.zeros((len(sample), len(FEATURES)))
+    table = KeyTable(texts, labels)
     for k in range(folds):
-        rest = np.flatnonzero(fold != k).tolist()
-        maker = FeatureMaker(learn_lexicon([texts[i] for i in rest], [labels[i] for i in rest]))
+        maker = FeatureMaker(learn_lexicon(table, fold != k))
         for i in np.flatnonzero(fold == k).tolist():
             x[i] = maker(texts[i])
     raw = np.zeros(len(sample))
     for k in range(folds):
         own = fold == k
         raw[own] = BoostedTrees().fit(x[~own], y[~own], w[~own]).raw(x[own])
-    return ToxicityModel(learn_lexicon(texts, labels), BoostedTrees().fit(x, y, w), Isotonic(raw, y, w, rate))
+    return ToxicityModel(learn_lexicon(table, fold >= 0), BoostedTrees().fit(x, y, w), Isotonic(raw, y, w, rate))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:

@@ -112,6 +112,137 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(frame(spark, rows), y.limit(0)).count() == len(rows)
 
 
+def plain_features(maker, text):
+    """The features by passes over the whole text."""
+    import math
+    import re
+
+    import numpy as np
+
+    T = toxicity
+    lower = text.lower()
+    words = lower.split()
+    n, chars = len(words), len(text)
+    if not n:
+        return [0.0] * len(T.FEATURES)
+    raw = [maker.weight(w) for w in words]
+    hits = [i for i, x in enumerate(raw) if abs(x) >= maker.strong]
+    you = [i for i, w in enumerate(words) if w in T.SECOND_PERSON or w.strip(".,!?;:") in T.SECOND_PERSON]
+    near = float(np.mean([min(abs(i - j) for j in you) <= T.NEAR_WORDS for i in hits])) if hits and you else 0.0
+    count = lambda p, t: sum(1 for _ in re.finditer(p, t))
+    return [
+        100 * len(hits) / n, math.log1p(len(hits)), math.log1p(len({words[i] for i in hits})), sum(map(abs, raw)) / n, max(map(abs, raw)), len(you) / n, near,
+        sum(c.isupper() for c in text) / chars, count(T._CAPS, text) / n, count(T._PUNCT, text) / chars, text.count("!") / n, count("[0-9]", text) / chars,
+        count(T._ODD, lower) / n, 100 * sum(x <= -maker.strong for x in raw) / n, count(T._STRETCH, lower) / n, (chars - n + 1) / n, math.log1p(n),
+    ]
+
+
+def test_features_are_those_of_passes_over_the_text(monkeypatch):
+    rng = random.Random(7)
+    monkeypatch.setattr(toxicity, "CACHE_WORDS", 50)
+    maker = toxicity.FeatureMaker({"idiot": 4.0, "moro-": 3.5, "weak": 1.0})
+    bits = ["you", "You,", "IDIOT!", "id10t", "moronic", "m0r0n", "weak", "ΑΣ", "ÉCOLE", "soooo", "a-b", "x@y.z", "!!", "12", "\u00a0", "\u0130x", "ta", "\x1c", "Œuvre"]
+    texts = ["", "  ", "one"] + [rng.choice(["", " "]).join(rng.choice(bits) + rng.choice([" ", "\n", "  ", "\t", " w%d " % rng.randrange(90)]) for _ in range(rng.randrange(1, 60))) for _ in range(200)]
+    texts.append("you idiot " * 40_000)  # more words than one step takes
+    for t in texts:
+        got, want = maker(t), plain_features(maker, t) if len(t) < 10**5 else None
+        assert want is None or all(abs(a - b) < 1e-9 for a, b in zip(got, want)), t
+    assert got[5] == 0.5 and got[6] == 1.0
+
+
+def test_lexicon_counts_are_exact():
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))) for _ in range(150)]
+    texts = [" ".join(rng.choice(["", "(", '"']) + rng.choice(vocabulary) + rng.choice(["", "!", ","]) for _ in range(rng.randrange(0, 30))) for _ in range(700)]
+    y = [int(rng.random() < 0.4) for _ in texts]
+    table = toxicity.KeyTable(texts, y)
+    import numpy as np
+
+    chosen = np.array([rng.random() < 0.7 for _ in texts])
+    toxic, other = table.counts(chosen)
+    keys = [{k for w in t.lower().split() if (b := toxicity._EDGE.sub("", w)) for k in toxicity._stems(b)} for t in texts]
+    often = {k for k in set().union(*keys) if sum(k in own for own, v in zip(keys, y) if v) >= toxicity.MIN_TOXIC_DOCS}
+    for i, k in enumerate(table.keys):
+        want = [sum(k in own for own, v, c in zip(keys, y, chosen) if c and v == t) for t in (1, 0)]
+        assert [toxic[i], other[i]] == (want if k in often else [0, 0])
+    assert often <= set(table.keys) and toxicity.KeyTable([], []).keys == []
+
+
+def test_trees_score_as_their_nodes_say():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, 4))
+    y = ((x[:, 0] > 0.3) ^ (x[:, 2] > 0)).astype(float)
+    trees = toxicity.BoostedTrees(trees=20).fit(x, y, np.ones(600))
+    for row, got in zip(x[:50], trees.raw(x[:50])):
+        want = trees.start
+        for feature, threshold, value in trees.nodes:
+            k = 0
+            while k < len(feature):
+                k = 2 * k + (2 if row[feature[k]] >= threshold[k] else 1)
+            want += value[k - len(feature)]
+        assert abs(want - got) < 1e-9
+    assert ((trees.raw(x) > 0) == (y > 0)).mean() > 0.95
+
+
+def pool_adjacent(raw, y, w):
+    """Isotonic means by the textbook method: (raw, mean) of each distinct raw score."""
+    by = {}
+    for r, t, v in zip(raw, y, w):
+        a, b = by.get(r, (0.0, 0.0))
+        by[r] = (a + t * v, b + v)
+    blocks = []
+    for r in sorted(by):
+        blocks.append([*by[r], [r]])
+        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
+            top = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + top[0], blocks[-1][1] + top[1], blocks[-1][2] + top[2]]
+    return {r: a / b for a, b, rs in blocks for r in rs}
+
+
+def test_quality_scores_are_sizes_under_both_dictionaries():
+    import numpy as np
+    import zstandard
+
+    rng = random.Random(5)
+    good, bad = ([" ".join(rng.choice(v) for _ in range(60)) for _ in range(300)] for v in (["river", "stone", "cloud", "meadow"], ["buy", "now$$", "%%click", "win"]))
+    model = compression.fit([(t, 1) for t in good] + [(t, 0) for t in bad], {1: 300, 0: 300})
+    score = model.scorer()
+
+    def size(text, dictionary):
+        return len(zstandard.ZstdCompressor(level=compression.LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_dict_id=False).compress(text))
+
+    for t in (good[0].encode(), bad[0].encode(), b"", b"x" * 50_000):
+        assert score(t) == (size(t, model.bad) - size(t, model.good)) / (len(t) + 1)
+    raw = np.array([score(t.encode()) for t in good + bad])
+    assert (np.diff(model.scale(np.sort(raw))) >= -1e-12).all() and model.scale(raw[:300]).mean() > 0.9 > 0.1 > model.scale(raw[300:]).mean()
+
+
+def test_calibration_is_isotonic_regression():
+    import numpy as np
+
+    from sieveline.llm.calibrate import Isotonic
+
+    rng = np.random.default_rng(2)
+    raw = np.round(rng.normal(size=400), 1)
+    y = (raw + rng.normal(size=400) > 0).astype(float)
+    w = rng.integers(1, 4, 400).astype(float)
+    want = pool_adjacent(raw.tolist(), y.tolist(), w.tolist())
+    got = Isotonic(raw, y, w)(raw)
+    assert (np.diff(got[np.argsort(raw, kind="stable")]) >= -1e-12).all()
+    inner = [abs(g - want[r]) for g, r in zip(got, raw.tolist())]
+    assert float(np.mean(inner)) < 0.05
+
+
+def test_labels_that_disagree_teach_nothing(spark):
+    from sieveline.llm.common import training_labels
+
+    rows = [(i, q, 0) for i in range(30) for q in ((0, 1) if i % 5 == 0 else (1, 1) if i % 5 == 1 else (0,))] + [(None, 1, 1), (2, None, 0), (3, 7, 0)]
+    got = {r.doc_id: r.y for r in training_labels(spark.createDataFrame(rows, "doc_id long, quality int, toxic int"), "quality").collect()}
+    assert got == {i: int(i % 5 == 1) for i in range(30) if i % 5 and zlib.crc32(str(i).encode()) % 3 != 1}
+
+
 def test_lexicon_undoes_look_alikes():
     maker = toxicity.FeatureMaker({"idiot": 4.0, "moro-": 4.0})
     assert maker.weight("idiot,") == 4.0 and maker.weight("moronic") == 4.0 and maker.weight("id10t") == -4.0 and maker.weight("table") == 0
