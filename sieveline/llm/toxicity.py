@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import random
 import re
@@ -22,7 +23,7 @@ SAMPLE_ROWS, SAMPLE_BYTES = 5000, 8 << 20
 STEM_LENGTHS = range(3, 9)
 LEXICON_SIZE, MIN_TOXIC_DOCS = 400, 4
 NEAR_WORDS = 5
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 THRESHOLD = 0.7
 
 # Second-person words of the four languages, and characters that stand for letters.
@@ -128,6 +129,8 @@ _CAPS = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{2,}\b")
 _PUNCT = re.compile(r"[!-/:-@\[-`{-~]")
 _DIGIT = re.compile(r"[0-9]")
 _STRETCH = re.compile(r"([^\W\d_])\1\1")
+#: Marks that stand before and after words, all of them punctuation and none that stands for a letter within a word.
+_MARKS = "\"'(),.:;?!"
 #: What is known of a word: weight, whether it is strong, strong by undone look-alikes, second person, and counts of the rest.
 _FACTS = 11
 
@@ -157,18 +160,32 @@ class FeatureMaker:
 
     def __init__(self, lexicon: dict[str, float], strong: float = 3.0):
         self.lexicon, self.strong = lexicon, strong
+        #: No word that begins otherwise has an entry.
+        self.heads = {k.rstrip("-")[:3] for k in lexicon}
         self.words = _Words(self._facts)
 
+    def _entry(self, bare: str) -> float:
+        if bare[:3] not in self.heads:
+            return 0.0
+        return max(self.lexicon.get(k, 0.0) for k in _stems(bare))
+
     def weight(self, word: str) -> float:
         """The largest weight of the entries of a word in lower case; negative if it is only met with look-alike characters undone."""
-        w = _EDGE.sub("", word)
-        best = max((self.lexicon.get(k, 0.0) for k in _stems(w)), default=0.0) if w else 0.0
+        best = self._entry(_EDGE.sub("", word))
         if not best and _ODD.search(word):
-            plain = _EDGE.sub("", word.translate(LOOKALIKES))
-            best = -max((self.lexicon.get(k, 0.0) for k in _stems(plain)), default=0.0) if plain else 0.0
+            best = -self._entry(_EDGE.sub("", word.translate(LOOKALIKES)))
         return best
 
     def _facts(self, word: str) -> tuple:
+        core = word.strip(_MARKS)
+        if core.isalpha():  # letters between marks, as most words are: no digits and nothing obfuscated
+            lower = core.lower()
+            w = self._entry(lower if core.isascii() else _EDGE.sub("", lower))
+            marks = len(word) - len(core)
+            upper = 0 if core == lower else sum(map(str.isupper, core))
+            you = lower in SECOND_PERSON and (not marks or word.lower().strip(".,!?;:") == lower)
+            shouts = word.count("!") if marks else 0
+            return w, w >= self.strong, False, you, upper, len(_CAPS.findall(core)) if upper > 1 else 0, marks, shouts, 0, 0, len(_STRETCH.findall(lower))
         lower = word.lower()
         w = self.weight(lower)
         return (
@@ -291,6 +308,12 @@ class BoostedTrees:
         return out
 
 
+@functools.lru_cache(maxsize=2)
+def maker_for(lexicon: tuple[tuple[str, float], ...]) -> FeatureMaker:
+    """One maker for a lexicon in each Python worker, so that what it knows of words outlives a task."""
+    return FeatureMaker(dict(lexicon))
+
+
 @dataclass
 class ToxicityModel:
     lexicon: dict[str, float]
@@ -347,7 +370,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col).alias("doc_id"), (~in_training_fold(F.col(id_col))).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker = FeatureMaker(model.lexicon)
+        maker = maker_for(tuple(sorted(model.lexicon.items())))
         for batch in batches:
             x = np.empty((batch.num_rows, len(FEATURES)))
             for k, t in enumerate(batch.column(2)):
