@@ -33,11 +33,15 @@ def lineage_key(file_id: str = "source_file_id", line: str = "source_line_number
 def merge_articles(articles: DataFrame) -> DataFrame:
     """One article per identifier, with the sorted lineage of all its rows."""
     best = winners(articles, "doi", article_rank(), [lineage_key()])
-    lineage = articles.groupBy("doi").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_lineage")))).alias("_lineage"), F.count("*").alias("_n"))
-    out = best.join(lineage, "doi")
+    out = best.join(lineage(articles), "doi")
     return out.withColumn("source_lineage", F.when(F.col("_n") > 1, F.col("_lineage")).otherwise(F.col("source_lineage"))).drop("_lineage", "_n")
 
 
+def lineage(articles: DataFrame) -> DataFrame:
+    """(doi, _lineage, _n): the sorted distinct lineage of all rows of an identifier, and their number."""
+    return articles.groupBy("doi").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_lineage")))).alias("_lineage"), F.count("*").alias("_n"))
+
+
 def duplicate_count(df: DataFrame, key: str) -> DataFrame:
     return df.agg((F.count("*") - F.count_distinct(key)).alias("duplicates"))
 
@@ -105,14 +109,39 @@ def venue_history(articles: DataFrame, notices: DataFrame) -> DataFrame:
 def author_history(articles: DataFrame, notices: DataFrame) -> DataFrame:
     """(doi, author_history_signal_count): distinct flagged articles that share an author, active before publication.
 
-    An equi-join on the author with the date as residual condition, partly aggregated to distinct pairs before the
-    shuffle; only flagged articles stand on one side.
+    For each author a running sum over days tells how many flagged articles were active before a day. An article's
+    count is the sum over its authors that have any, less what was counted more than once. With one such author
+    there is nothing to take off, and with two it is the running count of the pair. With more, flagged articles are
+    met by pairs of authors, and one that shares m authors, so m (m - 1) / 2 pairs, was counted m - 1 times too often.
+    Articles of one author never meet each other, so a name on every article costs its days.
     """
-    flagged = flagged_activations(articles, notices).select(F.col("doi").alias("other"), "active", F.explode(F.array_distinct("authors")).alias("author"))
-    mine = articles.select("doi", "publication_date", F.explode(F.array_distinct("authors")).alias("author"))
-    pairs = mine.join(flagged, "author").where(F.col("active") < F.col("publication_date")).select("doi", "other").distinct()
-    counts = pairs.groupBy("doi").agg(F.count("*").alias("n"))
-    return articles.select("doi").join(counts, "doi", "left").select("doi", F.coalesce("n", F.lit(0)).alias("author_history_signal_count"))
+    flagged = flagged_activations(articles, notices).select(F.unix_date("active").alias("active"), F.array_sort(F.array_distinct("authors")).alias("authors"), F.col("doi").alias("other"))
+    mine = articles.select("doi", F.unix_date("publication_date").alias("day"), F.array_distinct("authors").alias("authors"))
+    single = mine.select("doi", "day", F.explode("authors").alias("key"))
+    known = _counts_before(single, flagged.select("active", F.explode("authors").alias("key"))).where("n > 0")
+    per = known.groupBy("doi", "day").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list("key")).alias("authors"))
+    two = per.where("size(authors) = 2").select("doi", "day", F.struct(F.get("authors", 0).alias("a"), F.get("authors", 1).alias("b")).alias("key"))
+    pairs = flagged.select("active", "other", F.explode(_pairs("authors")).alias("key"))
+    both = _counts_before(two, pairs.select("active", "key")).select("doi", F.col("n").alias("twice"))
+    many = per.where("size(authors) > 2").select("doi", "day", F.explode(_pairs("authors")).alias("key"))
+    shared = many.join(pairs, "key").where("active < day").groupBy("doi", "other").agg(F.count("*").alias("c"))
+    again = shared.groupBy("doi").agg(F.sum((F.sqrt(1 + 8 * F.col("c")) - 1) / 2).cast("long").alias("twice"))
+    off = both.unionByName(again)
+    counts = per.join(off, "doi", "left").select("doi", (F.col("n") - F.coalesce("twice", F.lit(0))).alias("n"))
+    return articles.select("doi").join(counts, "doi", "left").select("doi", F.coalesce("n", F.lit(0)).cast("long").alias("author_history_signal_count"))
+
+
+def _pairs(authors: str) -> Column:
+    """All pairs (a, b) of a sorted array, a before b."""
+    return F.flatten(F.transform(authors, lambda a, i: F.transform(F.slice(authors, i + 2, F.size(authors)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+
+
+def _counts_before(asked: DataFrame, events: DataFrame) -> DataFrame:
+    """asked(doi, day, key) with n: events(active, key) of the key before the day, from running sums over each key's days."""
+    days = events.groupBy("key", F.col("active").alias("day")).agg(F.count("*").alias("n"))
+    days = days.unionByName(asked.select("key", "day").distinct().withColumn("n", F.lit(0).cast("long"))).groupBy("key", "day").agg(F.sum("n").alias("n"))
+    before = Window.partitionBy("key").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    return asked.join(days.select("key", "day", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n")), ["key", "day"])
 
 
 def with_history(articles: DataFrame, notices: DataFrame) -> DataFrame:

@@ -23,6 +23,9 @@ def category_dictionary(train: DataFrame, order: str = "ord") -> DataFrame:
     return first.select("feature", (F.row_number().over(Window.orderBy("first")) - 1).cast("int").alias("idx"))
 
 
+NUMERIC_NAMES = ("publication_year", "openalex_life_science_score", "references_count", "author_history_signal_count", "journal_history_signal_count", "is_pubmed_indexed")
+
+
 def numeric_features() -> Column:
     return F.array(
         (F.col("publication_year") - 2000) / 24.0,
@@ -99,20 +102,42 @@ def fit_logistic(df: DataFrame, features: str = "features", label: str = "label"
     return w, b
 
 
-def fit_groups(df: DataFrame, by: list[str], rate: float = 0.25, epochs: int = 400, l2: float = 0.001) -> DataFrame:
-    """(by, ord, label, score): for each group (a model of a split) fit on rows of part 'train' and score those of 'test'."""
+def _dense(features: list, width: int) -> np.ndarray:
+    """Rows of (place, value) pairs, or plain rows of numbers, as a table; places beyond the width are left out."""
+    out = np.zeros((len(features), width))
+    for row, cells in zip(out, features):
+        for k, c in enumerate(cells):
+            i, v = (c["i"], c["v"]) if isinstance(c, dict) else (k, c)
+            if i < width:
+                row[i] = v
+    return out
+
+
+def _width(features: list) -> int:
+    return max((c["i"] + 1 if isinstance(c, dict) else k + 1 for cells in features for k, c in enumerate(cells)), default=0)
+
+
+def fit_groups(df: DataFrame, by: list[str], rate: float = 0.25, epochs: int = 400, l2: float = 0.001, keep: list[str] | None = None) -> DataFrame:
+    """(by, ord, label, score, keep): for each group (a model of a split) fit on rows of part 'train' and score those of 'test'.
+
+    Features are numbers, or sparse (i, v) pairs. A group's training rows are dense in one task; fit_logistic is the
+    form for splits that no task holds.
+    """
     kinds = dict(df.dtypes)
-    schema = ", ".join(f"{b} {kinds[b]}" for b in by) + ", ord long, label int, score double"
+    more = keep or []
+    schema = ", ".join(f"{b} {kinds[b]}" for b in by) + ", ord long, label int, score double" + "".join(f", {c} {kinds[c]}" for c in more)
 
     def run(key, pdf):
         import pandas as pd
 
-        names = [*by, "ord", "label", "score"]
+        names = [*by, "ord", "label", "score", *more]
         train, test = (pdf[pdf["part"] == p].sort_values("ord") for p in ("train", "test"))
         if not len(train) or not len(test):
             return pd.DataFrame([], columns=names)
-        model = LogisticRegression(rate, epochs, l2).fit(np.stack(train["features"].to_list()), train["label"].to_numpy())
-        out = test[["ord", "label"]].assign(score=model.predict(np.stack(test["features"].to_list())))
+        x, z = train["features"].to_list(), test["features"].to_list()
+        width = _width(x)
+        model = LogisticRegression(rate, epochs, l2).fit(_dense(x, width), train["label"].to_numpy())
+        out = test[["ord", "label", *more]].assign(score=model.predict(_dense(z, width)))
         for b, v in zip(by, key):
             out[b] = v
         return out[names]
@@ -120,23 +145,45 @@ def fit_groups(df: DataFrame, by: list[str], rate: float = 0.25, epochs: int = 4
     return df.groupBy(*by).applyInPandas(run, schema)
 
 
-#: Tag universe of the provenance tagger and the words that stand for each tag.
+def fit_weights(df: DataFrame, by: list[str], rate: float = 0.25, epochs: int = 400, l2: float = 0.001) -> DataFrame:
+    """(by, idx, weight) of each group's model."""
+    kinds = dict(df.dtypes)
+
+    def run(key, pdf):
+        import pandas as pd
+
+        train = pdf[pdf["part"] == "train"].sort_values("ord")
+        x = train["features"].to_list()
+        if not len(x):
+            return pd.DataFrame([], columns=[*by, "idx", "weight"])
+        model = LogisticRegression(rate, epochs, l2).fit(_dense(x, _width(x)), train["label"].to_numpy())
+        return pd.DataFrame({**dict(zip(by, key)), "idx": np.arange(len(model.weights)), "weight": model.weights})[[*by, "idx", "weight"]]
+
+    return df.groupBy(*by).applyInPandas(run, ", ".join(f"{b} {kinds[b]}" for b in by) + ", idx int, weight double")
+
+
+# The tags of the provenance tagger and the words that stand for each in an evidence entry.
 TAG_WORDS = {
-    "retraction": ("retraction", "retracted"),
-    "expression_of_concern": ("expression of concern", "expression_of_concern"),
-    "major_correction": ("correction", "corrected"),
-    "community_flag": ("community_flag", "community flag", "pubpeer"),
-    "image_issue": ("image_issue", "image"),
-    "paper_mill_signal": ("paper_mill", "paper mill"),
-    "tortured_phrase": ("tortured",),
-    "metadata_anomaly": ("metadata_anomaly", "metadata"),
+    "retraction": ("retraction",),
+    "expression_of_concern": ("expression_of_concern", "expression of concern"),
+    "major_correction": ("major_correction", "major correction"),
+    "community_flag": ("community",),
+    "image_issue": ("image", "figure", "duplication"),
+    "paper_mill_signal": ("paper mill", "template family"),
+    "tortured_phrase": ("tortured phrase",),
+    "metadata_anomaly": ("metadata", "authorship", "revision timing"),
 }
 
 
+def evidence_text(entries: str = "provenance") -> Column:
+    """What the tagger reads: source, label and summary of each entry, one entry a line."""
+    return F.array_join(F.transform(entries, lambda e: F.concat_ws(" ", e["source_name"], e["observed_label"], e["summary"])), "\n")
+
+
 def predicted_tags(text: Column) -> Column:
     """Tags of which a word occurs in the evidence text, sorted."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    hits = [F.when(F.lit(False) | F.array_contains(F.array(*[F.contains(t, F.lit(w)) for w in words]), True), F.lit(tag)) for tag, words in TAG_WORDS.items()]
+    hits = [F.when(F.array_contains(F.array(*[F.contains(t, F.lit(w)) for w in words]), True), F.lit(tag)) for tag, words in TAG_WORDS.items()]
     return F.array_sort(F.array_compact(F.array(*hits)))
 
 

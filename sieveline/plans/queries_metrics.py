@@ -66,23 +66,38 @@ def ece(spark, d):
     return metrics.expected_calibration_error(scored(spark, d), ["lang"]).select("lang", F.round("ece", 6).alias("ece"))
 
 
+@query(
+    "ranking_metrics",
+    _SCORED
+    + """, n AS (SELECT lang, greatest(1, CAST(round_even(count(*) / 100, 0) AS BIGINT)) AS k1, greatest(1, CAST(round_even(count(*) * 5.0::DOUBLE / 100, 0) AS BIGINT)) AS k5, sum(label) AS pos FROM scored GROUP BY lang),
+tops AS (SELECT lang, sum(CASE WHEN label = 1 THEN hits / rank END) / any_value(pos) AS ap, sum(label) FILTER (rank <= k1) AS t1, sum(label) FILTER (rank <= k5) AS t5, any_value(k1) AS k1, any_value(k5) AS k5, any_value(pos) AS pos FROM ranked JOIN n USING (lang) GROUP BY lang),
+cells AS (SELECT lang, sum(n * abs(s - y)) / sum(n) AS ece FROM (SELECT lang, count(*) AS n, avg(score) AS s, avg(label) AS y FROM scored GROUP BY lang, least(9, floor(score * 10))) GROUP BY lang)
+SELECT lang, round(ap, 6) AS ap, round(ece, 6) AS ece, round(t1 / k1, 6) AS precision_1, round(t5 / k5, 6) AS precision_5, round(t1 / pos, 6) AS recall_1, round(t5 / pos, 6) AS recall_5 FROM tops JOIN cells USING (lang)""",
+)
+def ranking_metrics(spark, d):
+    m = metrics.ranking_metrics(scored(spark, d), ["lang"])
+    return m.select("lang", *[F.round(c, 6).alias(c) for c in ("ap", "ece", "precision_1", "precision_5", "recall_1", "recall_5")])
+
+
 @query("accuracy", "SELECT round(avg(CASE WHEN quality = CAST(n_chars % 2 AS INTEGER) THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM documents JOIN labels USING (doc_id)")
 def accuracy(spark, d):
     df = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id").withColumn("p", F.col("n_chars") % 2)
     return metrics.accuracy(df, "quality", "p").select(F.round("accuracy", 6).alias("accuracy"))
 
 
-_TAGGED = CTES + """, evidence AS (SELECT doi, string_agg(label || ' ' || source_name, ' ') AS t FROM known GROUP BY doi),
+# labels of this data are notice types and tags; a summary is the label in words, and a correction is "major" in both
+_TAGGED = CTES + """, evidence AS (SELECT doi, string_agg(source_name || ' ' || label || ' ' || CASE kind WHEN 0 THEN 'Official ' || replace(label, '_', ' ') || ' notice recorded in ' || source_name || '.'
+  ELSE 'External integrity signal: ' || replace(label, '_', ' ') || '.' END, chr(10)) AS t FROM known GROUP BY doi),
 pred AS (SELECT r.doi, r.core_tags || ';' || r.extension_tags AS truth, lower(coalesce(t, '')) AS t FROM records r LEFT JOIN evidence USING (doi)),
-flags AS (SELECT doi, tag, contains(truth, tag) AS y, CASE tag WHEN 'retraction' THEN contains(t, 'retraction') WHEN 'expression_of_concern' THEN contains(t, 'expression_of_concern') WHEN 'major_correction' THEN contains(t, 'correction')
-  WHEN 'community_flag' THEN contains(t, 'community_flag') WHEN 'image_issue' THEN contains(t, 'image') WHEN 'tortured_phrase' THEN contains(t, 'tortured') WHEN 'metadata_anomaly' THEN contains(t, 'metadata') ELSE contains(t, 'paper_mill') END AS p
+flags AS (SELECT doi, tag, contains(truth, tag) AS y, CASE tag WHEN 'retraction' THEN contains(t, 'retraction') WHEN 'expression_of_concern' THEN contains(t, 'expression_of_concern') OR contains(t, 'expression of concern')
+  WHEN 'major_correction' THEN contains(t, 'major_correction') OR contains(t, 'major correction') WHEN 'community_flag' THEN contains(t, 'community') WHEN 'image_issue' THEN contains(t, 'image') OR contains(t, 'figure') OR contains(t, 'duplication')
+  WHEN 'tortured_phrase' THEN contains(t, 'tortured phrase') WHEN 'metadata_anomaly' THEN contains(t, 'metadata') OR contains(t, 'authorship') OR contains(t, 'revision timing') ELSE contains(t, 'paper mill') OR contains(t, 'template family') END AS p
   FROM pred, (VALUES ('retraction'), ('expression_of_concern'), ('major_correction'), ('community_flag'), ('image_issue'), ('paper_mill_signal'), ('tortured_phrase'), ('metadata_anomaly')) v(tag))
 """
 
 
 def tagged(spark, d) -> DataFrame:
-    evidence = F.array_join(F.transform("provenance", lambda e: F.concat_ws(" ", e["observed_label"], e["source_name"])), " ")
-    return built(spark, d).select("doi", F.concat("core_tags", "extension_tags").alias("truth"), models.predicted_tags(evidence).alias("predicted"))
+    return built(spark, d).select("doi", F.concat("core_tags", "extension_tags").alias("truth"), models.predicted_tags(models.evidence_text()).alias("predicted"))
 
 
 @query("keyword_tagger", _TAGGED + "SELECT doi, coalesce(string_agg(tag, ';' ORDER BY tag) FILTER (p), '') AS tags FROM flags GROUP BY doi")

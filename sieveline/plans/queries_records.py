@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import canonical, manifest, records, splits
+from ..operators import canonical, manifest, normalize, records, splits
 from .standins import CTES, SCOPE, SNAPSHOT, articles, notices, read, signals
 
 QUERIES: dict = {}
@@ -124,7 +124,8 @@ def winner_rank(spark, d):
 
 @query("lineage_union", "SELECT CAST(l_orderkey AS VARCHAR) AS doi, string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), ';' ORDER BY CAST(l_suppkey AS VARCHAR)) AS lineage FROM lineitem GROUP BY 1", ctes=False)
 def lineage_union(spark, d):
-    return read(spark, d, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("doi")).agg(F.array_join(F.array_sort(F.collect_set(F.col("l_suppkey").cast("string"))), ";").alias("lineage"))
+    rows = read(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("doi"), F.array(F.col("l_suppkey").cast("string")).alias("source_lineage"))
+    return canonical.lineage(rows).select("doi", F.array_join("_lineage", ";").alias("lineage"))
 
 
 @query("dup_count", "SELECT count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS duplicates FROM lineitem", ctes=False)
@@ -306,9 +307,24 @@ def strata_counts(spark, d):
     return splits.strata_counts(read(spark, d, "documents"), ["lang", "source"])
 
 
+@query("slice_counts", "SELECT 'subfield' AS field, subfield AS value, count(*) AS n FROM records GROUP BY ALL UNION ALL SELECT 'publisher', publisher, count(*) FROM records GROUP BY ALL")
+def slice_counts(spark, d):
+    return records.slice_counts(built(spark, d))
+
+
+@query("collector_counts", "SELECT c_mktsegment AS collector_name, count(*) AS files, CAST(sum(c_custkey) AS BIGINT) AS parsed_rows, CAST(sum(c_nationkey) AS BIGINT) AS quarantined_rows FROM customer GROUP BY 1", ctes=False)
+def collector_counts(spark, d):
+    return manifest.collector_counts(read(spark, d, "customer").select(F.col("c_mktsegment").alias("collector_name"), F.col("c_custkey").alias("parsed_rows"), F.col("c_nationkey").cast("long").alias("quarantined_rows")))
+
+
+@query("inventory", "SELECT p_brand AS bucket, count(*) AS files, CAST(sum(p_size) AS BIGINT) AS bytes FROM part GROUP BY 1", ctes=False)
+def inventory(spark, d):
+    return manifest.inventory(read(spark, d, "part").select(F.col("p_brand").alias("bucket"), F.col("p_size").cast("long").alias("size_bytes")))
+
+
 @query("status_options", "SELECT DISTINCT notice_status FROM records")
 def status_options(spark, d):
-    return built(spark, d).select("notice_status").distinct()
+    return records.status_options(built(spark, d))
 
 
 # control plane
@@ -367,5 +383,5 @@ def collection_summary(spark, d):
 
 @query("allowlist_semi", "SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')", ctes=False)
 def allowlist_semi(spark, d):
-    allowed = read(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return read(spark, d, "orders").join(allowed, "o_orderkey", "left_semi").select("o_orderkey")
+    allowed = normalize.scope_allowlist(read(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").cast("string").alias("doi")))
+    return normalize.allowed_rows(articles(spark, d), allowed).select(F.col("doi").cast("long").alias("o_orderkey"))
