@@ -11,16 +11,49 @@ from pyspark.sql.window import Window
 FILES = "snapshot_id string, file_id string, collector_name string, relative_path string, content_sha256 string, size_bytes bigint, parse_status string, parsed_rows bigint, quarantined_rows bigint"
 
 
+#: Bytes that hashing holds of a file.
+READ_BYTES = 1 << 20
+
+
+def _file_system(root: str):
+    """The file system of a root and the path within it."""
+    from pyarrow import fs as pafs
+
+    if "://" not in root or root.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + root.removeprefix("file:").lstrip("/")
+    return pafs.FileSystem.from_uri(root)
+
+
 def scan_files(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> DataFrame:
-    """(relative_path, content_sha256, size_bytes) of files below root with one of the suffixes, in any case.
+    """(relative_path, content_sha256, size_bytes) of files below root with one of the suffixes, in any case, empty ones too.
 
-    The hash is taken where the file is read; no content reaches the driver.
+    Names and sizes are listed once; tasks read their files block by block, so a file's size does not matter and no
+    content reaches the driver. A root without such files gives no rows.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    pattern = "(" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$"
-    base = root.rstrip("/").split("://")[-1]
-    rel = F.regexp_replace(F.substring_index("path", base + "/", -1), "^/+", "")
-    return files.where(F.lower("path").rlike(pattern)).select(rel.alias("relative_path"), F.sha2("content", 256).alias("content_sha256"), F.col("length").alias("size_bytes"))
+    from pyarrow import fs as pafs
+
+    files, base = _file_system(root.rstrip("/"))
+    listed = [f for f in files.get_file_info(pafs.FileSelector(base, recursive=True)) if f.type == pafs.FileType.File and f.path.lower().endswith(suffixes)]
+    rows = spark.createDataFrame([(f.path[len(base) :].lstrip("/"), f.size) for f in listed], "relative_path string, size_bytes long")
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        files, base = _file_system(root.rstrip("/"))
+        for batch in batches:
+            digests = []
+            for name in batch.column(0).to_pylist():
+                digest = hashlib.sha256()
+                with files.open_input_stream(f"{base}/{name}", compression=None) as stream:
+                    while block := stream.read(READ_BYTES):
+                        digest.update(block)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string()), batch.column(1)], names=["relative_path", "content_sha256", "size_bytes"])
+
+    tasks = max(1, min(len(listed), 16 * spark.sparkContext.defaultParallelism))
+    return rows.repartition(tasks, "relative_path").mapInArrow(run, "relative_path string, content_sha256 string, size_bytes long")
 
 
 def stable_file_id(snapshot: str, collector: str, path: str) -> str:
@@ -50,9 +83,9 @@ def upsert_latest(current: DataFrame, changes: DataFrame, keys: list[str], versi
     return both.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(version.desc()))).where("_rn = 1").drop("_rn")
 
 
-def pending_files(files: DataFrame, done: DataFrame) -> DataFrame:
+def pending_files(files: DataFrame, done: DataFrame, keys: tuple[str, ...] | list[str] = ("content_sha256", "config")) -> DataFrame:
     """Files without a successful parse of the same content under the same configuration."""
-    return files.join(done.where("parse_status = 'success'"), ["content_sha256", "config"], "left_anti")
+    return files.join(done.where("parse_status = 'success'"), list(keys), "left_anti")
 
 
 def latest_as_of(df: DataFrame, keys: list[str], date: str, bound: Column, order: list[Column]) -> DataFrame:
@@ -65,6 +98,16 @@ def error_counts(files: DataFrame, errors: DataFrame) -> DataFrame:
     return errors.join(files.select("file_id", "collector_name"), "file_id").groupBy("collector_name", "error_code").agg(F.count("*").alias("n"))
 
 
+def inventory(files: DataFrame) -> DataFrame:
+    """(bucket, files, bytes) of files(bucket, size_bytes)."""
+    return files.groupBy("bucket").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"))
+
+
+def collector_counts(files: DataFrame) -> DataFrame:
+    """(collector_name, files, parsed_rows, quarantined_rows) of registered files."""
+    return files.groupBy("collector_name").agg(F.count("*").alias("files"), F.sum("parsed_rows").alias("parsed_rows"), F.sum("quarantined_rows").alias("quarantined_rows"))
+
+
 def collection_summary(articles: DataFrame) -> DataFrame:
     """Counts and missing shares of the canonical articles, one row."""
     n = F.greatest(F.lit(1), F.count("*"))

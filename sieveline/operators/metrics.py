@@ -35,7 +35,7 @@ def at_k(df: DataFrame, by: list[str], percents: list[float]) -> DataFrame:
     totals = df.groupBy(*by).agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
     shares = totals.select(*by, "n", "pos", F.explode(F.array(*[F.lit(float(p)) for p in percents])).alias("percent"))
     shares = shares.withColumn("k", F.greatest(F.lit(1), F.expr("bround(n * percent / 100, 0)")).cast("long"))
-    best = ranked.join(F.broadcast(shares), by) if by else ranked.crossJoin(F.broadcast(shares))
+    best = ranked.join(shares, by) if by else ranked.crossJoin(F.broadcast(shares))
     return best.groupBy(*by, "percent", "k", "pos").agg(F.sum(F.when(F.col("rank") <= F.col("k"), F.col("label")).otherwise(0)).alias("top")).select(
         *by, "percent", "k", (F.col("top") / F.col("k")).alias("precision"), F.when(F.col("pos") > 0, F.col("top") / F.col("pos")).otherwise(F.lit(0.0)).alias("recall")
     )
@@ -58,6 +58,16 @@ def expected_calibration_error(df: DataFrame, by: list[str], bins: int = 10) ->
     return cells.groupBy(*by).agg(gap.alias("ece")) if by else cells.agg(F.coalesce(gap, F.lit(0.0)).alias("ece"))
 
 
+def ranking_metrics(df: DataFrame, by: list[str]) -> DataFrame:
+    """(by, ap, ece, and precision and recall at 1 and 5 percent) of each group, one row a group."""
+    if not by:
+        raise ValueError("ranking metrics need a group")
+    cut = at_k(df, by, [1.0, 5.0])
+    at = lambda p, c: F.max(F.when(F.col("percent") == p, F.col(c)))
+    shares = cut.groupBy(*by).agg(at(1.0, "precision").alias("precision_1"), at(5.0, "precision").alias("precision_5"), at(1.0, "recall").alias("recall_1"), at(5.0, "recall").alias("recall_5"))
+    return average_precision(df, by).join(expected_calibration_error(df, by), by).join(shares, by)
+
+
 def accuracy(df: DataFrame, label: str, predicted: str) -> DataFrame:
     return df.agg(F.coalesce(F.avg((F.col(label) == F.col(predicted)).cast("double")), F.lit(0.0)).alias("accuracy"))
 

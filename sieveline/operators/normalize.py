@@ -381,6 +381,11 @@ def scope_allowlist(*sources: DataFrame) -> DataFrame:
     return out.where("doi != ''").distinct()
 
 
+def allowed_rows(rows: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Rows whose identifier is on the list."""
+    return rows.join(allowed.select("doi"), "doi", "left_semi")
+
+
 def retraction_rows(csv: DataFrame, freeze_end: str) -> DataFrame:
     """Notice rows of a retraction database export as of the freeze's end, without repeats."""
     have = {c.lower(): c for c in csv.columns}

@@ -163,6 +163,16 @@ def summary_breakdown(records: DataFrame) -> DataFrame:
     return records.select(F.explode(pairs).alias("p")).groupBy("p.field", "p.value").agg(F.count("*").alias("n"))
 
 
+def slice_counts(records: DataFrame) -> DataFrame:
+    """Counts by subfield and by publisher in one pass: (field, value, n)."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("subfield", "publisher")])
+    return records.select(F.explode(pairs).alias("p")).groupBy("p.field", "p.value").agg(F.count("*").alias("n"))
+
+
+def status_options(records: DataFrame) -> DataFrame:
+    return records.select("notice_status").distinct()
+
+
 def public_rows(records: DataFrame) -> DataFrame:
     """Publishable records with their public evidence only."""
     return records.where("auto_publish").withColumn("provenance", F.filter("provenance", lambda e: e["publicly_visible"]))

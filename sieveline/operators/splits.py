@@ -106,8 +106,8 @@ def _violations(df: DataFrame, rules: list[tuple[str, Column]], key: str = "doi"
     return df.select(F.col(key).alias("doi"), F.explode(broken).alias("rule")).select("rule", "doi")
 
 
-def leakage_audit(records: DataFrame, snapshot: str) -> DataFrame:
-    """(rule, doi) of records that break time censoring."""
+def leakage_audit(records: DataFrame, snapshot: str, fields: tuple[str, ...] = TASK_A_FIELDS) -> DataFrame:
+    """(rule, doi) of records that break time censoring; a feature that tells the outcome is one row, named in place of the identifier."""
     day = F.lit(snapshot).cast("date")
     pub = F.col("publication_date")
     before = lambda c: F.col(c) < pub
@@ -121,7 +121,11 @@ def leakage_audit(records: DataFrame, snapshot: str) -> DataFrame:
         ("author_history_after_publication", F.col("author_history_cutoff_date") > pub),
         ("journal_history_after_publication", F.col("journal_history_cutoff_date") > pub),
     ]
-    return _violations(records, rules)
+    out = _violations(records, rules)
+    banned = banned_features(fields)
+    if banned:
+        out = out.unionByName(records.sparkSession.createDataFrame([("banned_feature", f) for f in banned], "rule string, doi string"))
+    return out
 
 
 def banned_features(fields: tuple[str, ...] = TASK_A_FIELDS) -> list[str]:
@@ -160,7 +164,8 @@ def summary_mismatches(expected: DataFrame, actual: DataFrame, fields: list[str]
 def adjudication_rows(records: DataFrame, strata: list[str], order: list[str], sample: int = 500) -> DataFrame:
     """Round robin over strata: the first row of each, then the second of each, up to the sample's size."""
     rn = F.row_number().over(Window.partitionBy(*strata).orderBy(*order))
-    return records.withColumn("turn_no", rn.cast("long")).orderBy("turn_no", *strata).limit(sample)
+    # no stratum gives more rows than the sample has; the condition goes into the window
+    return records.withColumn("turn_no", rn.cast("long")).where(F.col("turn_no") <= sample).orderBy("turn_no", *strata).limit(sample)
 
 
 def strata_counts(rows: DataFrame, strata: list[str]) -> DataFrame:

@@ -179,7 +179,7 @@ def regex_extract_all(spark, d):
 
 @query("strip_tags", "SELECT page_id, md5(regexp_replace(html, '<[^>]+>', '', 'g')) AS digest FROM pages")
 def strip_tags(spark, d):
-    return read(spark, d, "pages").select("page_id", F.md5(F.regexp_replace("html", "<[^>]+>", "")).alias("digest"))
+    return read(spark, d, "pages").select("page_id", F.md5(files.strip_tags(F.col("html"))).alias("digest"))
 
 
 @query(
@@ -198,9 +198,15 @@ def source_classification(spark, d):
     return files.apply_overrides(files.classify_sources(df), over).select("page_id", "bucket", "reason")
 
 
-@query("status_labels", "SELECT DISTINCT event_type, upper(left(event_type, 1)) || lower(substr(event_type, 2)) AS label FROM events WHERE event_type NOT LIKE '%\\_%' ESCAPE '\\'")
+@query(
+    "status_labels",
+    """SELECT DISTINCT label, list_aggregate(list_transform(string_split(replace(label, '_', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', ' ') AS shown
+FROM (SELECT event_type AS label FROM events UNION ALL SELECT event_type || '_' || (event_id % 3) || '_seen' FROM events)""",
+)
 def status_labels(spark, d):
-    return read(spark, d, "events").where(~F.col("event_type").contains("_")).select("event_type", S.title_status(F.col("event_type")).alias("label")).distinct()
+    e = F.col("event_type")
+    labels = read(spark, d, "events").select(F.explode(F.array(e, F.concat(e, F.lit("_"), (F.col("event_id") % 3).cast("string"), F.lit("_seen")))).alias("label"))
+    return labels.select("label", S.title_status(F.col("label")).alias("shown")).distinct()
 
 
 @query("freeze_period", "SELECT o_orderkey, CAST(last_day(CAST(o_orderdate AS DATE)) AS VARCHAR) AS freeze_end FROM orders")

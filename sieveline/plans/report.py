@@ -53,6 +53,34 @@ def replace_block(text: str, name: str, body: str) -> str:
     return text.rstrip("\n") + f"\n\n{block}\n"
 
 
+def protocol(summary: dict, columns: tuple[str, ...]) -> str:
+    """What two reviewers do with the adjudication queue."""
+    steps = ("Read the record and the sources that it links to.", "Decide whether its weak label points the right way.", "Check that the public wording is factual, cautious and linked to a source.", "Take disagreements to a consensus review.")
+    labels = (("official_notice", "metadata of the notice may be public"), ("curator_review", "signals need a curator before they are shown"), ("none_known_at_snapshot", "no public signal or notice at the snapshot"))
+    parts = ["# Adjudication protocol", "", *[f"{k}. {x}" for k, x in enumerate(steps, 1)], "", "Fields to fill in: " + ", ".join(f"`{c}`" for c in columns) + ".", ""]
+    parts += [f"- `{k}`: {v}" for k, v in labels] + ["", table(["pack", "rows"], [["requested", summary["requested_sample_size"]], ["written", summary["rows_written"]]])]
+    return "\n".join(parts) + "\n"
+
+
+def results_document(summary: dict, violations: int, runs: list[dict], robustness: list[dict], task_b: dict, label: str, snapshot_id: str) -> str:
+    """Results of a release on real data: corpus, audit, both tasks and robustness over splits."""
+    counts = [[k, v] for k, v in sorted(summary.items()) if not isinstance(v, dict)]
+    head = ["task", "model", "ap", "lo", "hi", "recall_1", "recall_5", "ece"]
+    parts = [f"# Results, {label}", "", f"Snapshot `{snapshot_id}`.", "", "## Corpus", "", table(["count", "value"], counts), "", f"Leakage audit: {violations} violations.", "", "## Task A", ""]
+    parts.append(table(head, [[r["task_name"], r["model"], *[r.get(c) for c in head[2:]]] for r in runs]))
+    splits = sorted({r["task_name"] for r in robustness})
+    parts += ["", "## Robustness, average precision", "", table(["model", *splits], pivot(robustness, "model", "task_name", "ap", splits))]
+    parts += ["", "## Task B", "", table(["metric", "value"], [[k, v] for k, v in sorted(task_b.items())])]
+    return "\n".join(parts) + "\n"
+
+
+def readme_block(text: str, summary: dict, violations: int, runs: list[dict], task_b: dict, document: str) -> str:
+    """A readme with its managed block brought up to date."""
+    top = best_run(runs)
+    rows = [["records", summary.get("record_count")], ["leakage violations", violations], ["best task A run", f"{top['model']} on {top['task_name']}, {number(top['ap'])}" if top else None], ["task B macro F1", task_b.get("macro_f1")]]
+    return replace_block(text, "results", table(["", ""], rows) + f"\n\nMore in [{document}]({document}).")
+
+
 def curve_svg(series: dict[str, list[tuple[float, float]]], x_label: str, y_label: str, diagonal: bool = False) -> str:
     """Lines within the unit square."""
     size, pad = 320, 40

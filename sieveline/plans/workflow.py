@@ -6,6 +6,8 @@ and manifest.sqlite3.
 
 from __future__ import annotations
 
+import gzip
+import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +26,11 @@ COLLECTORS = {
     "pubmed_index": ("pubmed", (".jsonl", ".jsonl.gz", ".csv", ".csv.gz", ".xml", ".xml.gz")),
 }
 
+#: Part of the key under which a file counts as done; a change of the parsers changes it.
+PARSER_VERSION = "v2"
+# Columns that reviewers fill in.
+REVIEW_COLUMNS = ("reviewer_a_decision", "reviewer_b_decision", "consensus_decision", "wording_review", "notes")
+
 
 class Workflow:
     def __init__(self, spark: SparkSession, root: str | Path):
@@ -58,60 +65,139 @@ class Workflow:
         have = self.spark.createDataFrame([(f["relative_path"], f["content_sha256"]) for f in self.store.files(snapshot_id)], "relative_path string, content_sha256 string")
         manifest.assert_frozen(have, self.scan(snap["raw_root"]).select("relative_path", "content_sha256"))
 
-    def _lines(self, snapshot_id: str, collector: str, wanted: DataFrame) -> DataFrame:
-        """Raw rows of the wanted files as JSON lines; CSV and XML rows are written as objects first."""
-        raw = Path(self.store.snapshot(snapshot_id)["raw_root"]) / COLLECTORS[collector][0]
-        path = f"file://{raw.resolve()}"
-        names = [p.name.lower() for p in raw.rglob("*") if p.is_file()]
+    def _lines(self, snapshot_id: str, collector: str, todo: list[dict]) -> DataFrame:
+        """Raw rows of the files to do as JSON lines; CSV and XML rows are written as objects first. One reader for each format, and for CSV one for each header."""
+        raw = Path(self.store.snapshot(snapshot_id)["raw_root"]).resolve()
+        paths = [raw / f["relative_path"] for f in todo]
+        kind = lambda p: next((k for k in ("csv", "xml") if p.name.lower().endswith((f".{k}", f".{k}.gz"))), "json")
+        of = lambda k: [f"file://{p}" for p in paths if kind(p) == k]
         parts = []
-        if any(n.endswith((".jsonl", ".jsonl.gz")) or (collector == "openalex_bulk" and n.endswith(".gz")) for n in names):
-            df = files.numbered_lines(self.spark, path)
-            parts.append(df.where(~F.lower("file").rlike(r"\.(csv|xml)(\.gz)?$|\.(json|tsv|md|txt)$")))
-        for p in sorted(raw.rglob("*")) if collector != "openalex_bulk" else []:
-            if p.name.lower().endswith((".csv", ".csv.gz")):
-                rows = files.csv_rows(self.spark, f"file://{p.resolve()}")
-                n = F.monotonically_increasing_id() + 2
-                parts.append(rows.select(F.lit(f"file://{p.resolve()}").alias("file"), n.alias("line_number"), F.to_json(F.struct(*rows.columns)).alias("line")))
-            elif p.name.lower().endswith((".xml", ".xml.gz")):
-                rows = files.pubmed_xml(self.spark, f"file://{p.resolve()}")
-                line = F.when(F.col("error").isNotNull(), F.substring("error", 1, 500)).otherwise(F.to_json(F.struct("doi", "pmid", "mesh_terms", "keywords", "publication_types", "journal_title")))
-                parts.append(rows.select(F.lit(f"file://{p.resolve()}").alias("file"), (F.monotonically_increasing_id() + 1).alias("line_number"), line.alias("line")))
+        if of("json"):
+            parts.append(files.numbered_lines(self.spark, of("json")))
+        heads: dict[str, list[str]] = {}
+        for p in paths:
+            if kind(p) == "csv":
+                with (gzip.open if p.name.lower().endswith(".gz") else open)(p, "rt", encoding="utf-8-sig", errors="replace") as f:
+                    heads.setdefault(f.readline().strip(), []).append(f"file://{p}")
+        for same in heads.values():
+            rows = files.csv_rows(self.spark, same)
+            line = F.to_json(F.struct(*rows.columns))
+            numbered = files.with_ordinal(rows.withColumn("line", line))
+            parts.append(numbered.select("file", (F.col("ordinal") + 1).alias("line_number"), "line"))  # the header is line 1
+        if of("xml"):
+            rows = files.pubmed_xml(self.spark, of("xml"))
+            line = F.when(F.col("error").isNotNull(), F.substring("error", 1, 500)).otherwise(F.to_json(F.struct("doi", "pmid", "mesh_terms", "keywords", "publication_types", "journal_title")))
+            parts.append(rows.select("file", F.col("ordinal").alias("line_number"), line.alias("line")))
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
-        relative = F.concat(F.lit(COLLECTORS[collector][0] + "/"), F.regexp_replace(F.substring_index("file", str(raw.resolve()) + "/", -1), "^/+", ""))
-        return out.withColumn("relative_path", F.url_decode(relative)).join(F.broadcast(wanted), "relative_path").select("file_id", "line_number", "line", F.lit(snapshot_id).alias("snapshot_id"))
+        wanted = self.spark.createDataFrame([(f["relative_path"], f["file_id"]) for f in todo], "relative_path string, file_id string")
+        relative = F.regexp_replace(F.substring_index(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))), str(raw) + "/", -1), "^/+", "")
+        # every line belongs to a file that was asked for; one that does not is an error, not a row to leave out
+        placed = out.withColumn("relative_path", relative).join(F.broadcast(wanted), "relative_path", "left")
+        file_id = F.when(F.col("file_id").isNull(), F.raise_error(F.concat(F.lit("file is not registered: "), "relative_path"))).otherwise(F.col("file_id"))
+        return placed.select(file_id.alias("file_id"), "line_number", "line", F.lit(snapshot_id).alias("snapshot_id"))
+
+    def _unregistered(self, snapshot_id: str, collector: str) -> list[str]:
+        raw, (folder, suffixes) = Path(self.store.snapshot(snapshot_id)["raw_root"]), COLLECTORS[collector]
+        have = {f["relative_path"] for f in self.store.files(snapshot_id, collector)}
+        there = {p.relative_to(raw).as_posix() for p in (raw / folder).rglob("*") if p.is_file() and p.name.lower().endswith(suffixes)}
+        return sorted(there - have)
+
+    def pending(self, snapshot_id: str, collector: str, config: str) -> list[dict]:
+        """Files that are not done under this configuration, or whose output is gone."""
+        rows = self.store.files(snapshot_id, collector)
+        if not rows:
+            return []
+        out = self.root / "normalized" / snapshot_id / collector
+        kept = lambda f: not (f["parsed_rows"] or f["quarantined_rows"]) or any((out / f"file_id={f['file_id']}").glob("*.parquet"))
+        done = [(f["file_id"], f["content_sha256"], f["config"] or "", f["parse_status"]) for f in rows if kept(f)]
+        kinds = "file_id string, content_sha256 string, config string, parse_status string"
+        files_ = self.spark.createDataFrame([(f["file_id"], f["content_sha256"], config, "") for f in rows], kinds).drop("parse_status")
+        left = {r.file_id for r in manifest.pending_files(files_, self.spark.createDataFrame(done, kinds), ["file_id", "content_sha256", "config"]).collect()}
+        return [f for f in rows if f["file_id"] in left]
+
+    def ingest(self, snapshot_id: str, collector: str, early_scope: bool = False, allowed: DataFrame | None = None, trusted: bool = False, progress=None) -> dict:
+        """Parse files that are not done under this configuration; returns counts by kind.
 
-    def ingest(self, snapshot_id: str, collector: str, early_scope: bool = False, allowed: DataFrame | None = None, trusted: bool = False) -> dict:
-        """Parse files that are not done under this configuration; returns counts by kind."""
+        The configuration is the parser's version, the scope and the allowlist's contents. progress(event) is told of
+        the start, each file's counts and the end.
+        """
         if not trusted:
             self.assert_frozen(snapshot_id)
-        config = f"v1,early={early_scope}"
-        todo = [f for f in self.store.files(snapshot_id, collector) if not (f["parse_status"] == "success" and f["config"] == config)]
+        if stray := self._unregistered(snapshot_id, collector):
+            raise manifest.SnapshotChanged("not registered: " + ", ".join(stray[:20]))
+        config = f"{PARSER_VERSION},early={early_scope}"
+        if allowed is not None:
+            n, total = allowed.select("doi").distinct().agg(F.count("*"), F.sum(F.xxhash64("doi").cast("decimal(38,0)"))).first()
+            config += f",allowed={n}:{total}"
+        tell = progress or (lambda event: None)
+        todo = self.pending(snapshot_id, collector, config)
+        tell({"event": "start", "collector": collector, "total_files": len(todo)})
         if not todo:
             return {"files": 0}
         run = self.store.start_run(snapshot_id, "ingest", collector)
         try:
-            wanted = self.spark.createDataFrame([(f["relative_path"], f["file_id"]) for f in todo], "relative_path string, file_id string")
-            lines = self._lines(snapshot_id, collector, wanted)
+            lines = self._lines(snapshot_id, collector, todo)
             parse = {"openalex_bulk": lambda d: normalize.normalize_works(d, early_scope, allowed), "local_notice_export": normalize.normalize_notices, "pubmed_index": normalize.normalize_index_rows}[collector]
             out = self._at("normalized", snapshot_id, collector)
             # only the folders of the files of this run are replaced
             parse(lines).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_id").parquet(out)
-            done = self.spark.read.parquet(out).join(F.broadcast(wanted.select("file_id")), "file_id", "left_semi")
+            wanted = self.spark.createDataFrame([(f["file_id"],) for f in todo], "file_id string")
+            done = self.spark.read.parquet(out).join(F.broadcast(wanted), "file_id", "left_semi")
             counts = normalize.outcome_counts(done).collect()  # a few rows for each file
-            for f in todo:
-                own = [r for r in counts if r.file_id == f["file_id"]]
-                self.store.parsed(f["file_id"], config, sum(r.n for r in own if r.kind == "normalized"), {r.code: r.n for r in own if r.kind == "quarantine"})
+            by_file: dict[str, list] = {}
+            for r in counts:
+                by_file.setdefault(r.file_id, []).append(r)
+            for k, f in enumerate(todo, 1):
+                own = by_file.get(f["file_id"], [])
+                errors = {r.code: r.n for r in own if r.kind == "quarantine"}
+                parsed = sum(r.n for r in own if r.kind == "normalized")
+                self.store.parsed(f["file_id"], config, parsed, errors)
+                tell({"event": "file_completed", "collector": collector, "file_index": k, "total_files": len(todo), "path": f["relative_path"], "normalized_rows": parsed, "quarantined_rows": sum(errors.values())})
             self.store.finish_run(run, "success")
         except Exception:
             self.store.finish_run(run, "failed")
+            tell({"event": "failed", "collector": collector})
             raise
         totals: dict = {"files": len(todo)}
         for r in counts:
             totals[r.kind] = totals.get(r.kind, 0) + r.n
+        tell({"event": "finished", "collector": collector} | totals)
         return totals
 
+    def row_errors(self, snapshot_id: str, collector: str) -> DataFrame:
+        """(file_id, line_number, error_code, error_message, raw_excerpt) of quarantined rows; a file's rows are replaced when it is parsed again."""
+        at = self._at("normalized", snapshot_id, collector)
+        return self.spark.read.parquet(at).where("kind = 'quarantine'").select("file_id", "line_number", "error_code", "error_message", "raw_excerpt")
+
+    def normalize_sources(self, raw_root: str, out: str) -> dict:
+        """Normalised articles, notices and index rows of a raw folder as JSON lines, without a registered snapshot of its own."""
+        snapshot_id = "export-" + manifest.stable_file_id("", "", str(Path(raw_root).resolve()))[:12]
+        self.register(snapshot_id, raw_root)
+        counts = {}
+        for name, collector in (("articles", "openalex_bulk"), ("official_notices", "local_notice_export"), ("pubmed_index", "pubmed_index")):
+            if self.store.files(snapshot_id, collector):
+                self.ingest(snapshot_id, collector, trusted=True)
+                rows = self.normalized(snapshot_id, collector)
+                sinks.write_json_lines(canonical.merge_articles(rows) if name == "articles" else rows, f"{out}/{name}")
+                counts[name] = files.count_lines(self.spark, f"{out}/{name}")
+        return counts
+
+    def build_allowlist(self, snapshot_id: str, out: str, include_pubmed: bool = True) -> dict:
+        """Distinct identifiers of normalised notices and index rows as sorted text below `out`, with the rows that each collector gave."""
+        self.assert_frozen(snapshot_id)
+        names = ["local_notice_export"] + ["pubmed_index"] * include_pubmed
+        found = {}
+        for name in names:
+            if self.store.files(snapshot_id, name):
+                self.ingest(snapshot_id, name, trusted=True)
+                found[name] = self.normalized(snapshot_id, name)
+        counts = {name: df.where("doi <> ''").count() for name, df in found.items()}
+        dois = normalize.scope_allowlist(*found.values()) if found else self.spark.createDataFrame([], "doi string")
+        dois.orderBy("doi").write.mode("overwrite").text(out)
+        return {"doi_count": files.count_lines(self.spark, out), "rows_by_collector": counts, "include_pubmed": include_pubmed}
+
     def normalized(self, snapshot_id: str, collector: str) -> DataFrame | None:
         path = self.root / "normalized" / snapshot_id / collector
         if not path.is_dir():
@@ -150,14 +236,21 @@ class Workflow:
         """External signals laid beside the canonical tables; none if there is no such file."""
         return files.source_rows(self.spark, self.root / "canonical" / snapshot_id, "external_signals", SIGNALS)
 
-    def validate(self, snapshot_id: str) -> list[tuple[str, str]]:
-        """Broken promises of the canonical snapshot, at most 1,000 of them, and counts that differ from the artifacts."""
+    def validate(self, snapshot_id: str) -> dict:
+        """Broken promises of the canonical snapshot, all written below its folder and counted by rule, and recorded counts that do not hold."""
         day = self.store.snapshot(snapshot_id)["snapshot_date"]
-        found = [tuple(r) for r in splits.validate_snapshot(self.canonical(snapshot_id, "articles"), self.canonical(snapshot_id, "official_notices"), day).limit(1000).collect()]
-        for a in self.store.artifacts(snapshot_id):
-            if self.canonical(snapshot_id, a["kind"]).count() != a["row_count"]:
-                found.append(("row_count_mismatch", a["kind"]))
-        return found
+        at = self._at("canonical", snapshot_id, "violations")
+        splits.validate_snapshot(self.canonical(snapshot_id, "articles"), self.canonical(snapshot_id, "official_notices"), day).write.mode("overwrite").parquet(at)
+        rules = {r.rule: r["count"] for r in self.spark.read.parquet(at).groupBy("rule").count().collect()}
+        actual = {a["kind"]: self.canonical(snapshot_id, a["kind"]).count() for a in self.store.artifacts(snapshot_id)}
+        wrong = [f"row_count:{a['kind']}" for a in self.store.artifacts(snapshot_id) if actual[a["kind"]] != a["row_count"]]
+        summary = self.root / "canonical" / snapshot_id / "collection_summary.json"
+        if not summary.exists():
+            wrong.append("summary:missing")
+        else:
+            recorded = json.loads(summary.read_text())
+            wrong += [f"summary:{k}" for k in ("articles", "official_notices", "orphan_notices") if recorded.get(k) != actual.get(k)]
+        return {"passed": not rules and not wrong, "violations": rules, "mismatches": wrong}
 
     # release
 
@@ -182,42 +275,92 @@ class Workflow:
         splits.leakage_audit(self.records(), snapshot_date).write.mode("overwrite").parquet(self._at("release", "leakage"))
         return self.spark.read.parquet(self._at("release", "leakage")).count()
 
-    def train_task_a(self, months: int = 12) -> list[dict]:
-        """Average precision and calibration of the metadata, text and combined models on the time split."""
+    def train_task_a(self, months: int = 12, robust: bool = False) -> list[dict]:
+        """Metrics of the metadata, text and combined models on the time split, or with robust on every split of the task that has rows to train and test on."""
         task, label = f"task_a_{months}m", f"any_signal_or_notice_within_{months}m"
-        part = self.spark.read.parquet(self._at("release", "splits")).where((F.col("task_name") == task) & (F.col("split_kind") == "time"))
-        r = self.records().join(part.select("doi", "part"), "doi")
-        r = r.withColumns({"ord": F.xxhash64("doi"), "label": F.col(label).cast("int")})
+        parts = self.spark.read.parquet(self._at("release", "splits")).where((F.col("task_name") == task) & ((F.col("split_kind") == "time") | F.lit(robust)))
+        parts = parts.select("doi", "part", F.coalesce(F.concat(F.lit(f"{task}_"), "group_field", F.lit("_holdout")), F.lit(task)).alias("split"))
+        name = f"{task}_robustness" if robust else task
+        split_names = sorted(r.split for r in parts.select("split").distinct().collect())  # one time split and a holdout for each field
+        scored = None
+        for split in split_names:
+            part = self._task_a_features(label, parts.where(F.col("split") == split).drop("split")).withColumn("split", F.lit(split))
+            scored = part if scored is None else scored.unionByName(part)
+        if scored is None:
+            return []
+        fitted = models.fit_groups(scored, ["split", "model"], keep=["doi"])
+        fitted.write.mode("overwrite").parquet(self._at("release", name))
+        scores = self.spark.read.parquet(self._at("release", name)).join(self.records().select("doi", "subfield"), "doi")
+        by = ["split", "model"]
+        rows = metrics.ranking_metrics(scores, by).join(metrics.bootstrap_ci(scores, by), by).collect()
+        sub = metrics.average_precision(scores, [*by, "subfield"]).collect()
+        curve = metrics.calibration_curve(scores, by).collect()
+        scan = metrics.at_k(scores, by, [0.5, 1.0, 2.0, 5.0, 10.0]).collect()
+        own = lambda found, r: [x.asDict() for x in found if (x.split, x.model) == (r.split, r.model)]
+        out = []
+        for r in sorted(rows, key=lambda r: (r.split, r.model)):
+            out.append(
+                {"task_name": r.split, "model": r.model}
+                | {k: round(r[k], 4) for k in ("ap", "lo", "hi", "ece", "precision_1", "precision_5", "recall_1", "recall_5")}
+                | {"ap_by_subfield": {x["subfield"]: round(x["ap"], 4) for x in sorted(own(sub, r), key=lambda x: x["subfield"])}}
+                | {"calibration_curve": sorted(({k: x[k] for k in ("bin", "n", "mean_score", "positive_rate")} for x in own(curve, r)), key=lambda x: x["bin"])}
+                | {"scan": {f"top_{x['percent']:g}pct": {"k": x["k"], "precision": round(x["precision"], 4), "recall": round(x["recall"], 4)} for x in sorted(own(scan, r), key=lambda x: x["percent"])}}
+            )
+        sinks.write_json(self.root / "release" / f"{name}.json", out)
+        return out
+
+    def _task_a_features(self, label: str, part: DataFrame) -> DataFrame:
+        """(doi, ord, label, part, model, idx, value) of one split: each row's features as sparse places and values, for each of the three models."""
+        r = self.records().join(part, "doi").withColumns({"ord": F.xxhash64("doi"), "label": F.col(label).cast("int")})
         train = r.where("part = 'train'")
-        hot = models.one_hot(r, models.category_dictionary(train)).groupBy("doi").agg(F.collect_set("idx").alias("idx"))
-        width = models.category_dictionary(train).count()
+        dictionary = models.category_dictionary(train)
+        width = dictionary.count()
         text = F.concat_ws(" ", "title", "abstract")
         vocab = models.vocabulary(train, text)
-        places = sorted(v.token for v in vocab.select("token").collect())  # the 128 words of the vocabulary
-        words = models.tf_idf(r, "doi", text, vocab).groupBy("doi").agg(F.map_from_entries(F.collect_list(F.struct("token", "tf_idf"))).alias("w"))
-        dense = lambda n, value: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), value) if n else F.array().cast("array<double>")
-        joined = r.join(hot, "doi", "left").join(words, "doi", "left")
-        meta = F.concat(dense(width, lambda i: F.coalesce(F.array_contains("idx", i), F.lit(False)).cast("double")), models.numeric_features())
-        tokens = F.array(*[F.coalesce(F.try_element_at("w", F.lit(t)), F.lit(0.0)) for t in places]) if places else F.array(F.lit(0.0))
-        long = joined.select("ord", "label", "part", F.explode(F.array(F.struct(F.lit("metadata").alias("model"), meta.alias("features")), F.struct(F.lit("text").alias("model"), tokens.alias("features")), F.struct(F.lit("fusion").alias("model"), F.concat(meta, tokens).alias("features")))).alias("m"))
-        scores = models.fit_groups(long.select("ord", "label", "part", "m.model", "m.features"), ["model"])
-        scores.write.mode("overwrite").parquet(self._at("release", task))
-        scores = self.spark.read.parquet(self._at("release", task))
-        ap = {x.model: x.ap for x in metrics.average_precision(scores, ["model"]).collect()}
-        ece = {x.model: x.ece for x in metrics.expected_calibration_error(scores, ["model"]).collect()}
-        return [{"task_name": task, "model": m, "ap": ap[m], "ece": ece.get(m)} for m in sorted(ap)]
+        places = {v.token: k for k, v in enumerate(vocab.select("token").orderBy("token").collect())}  # the 128 words of the vocabulary
+        cell = lambda i, v: F.struct(i.cast("int").alias("i"), v.cast("double").alias("v"))
+        hot = models.one_hot(r, dictionary).groupBy("doi").agg(F.collect_list(cell(F.col("idx"), F.lit(1.0))).alias("hot"))
+        token = self.spark.createDataFrame(list(places.items()), "token string, k int") if places else self.spark.createDataFrame([], "token string, k int")
+        words = models.tf_idf(r, "doi", text, vocab).join(F.broadcast(token), "token").groupBy("doi").agg(F.collect_list(cell(F.col("k"), F.col("tf_idf"))).alias("words"))
+        none = F.array().cast("array<struct<i: int, v: double>>")
+        numbers = F.transform(models.numeric_features(), lambda v, i: cell(F.lit(width) + i, v))
+        meta = F.concat(F.coalesce("hot", none), numbers)
+        shifted = F.transform(F.coalesce("words", none), lambda c: cell(c["i"] + width + 6, c["v"]))
+        kinds = [("metadata", meta), ("text", F.coalesce("words", none)), ("fusion", F.concat(meta, shifted))]
+        model = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), c.alias("features")) for n, c in kinds]))
+        return r.join(hot, "doi", "left").join(words, "doi", "left").select("doi", "ord", "label", "part", model.alias("m")).select("doi", "ord", "label", "part", "m.model", "m.features")
+
+    def feature_importance(self, months: int = 12, top: int = 20) -> list[dict]:
+        """The features of the metadata model with the largest weights, either sign, ties in the order of the features."""
+        task, label = f"task_a_{months}m", f"any_signal_or_notice_within_{months}m"
+        part = self.spark.read.parquet(self._at("release", "splits")).where((F.col("task_name") == task) & (F.col("split_kind") == "time")).select("doi", "part")
+        rows = self._task_a_features(label, part).where("model = 'metadata'").withColumn("split", F.lit(task))
+        train = self.records().join(part.where("part = 'train'"), "doi").withColumn("ord", F.xxhash64("doi"))
+        named = {r.idx: r.feature for r in models.category_dictionary(train).collect()}
+        named |= {len(named) + k: n for k, n in enumerate(models.NUMERIC_NAMES)}
+        weights = models.fit_weights(rows, ["split"]).collect()
+        weights = sorted(weights, key=lambda r: (-abs(r.weight), r.idx))[:top]
+        return [{"feature": named.get(r.idx, str(r.idx)), "weight": round(r.weight, 6)} for r in weights]
 
     def train_task_b(self) -> dict:
         """Accuracy of the predicted status, macro F1 of predicted tags, and coverage."""
-        evidence = F.array_join(F.transform("provenance", lambda e: F.concat_ws(" ", e["observed_label"], e["source_name"], e["summary"])), " ")
-        r = self.records().withColumns({"truth": F.concat("core_tags", "extension_tags"), "predicted": models.predicted_tags(evidence)}).withColumn("status", models.predicted_status(F.col("predicted")))
+        r = self.records().withColumns({"truth": F.concat("core_tags", "extension_tags"), "predicted": models.predicted_tags(models.evidence_text())}).withColumn("status", models.predicted_status(F.col("predicted")))
         f1 = metrics.macro_f1(r, "truth", "predicted", list(models.TAG_WORDS)).agg(F.avg("f1")).first()[0]
         return {"accuracy": metrics.accuracy(r, "notice_status", "status").first()[0], "macro_f1": f1, "coverage": metrics.provenance_coverage(r, "source_names", "source_urls").first()[0]}
 
     def adjudication(self, sample: int = 500) -> int:
+        """The queue for double review as CSV, with its summary and the reviewers' protocol."""
         rows = splits.adjudication_rows(self.records(), ["notice_status", "subfield"], ["publication_date", "doi"], sample)
-        sinks.write_csv(records.flat_rows(rows.coalesce(1)), self._at("release", "adjudication"))
-        return rows.count()
+        eligible = F.when(F.col("auto_publish"), "official_notice").when(F.col("curator_review_required"), "curator_review").otherwise("none_known_at_snapshot")
+        rows = rows.select("doi", "title", "publication_date", "subfield", "notice_status", F.array_join("core_tags", ";").alias("core_tags"), F.array_join("extension_tags", ";").alias("extension_tags"), eligible.alias("public_release_eligibility"), *[F.lit("").alias(c) for c in REVIEW_COLUMNS])
+        at = self._at("release", "adjudication")
+        sinks.write_csv(rows.coalesce(1), at)  # `sample` rows at most
+        written = files.csv_rows(self.spark, at)
+        strata = {r.stratum: r.n for r in splits.strata_counts(written, ["notice_status", "subfield"]).collect()}
+        summary = {"requested_sample_size": sample, "rows_written": sum(strata.values()), "coverage_complete": sum(strata.values()) >= sample, "strata_counts": strata}
+        sinks.write_json(self.root / "release" / "adjudication_summary.json", summary)
+        sinks.write_text(self.root / "release" / "adjudication_protocol.md", report.protocol(summary, REVIEW_COLUMNS))
+        return summary["rows_written"]
 
     def build_site(self, summary: dict) -> int:
         """Pages for the publishable records; the number of pages is the number of rows that reach the driver."""
@@ -236,6 +379,8 @@ class Workflow:
         sizes = self.build_splits()
         violations = self.audit(snapshot_date)
         runs = self.train_task_a(12) + self.train_task_a(36)
+        self.train_task_a(12, robust=True)
+        self.train_task_a(36, robust=True)
         summary["task_b_accuracy"] = self.train_task_b()["accuracy"]
         self.adjudication()
         self.build_site(summary)

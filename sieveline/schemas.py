@@ -26,7 +26,6 @@ PUBMED = (
 
 # Fixed values of the domain.
 INCLUDED_WORK_TYPES = ("article", "review")
-EXCLUDED_WORK_TYPES = ("conference_paper", "editorial", "letter", "book_chapter", "correction", "notice", "protocol", "preprint")
 ALLOWED_NOTICE_TYPES = ("retraction", "expression_of_concern", "major_correction")
 TASK_A_FIELDS = (
     "title",

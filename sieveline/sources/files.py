@@ -11,11 +11,12 @@ from collections.abc import Iterator
 from datetime import date
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 from pyspark.sql.window import Window
 
+from ..functions.scalars import normalize_doi
 from ..schemas import ARTICLES, NOTICES, SIGNALS
 
 PUBMED_XML = (
@@ -26,7 +27,7 @@ PUBMED_XML = (
 )
 
 
-def numbered_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
     """(file, line_number, line) of non-blank lines of plain and gzip files; numbers count blank lines too.
 
     A file's splits are ordered by their first byte and a split's lines by their running id, so numbers hold when a
@@ -34,9 +35,8 @@ def numbered_lines(spark: SparkSession, path: str, glob: str | None = None) -> D
     """
     reader = spark.read.option("recursiveFileLookup", True)
     reader = reader.option("pathGlobFilter", glob) if glob else reader
-    df = reader.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("i"))
-    n = F.row_number().over(Window.partitionBy("file").orderBy("at", "i"))
-    return df.withColumn("line_number", n.cast("long")).where(F.trim("value") != "").select("file", "line_number", F.trim("value").alias("line"))
+    df = with_ordinal(reader.text(path), "line_number")
+    return df.where(F.trim("value") != "").select("file", "line_number", F.trim("value").alias("line"))
 
 
 def json_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
@@ -61,15 +61,38 @@ def source_bundle(spark: SparkSession, folder: str | Path) -> tuple[DataFrame, D
     return articles.withColumns(filled), source_rows(spark, folder, "official_notices", NOTICES), source_rows(spark, folder, "external_signals", SIGNALS)
 
 
-def csv_rows(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+def count_lines(spark: SparkSession, path: str) -> int:
+    """Non-blank lines of a text file or folder, gzip or not."""
+    return spark.read.option("recursiveFileLookup", True).text(path).where(F.trim("value") != "").count()
+
+
+def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A file that is one JSON object, or an array of them, as rows."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+
+
+def allowlist(spark: SparkSession, path: str) -> DataFrame:
+    """Distinct identifiers of a text file, one a line."""
+    lines = spark.read.text(path)
+    return lines.select(normalize_doi(F.col("value")).alias("doi")).where("doi != ''").distinct()
+
+
+def with_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
+    """df with `file` and the rows' numbers within their files from 1 on, which hold where a file is read in several splits."""
+    df = df.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_i"))
+    return df.withColumn(name, F.row_number().over(Window.partitionBy("file").orderBy("_at", "_i")).cast("long")).drop("_at", "_i")
+
+
+def csv_rows(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
     """Header-driven rows of text columns; cells past the header are dropped."""
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("recursiveFileLookup", True)
     return (reader.option("pathGlobFilter", glob) if glob else reader).csv(path)
 
 
-def pubmed_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Index rows of XML article sets: doi, pmid, mesh_terms, keywords, publication_types, journal_title, and error."""
+def pubmed_xml(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Index rows of XML article sets: doi, pmid, mesh_terms, keywords, publication_types, journal_title, and error; file and ordinal tell where from."""
     df = spark.read.format("xml").option("rowTag", "PubmedArticle").option("mode", "PERMISSIVE").option("recursiveFileLookup", True).schema(PUBMED_XML).load(path)
+    df = with_ordinal(df)
     typed = lambda items, kind: F.get(F.filter(items, lambda x: (F.lower(x[kind]) == "doi") & (F.trim(x["_VALUE"]) != "")), 0)["_VALUE"]
     clean = lambda items: F.coalesce(F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != ""), F.array().cast("array<string>"))
     a, b = "MedlineCitation.Article", "MedlineCitation.MeshHeadingList.MeshHeading"
@@ -81,6 +104,8 @@ def pubmed_xml(spark: SparkSession, path: str) -> DataFrame:
         clean(F.col(f"{a}.PublicationTypeList.PublicationType")).alias("publication_types"),
         F.trim(F.coalesce(f"{a}.Journal.Title", f"{a}.Journal.ISOAbbreviation", F.lit(""))).alias("journal_title"),
         F.col("_corrupt_record").alias("error"),
+        "file",
+        "ordinal",
     )
 
 
@@ -88,10 +113,28 @@ def xml_dois(spark: SparkSession, path: str) -> DataFrame:
     """Identifiers in XML text by pattern, tags stripped and character references undone."""
     found = F.regexp_extract_all("value", F.lit(r'(?is)<(?:ArticleId[^>]*IdType|ELocationID[^>]*EIdType)\s*=\s*["\']doi["\'][^>]*>(.*?)</'), F.lit(1))
     df = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    bare = df.select(F.explode(found).alias("x")).select(F.regexp_replace("x", "<[^>]+>", "").alias("x"))
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
-        bare = bare.withColumn("x", F.replace("x", F.lit(name), F.lit(char)))
-    return bare.select(F.trim("x").alias("doi")).where("doi != ''")
+    bare = df.select(F.explode(found).alias("x")).select(strip_tags(F.col("x")).alias("x"))
+    return bare.select(F.trim(unescape(F.col("x"))).alias("doi")).where("doi != ''")
+
+
+def unescape(c: Column) -> Column:
+    """Text with the named references of XML and numeric ones, decimal or hexadecimal, undone, once each."""
+    parts = F.split(c, "(?=&[#a-zA-Z0-9]{1,31};)")
+
+    def whole(part: Column) -> Column:
+        name, rest = F.regexp_extract(part, "^&([#a-zA-Z0-9]{1,31});", 1), F.regexp_replace(part, "^&[#a-zA-Z0-9]{1,31};", "")
+        number = F.when(name.rlike("^#[0-9]{1,7}$"), F.substring(name, 2, 7).try_cast("int")).when(name.rlike("^#[xX][0-9a-fA-F]{1,6}$"), F.conv(F.substring(name, 3, 6), 16, 10).try_cast("int"))
+        # the four bytes of a code point, read as UTF-32
+        char = F.when(number.between(1, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+        for known, value in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+            char = F.coalesce(char, F.when(name == known, F.lit(value)))
+        return F.coalesce(F.concat(char, rest), part)
+
+    return F.array_join(F.transform(parts, whole), "")
+
+
+def strip_tags(c: Column) -> Column:
+    return F.regexp_replace(c, "<[^>]+>", "")
 
 
 def member_records(data: bytes, name: str) -> Iterator[dict]:
@@ -174,6 +217,11 @@ def classify_sources(df: DataFrame, path: str = "path", head: str = "head") -> D
     return df.withColumn("bucket", bucket.otherwise(F.lit("unknown"))).withColumn("reason", reason.otherwise(F.lit("no_rule")))
 
 
+def unknown_sources(classified: DataFrame) -> DataFrame:
+    """Files that no rule or override placed, with a blank bucket to fill in: a template for overrides."""
+    return classified.where("bucket = 'unknown'").select("path", F.lit("").alias("bucket"), "reason")
+
+
 def apply_overrides(classified: DataFrame, overrides: DataFrame) -> DataFrame:
     o = overrides.select("path", F.col("bucket").alias("_bucket"))
     out = classified.join(o, "path", "left")

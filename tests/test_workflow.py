@@ -51,7 +51,8 @@ def test_snapshot_to_release(spark, tmp_path):
     assert a["10.5/second"].publication_date == date(2018, 6, 1) and len(a["10.5/second"].source_lineage) == 2
     assert (a["10.5/second"].author_history_signal_count, a["10.5/second"].journal_history_signal_count, a["10.5/first"].author_history_signal_count) == (1, 1, 0)
     assert a["10.5/third"].task_a_date_bucket == "noisy_date" and a["10.5/fourth"].subfield == "biomedicine" and a["10.5/fourth"].is_pubmed_indexed
-    assert w.validate("s1") == []
+    assert w.validate("s1") == {"passed": True, "violations": {}, "mismatches": []}
+    assert {(r.error_code, r.line_number) for r in w.row_errors("s1", "openalex_bulk").collect()} == {("missing_doi", 6), ("bad_json", 7)}
     summary = w.build_core(w.canonical("s1", "articles"), w.canonical("s1", "official_notices"))
     assert summary["record_count"] == 4 and summary["auto_publish_count"] == 2 and w.audit() == 0
     assert w.build_site(summary) == 2 and len(list((tmp_path / "data" / "site" / "records").glob("*.html"))) == 2
