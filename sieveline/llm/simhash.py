@@ -42,8 +42,8 @@ def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
 
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", out_col: str = "fp") -> DataFrame:
-    """docs with a signed 64-bit fingerprint column; a null text counts as one without words."""
-    raw = free_name(docs, "utf8_bytes")
+    """docs with a signed 64-bit fingerprint column, by a free name where out_col is taken; a null text counts as one without words."""
+    raw, out_col = free_name(docs, "utf8_bytes"), free_name(docs, out_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(out_col, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +208,10 @@ def fingerprint_components(rows: DataFrame) -> DataFrame:
 def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stand for their near-duplicate components: the smallest id, one row of it.
 
-    Decisions are made on ids and hashes; the texts are shuffled once, to meet the decisions.
+    A null id is never the smallest, and a component of null ids alone keeps one row, of the least text hash. Of rows
+    that repeat an id, one with the least text hash stays; where such rows differ in other columns, it is the least of
+    them as JSON, so reruns agree. Empty and null texts are near-duplicates of one another. An empty table gives no
+    rows. Decisions are made on ids and hashes; the texts are shuffled once, to meet the decisions.
     """
     key = lambda df: df.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
     small = materialize(with_fingerprint(key(docs)).select("doc_id", "h", "fp"), "fingerprints")
@@ -217,4 +220,6 @@ def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: st
     first = first.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("h"))
     kept = packed.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "h"]).select("row.*")
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    order = F.to_json(F.struct(*[F.col("row").getField(c).alias(f"c{k}") for k, c in enumerate(others)])) if others else F.lit("")
+    return kept.groupBy("doc_id", "h").agg(F.min_by("row", order).alias("row")).select("row.*")

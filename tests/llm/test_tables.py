@@ -329,6 +329,23 @@ def test_record_by_frame_and_offset(spark, tmp_path):
     assert max(r.frame for r in index) > 0
 
 
+def test_archives_are_read_by_many_tasks(spark, tmp_path):
+    rows = [(i, "u", f"{i} " * 500, None, None) for i in range(90)]
+    index = warc.write_archives(spark.createDataFrame(rows, PAGES).coalesce(1), f"file://{tmp_path}/w", frame_bytes=2500)
+    back = warc.read_archives(index, f"file://{tmp_path}/w")
+    assert index.select("archive", "frame").distinct().count() == 90
+    assert back.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(r.page_id for r in back.collect()) == list(range(90))
+
+
+@pytest.mark.parametrize("hot", [1, 10**9])
+def test_revisits_by_broadcast_and_by_join(spark, tmp_path, monkeypatch, hot):
+    monkeypatch.setattr(warc, "HOT_PART", hot)  # no payload, or every one, is matched by broadcast
+    rows = [(i, "u", "ab"[i % 2] * 1500, None, None) for i in range(12)] + [(None, "u", "a" * 1500, None, None), (50, "u", "c" * 1500, None, None)]
+    got = {(r.page_id, r.refers_to) for r in warc.archived_pages(spark.createDataFrame(rows, PAGES), f"file://{tmp_path}/w").collect()}
+    assert got == {(i, None if i in (10, 11) else 10 + i % 2) for i in range(12)} | {(None, 10), (50, None)}
+
+
 # tokens
 
 
