@@ -120,8 +120,7 @@ def plan_mix(sources: list[tuple[str | None, int]], block: int = BLOCK_WORDS, sh
 def placed_documents(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, block: int, shards: int, keep: bool = False) -> DataFrame:
     """Each row with its place [lo, hi) among its source's words in seeded order, and the runs of words that the mix takes of it.
 
-    `runs` is an array of (shard, rounds, from, n): the row's words of a shard, taken `rounds` times whole, and
-    n of them, from the row's word `from` on, once more. Places are sums over the earlier hash ranges of the source, from
+    `runs` is an array of (times, from, n): n of the row's words, from its word `from` on, taken so many times. Places are sums over the earlier hash ranges of the source, from
     a table of sums, plus a running sum within the range, so that no task holds a source. keep: with the whole
     input row as the struct `row`.
     """
