@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import re
+import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +23,8 @@ ERROR_RATE = 0.2
 BLOCK_BYTES = 8 << 20
 
 _WORD = re.compile(r"\w+")
+#: (item_id, text) of a block of the benchmark.
+Items = tuple[tuple[int | None, str | None], ...]
 _SCHEMA = "doc_id long, item_id long, distance int, item_words int, first_word int, last_word int"
 
 
@@ -86,7 +92,7 @@ class Item:
 class Matcher:
     """All items of a block: an automaton over their pieces, and the items to verify."""
 
-    def __init__(self, items: list[tuple[int, str | None]], rate: float = ERROR_RATE):
+    def __init__(self, items: Items, rate: float = ERROR_RATE):
         self.items: list[Item] = []
         hits: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for item_id, text in items:
@@ -149,22 +155,53 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     stay null; repeated rows give repeated results. The benchmark goes to the tasks in blocks of block_bytes of
     text, one pass over the documents each, so that what is broadcast has that bound whatever the benchmark's size.
     """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return _each_block(benchmark, block_bytes, lambda own: rows.mapInArrow(_pass(own, rate), _SCHEMA), "benchmark-matches")
+
+
+def _blocks(benchmark: DataFrame, block_bytes: int) -> tuple[int, Iterator[Items]]:
+    """How many blocks of about block_bytes of text the distinct items make, one at least, and the blocks, one on the driver at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
-    size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    size = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = None
-    for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        own = sorted(((r.item_id, r.text) for r in own.collect()), key=lambda x: (x[0] is not None, x[0], x[1] or ""))
-        found = rows.mapInArrow(_pass(own, rate), _SCHEMA)
-        out = found if out is None else out.union(found)
-    return out
 
+    def block(k: int) -> Items:
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
+        return tuple(sorted(((r.item_id, r.text) for r in own), key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")))
+
+    return blocks, map(block, range(blocks))
+
+
+def _each_block(benchmark: DataFrame, block_bytes: int, found_in: Callable[[Items], DataFrame], tag: str) -> DataFrame:
+    """All blocks' results; where there is more than one block, each is written before the next block's items are read."""
+    n, blocks = _blocks(benchmark, block_bytes)
+    results = [found_in(own) if n == 1 else materialize(found_in(own), tag) for own in blocks]
+    return reduce(DataFrame.union, results)
+
+
+class _Held:
+    """A block's items, told by the block's key: a Python worker builds its matcher once, for all its tasks."""
+
+    def __init__(self, items: Items, rate: float):
+        self.key, self.items, self.rate = uuid.uuid4().hex, items, rate
+
+    def __hash__(self) -> int:
+        return hash(self.key)
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, _Held) and self.key == other.key
+
+
+@functools.lru_cache(maxsize=1)
+def _matcher(held: _Held) -> Matcher:
+    return Matcher(held.items, held.rate)
+
+
+def _pass(items: Items, rate: float):
+    held = _Held(items, rate)
 
-def _pass(items: list[tuple[int, str | None]], rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(items, rate)
+        matcher = _matcher(held)
         for batch in batches:
             cols: list[list] = [[] for _ in range(6)]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -178,25 +215,37 @@ def _pass(items: list[tuple[int, str | None]], rate: float):
     return run
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", rate: float = ERROR_RATE) -> DataFrame:
-    """The rows of docs in which no benchmark item matches, all their columns as they are; one pass over docs for each block of the benchmark."""
-    row = free_name(docs, "decontaminate_row")
-    kept = docs
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
-    size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    names = docs.columns
-    for block in range(blocks):
-        own = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()]
-
-        def run(batches: Iterator[pa.RecordBatch], own=own) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(own, rate)
-            for batch in batches:
-                texts = batch.column(batch.num_columns - 1)
-                clean = pa.array([not matcher.matches(t.as_py()) for t in texts], pa.bool_())
-                yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=names).filter(clean)
-
-        kept = kept.withColumn(row, F.col(text_col).cast("string")).mapInArrow(run, docs.schema)
-        if blocks > 1:
-            kept = materialize(kept, "decontaminated")
-    return kept
+def _marked(items: Items, rate: float, names: list[str] | None):
+    """Rows whose last column, the text, no item matches, without that column; with no names, the first column of those that one does."""
+    held = _Held(items, rate)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = _matcher(held)
+        for batch in batches:
+            hit = pa.array([bool(matcher.matches(t.as_py())) for t in batch.column(batch.num_columns - 1)], pa.bool_())
+            if names is None:
+                yield pa.RecordBatch.from_arrays(batch.columns[:1], names=["key"]).filter(hit)
+            else:
+                yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=names).filter(pc.invert(hit))
+
+    return run
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs in which no benchmark item matches, all their columns as they are.
+
+    Matches are those of benchmark_matches(). One block of items is one filter over docs. With more, each block's pass
+    gives only SHA-256 digests of texts that match, and an anti-join takes out the rows with such a text: no text is
+    written between passes. Null and empty texts, null ids and repeated rows stay as they are; columns may have any
+    names; an empty table gives no rows.
+    """
+    text = F.col(text_col).cast("string")
+    if (blocks := _blocks(benchmark, block_bytes))[0] == 1:
+        row = free_name(docs, "decontaminate_row")
+        return docs.withColumn(row, text).mapInArrow(_marked(next(blocks[1]), rate, docs.columns), docs.schema)
+    key = free_name(docs, "decontaminate_key")
+    digest = F.unhex(F.sha2(text.cast("binary"), 256))
+    texts = docs.where(text.isNotNull()).select(digest.alias("key"), text.alias("text"))
+    found = _each_block(benchmark, block_bytes, lambda own: texts.mapInArrow(_marked(own, rate, None), "key binary").distinct(), "decontaminate-found")
+    found = found.distinct().withColumnRenamed("key", key)
+    return docs.withColumn(key, digest).join(found, key, "left_anti").select(*docs.columns)

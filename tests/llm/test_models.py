@@ -51,8 +51,11 @@ def test_benchmark_matches_are_those_of_brute_force(spark):
                     want[(d[0], i)] = x
         assert got == want
     assert len(want) > 20
-    kept = decontaminate.drop_contaminated(frame(spark, rows), benchmark)
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d[0]) for d in rows if d[0] not in {k for k, _ in want})
+    for block in (decontaminate.BLOCK_BYTES, 600):
+        kept = decontaminate.drop_contaminated(frame(spark, rows), benchmark, block_bytes=block)
+        assert kept.columns == frame(spark, rows).columns
+        assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d[0]) for d in rows if d[0] not in {k for k, _ in want})
+        assert decontaminate.drop_contaminated(frame(spark, []), benchmark, block_bytes=block).count() == 0
     assert decontaminate.benchmark_matches(frame(spark, []), benchmark).count() == 0
     assert decontaminate.benchmark_matches(frame(spark, rows), benchmark.limit(0)).count() == 0
 
