@@ -18,10 +18,15 @@ def first_nonblank(*cols: Column) -> Column:
     return F.coalesce(*[nonblank(c) for c in cols])
 
 
+def strip(c: Column) -> Column:
+    """Text without white space at its ends, line ends and no-break spaces included."""
+    return F.btrim(c, F.lit(" \t\n\r\v\f\u00a0"))
+
+
 def normalize_doi(c: Column) -> Column:
     """Lower-cased identifier without resolver address or scheme; '' for null."""
-    bare = F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"(?i)^https?://(dx\.)?doi\.org/", "")
-    return F.lower(F.trim(F.regexp_replace(bare, r"(?i)^doi:\s*", "")))
+    bare = F.regexp_replace(strip(F.coalesce(c, F.lit(""))), r"(?i)^https?://(dx\.)?doi\.org/", "")
+    return F.lower(strip(F.regexp_replace(bare, r"(?i)^doi:\s*", "")))
 
 
 def slugify(c: Column) -> Column:

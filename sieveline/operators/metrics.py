@@ -68,6 +68,16 @@ def ranking_metrics(df: DataFrame, by: list[str]) -> DataFrame:
     return average_precision(df, by).join(expected_calibration_error(df, by), by).join(shares, by)
 
 
+def best_runs(df: DataFrame, by: list[str], run: str, value: str) -> DataFrame:
+    """(by, run): each group's run of the largest value; missing values come last, ties go to the smallest run."""
+    return df.groupBy(*by).agg(F.min_by(run, F.struct((-F.coalesce(F.col(value).cast("double"), F.lit(float("-inf")))).alias("v"), F.col(run).alias("r"))).alias(run))
+
+
+def score_table(df: DataFrame, row: str, column: str, value: str, columns: list[str]) -> DataFrame:
+    """A row for each `row` with its value in each of the named columns; null where it has none, the largest where it has several."""
+    return df.groupBy(row).pivot(column, columns).agg(F.max(value))
+
+
 def accuracy(df: DataFrame, label: str, predicted: str) -> DataFrame:
     return df.agg(F.coalesce(F.avg((F.col(label) == F.col(predicted)).cast("double")), F.lit(0.0)).alias("accuracy"))
 

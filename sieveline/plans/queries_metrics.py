@@ -166,12 +166,14 @@ def sigmoid(spark, d):
 )
 def robustness_pivot(spark, d):
     o = read(spark, d, "orders").select(F.col("o_orderstatus").alias("model"), F.col("o_orderpriority").alias("split"), F.col("o_totalprice").alias("auprc"))
-    return o.groupBy("model").pivot("split", ["1-URGENT", "2-HIGH", "5-LOW"]).agg(F.round(F.max("auprc"), 2))
+    splits = ["1-URGENT", "2-HIGH", "5-LOW"]
+    return metrics.score_table(o, "model", "split", "auprc", splits).select("model", *[F.round(F.col(f"`{s}`"), 2).alias(s) for s in splits])
 
 
 @query("best_run", "SELECT o_orderpriority AS task, arg_max(o_orderkey, (coalesce(o_totalprice, -1e308), -o_orderkey)) AS run FROM orders GROUP BY 1")
 def best_run(spark, d):
-    return read(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("task")).agg(F.max_by("o_orderkey", F.struct(F.coalesce("o_totalprice", F.lit(float("-inf"))), -F.col("o_orderkey"))).alias("run"))
+    o = read(spark, d, "orders").select(F.col("o_orderpriority").alias("task"), F.col("o_orderkey").alias("run"), "o_totalprice")
+    return metrics.best_runs(o, ["task"], "run", "o_totalprice")
 
 
 @query("bootstrap_ci", None)
@@ -179,7 +181,19 @@ def bootstrap_ci(spark, d):
     return metrics.bootstrap_ci(scored(spark, d), ["lang"])
 
 
-@query("logistic_gd", None)
+@query(
+    "logistic_gd",
+    """WITH RECURSIVE scored AS (SELECT lang, doc_id AS ord, CAST(quality AS DOUBLE) AS y, CAST(n_chars % 101 AS DOUBLE) / 100.0 AS x0, (doc_id % 7) / 7.0::DOUBLE AS x1 FROM documents JOIN labels USING (doc_id)),
+step AS (
+  SELECT 0 AS e, lang, 0::DOUBLE AS w0, 0::DOUBLE AS w1, 0::DOUBLE AS b FROM scored WHERE ord % 3 <> 0 GROUP BY lang
+  UNION ALL
+  SELECT any_value(e) + 1, s.lang, any_value(w0) - 0.25::DOUBLE * (avg((1 / (1 + exp(-(w0 * x0 + w1 * x1 + b))) - y) * x0) + 0.001::DOUBLE * any_value(w0)),
+    any_value(w1) - 0.25::DOUBLE * (avg((1 / (1 + exp(-(w0 * x0 + w1 * x1 + b))) - y) * x1) + 0.001::DOUBLE * any_value(w1)),
+    any_value(b) - 0.25::DOUBLE * avg(1 / (1 + exp(-(w0 * x0 + w1 * x1 + b))) - y)
+  FROM step s JOIN scored USING (lang) WHERE ord % 3 <> 0 AND e < 400 GROUP BY s.lang)
+SELECT lang, ord, CAST(y AS INTEGER) AS label, round(1 / (1 + exp(-(w0 * x0 + w1 * x1 + b))), 6) AS score FROM scored JOIN step USING (lang) WHERE e = 400 AND ord % 3 = 0""",
+)
 def logistic_gd(spark, d):
     df = scored(spark, d).withColumn("features", F.array("score", (F.col("ord") % 7) / 7.0)).withColumn("part", F.when(F.col("ord") % 3 == 0, "test").otherwise("train"))
-    return models.fit_groups(df.withColumn("label", F.col("label").cast("int")), ["lang"])
+    fitted = models.fit_groups(df.withColumn("label", F.col("label").cast("int")), ["lang"])
+    return fitted.select("lang", "ord", "label", F.round("score", 6).alias("score"))

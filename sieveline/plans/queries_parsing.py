@@ -177,6 +177,14 @@ def regex_extract_all(spark, d):
     return read(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
 
 
+@query("xml_doi_scan", "SELECT page_id, unnest(['10.1/' || page_id || 'a&b', '10.2/e' || page_id]) AS doi FROM pages")
+def xml_doi_scan(spark, d):
+    k = F.col("page_id").cast("string")
+    ids = F.concat(F.lit('<ArticleId IdType="doi">10.1/<i>'), k, F.lit('</i>&lt;sub&gt;A&lt;/sub&gt;&amp;&#x42;</ArticleId><ArticleId IdType="pubmed">7</ArticleId>'))
+    ids = F.concat(ids, F.lit("<ELocationID ValidYN='Y' EIdType='DOI'> https://doi.org/10.2/E"), k, F.lit(' </ELocationID><ArticleId IdType="doi"> </ArticleId>'))
+    return read(spark, d, "pages").select("page_id", F.explode(files.dois_in_xml(F.concat("html", ids))).alias("doi"))
+
+
 @query("strip_tags", "SELECT page_id, md5(regexp_replace(html, '<[^>]+>', '', 'g')) AS digest FROM pages")
 def strip_tags(spark, d):
     return read(spark, d, "pages").select("page_id", F.md5(files.strip_tags(F.col("html"))).alias("digest"))

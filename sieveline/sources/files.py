@@ -109,12 +109,16 @@ def pubmed_xml(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+def dois_in_xml(text: Column) -> Column:
+    """Normalised identifiers of the elements of XML text that hold one, in its order; an element may hold other elements, escaped or not."""
+    found = F.regexp_extract_all(text, F.lit(r'(?is)<(ArticleId|ELocationID)\b[^>]*?\bE?IdType\s*=\s*["\']doi["\'][^>]*>(.*?)</\1\s*>'), F.lit(2))
+    return F.filter(F.transform(found, lambda x: normalize_doi(strip_tags(unescape(x)))), lambda x: x != "")
+
+
 def xml_dois(spark: SparkSession, path: str) -> DataFrame:
-    """Identifiers in XML text by pattern, tags stripped and character references undone."""
-    found = F.regexp_extract_all("value", F.lit(r'(?is)<(?:ArticleId[^>]*IdType|ELocationID[^>]*EIdType)\s*=\s*["\']doi["\'][^>]*>(.*?)</'), F.lit(1))
+    """dois_in_xml() of a folder's files, a row each."""
     df = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    bare = df.select(F.explode(found).alias("x")).select(strip_tags(F.col("x")).alias("x"))
-    return bare.select(F.trim(unescape(F.col("x"))).alias("doi")).where("doi != ''")
+    return df.select(F.explode(dois_in_xml(F.col("value"))).alias("doi"))
 
 
 def unescape(c: Column) -> Column:

@@ -89,7 +89,10 @@ def test_index_rows_and_xml(spark, tmp_path):
     (tmp_path / "a.xml").write_text(xml)
     (row,) = files.pubmed_xml(spark, str(tmp_path)).collect()
     assert (row.doi, row.pmid, row.mesh_terms, row.keywords, row.publication_types, row.journal_title, row.error) == ("10.1/X&y", "7", ["Humans"], ["k"], ["Review"], "J", None)
-    assert sorted(r.doi for r in files.xml_dois(spark, str(tmp_path)).collect()) == ["10.1/X&y", "10.1/e"]
+    assert sorted(r.doi for r in files.xml_dois(spark, str(tmp_path)).collect()) == ["10.1/e", "10.1/x&y"]
+    nested = """<ArticleId IdType="doi">10.1/<i>a</i>&lt;b&gt;c&lt;/b&gt;</ArticleId><x>10.1/no</x><ArticleId IdType="doi">\n</ArticleId><ELocationID ValidYN="Y" EIdType="doi">doi:10.1/Z</ELocationID>"""
+    got = spark.createDataFrame([(nested,), ("",), (None,)], "x string").select(files.dois_in_xml(F.col("x")).alias("y")).collect()
+    assert [r.y for r in got] == [["10.1/ac", "10.1/z"], [], None]
 
 
 def test_numbered_lines(spark, tmp_path):
@@ -257,7 +260,7 @@ def test_metrics_and_models(spark):
 
 def test_scalars(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
-    assert one(S.normalize_doi(F.lit(" HTTPS://doi.org/10.1/AB "))) == "10.1/ab" and one(S.slugify(F.lit(" --"))) == "record"
+    assert [one(S.normalize_doi(F.lit(x))) for x in (" HTTPS://doi.org/10.1/AB ", "\n\tdoi: 10.1/AB\r\n")] == ["10.1/ab"] * 2 and one(S.slugify(F.lit(" --"))) == "record"
     assert [one(S.coerce_bool(F.lit(x), True)) for x in ("0.0", "1.0", "false", "maybe", "NaN")] == [False, True, False, True, True]
     assert one(S.coerce_date(F.lit("2021-1-5"))["date"]) == date(2021, 1, 5) and one(S.coerce_date(F.lit("2021-02-30"))) is None
     assert one(S.author_cluster(F.array(F.lit("Ann B")), F.array().cast("array<string>"))) == "ann-b-unknown"
