@@ -68,12 +68,24 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_shards, op3_quality, op4_simhash, op5_suffix_dedup, op6_toxicity, op7_warc, op8_quality_rules, op9_tokens, op10_mix)}
-#: Fingerprints, learned models, tokenizer ids and seeded orders are beyond SQL; their tests use brute force.
+#: Learned models, differencing, tokenizer ids and seeded orders are beyond SQL; their tests use brute force.
 ORACLE_SQL: dict[str, str] = {
     "op7_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 copies AS (SELECT h, max(page_id) AS top FROM p WHERE strlen(h) >= 1000 GROUP BY h)
 SELECT p.page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes, sha1(p.h) AS payload_digest,
   CASE WHEN top <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN top <> p.page_id THEN top END AS refers_to
-FROM p LEFT JOIN copies USING (h)"""
+FROM p LEFT JOIN copies USING (h)""",
+    "op5_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+-- windows of 100 bytes, cut from pieces of the text so that long texts cost no more a window
+pieces AS (SELECT doc_id, n, base, substring(x, 2 * base + 1, 2198) AS piece FROM (SELECT doc_id, n, x, unnest(range(0, n - 99, 1000)) AS base FROM d)),
+windows AS (SELECT doc_id, base + k AS lo, substring(piece, 2 * k + 1, 200) AS w FROM (SELECT doc_id, base, piece, unnest(range(0, least(1000, n - 99 - base))) AS k FROM pieces)),
+late AS (SELECT doc_id, lo FROM windows QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, lo) > 1),
+runs AS (SELECT doc_id, lo, sum(CAST(gap AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY lo) AS run FROM (SELECT doc_id, lo, coalesce(lo > lag(lo) OVER (PARTITION BY doc_id ORDER BY lo) + 100, true) AS gap FROM late)),
+spans AS (SELECT doc_id, min(lo) AS lo, max(lo) + 100 AS hi FROM runs GROUP BY doc_id, run),
+kept AS (SELECT doc_id, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans, max(hi) AS done, string_agg(substring(x, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS head
+  FROM (SELECT *, lag(hi, 1, 0) OVER (PARTITION BY doc_id ORDER BY lo) AS before FROM spans) JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substring(x, 2 * coalesce(done, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""",
 }
