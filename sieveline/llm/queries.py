@@ -12,6 +12,7 @@ from .mixing import mix
 from .rules import judge
 from .sharding import shard_documents
 from .simhash import near_duplicates
+from .simhash_sql import SQL as SIMHASH_SQL
 from .spans import remove_repeats
 from .tokenbin import token_documents
 from .toxicity import score_toxicity
@@ -76,6 +77,7 @@ copies AS (SELECT h, max(page_id) AS top FROM p WHERE strlen(h) >= 1000 GROUP BY
 SELECT p.page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes, sha1(p.h) AS payload_digest,
   CASE WHEN top <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN top <> p.page_id THEN top END AS refers_to
 FROM p LEFT JOIN copies USING (h)""",
+    "op4_simhash": SIMHASH_SQL,
     "op5_suffix_dedup": """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
 -- windows of 100 bytes, cut from pieces of the text so that long texts cost no more a window

@@ -1,0 +1,94 @@
+"""SQL of op4_simhash: words, shingles, XXH64 and components by the definition, in unsigned 128-bit arithmetic cut to 64 bits."""
+
+from __future__ import annotations
+
+from .simhash import MAX_BITS, SEED, SHINGLE_WORDS
+
+# The primes of XXH64.
+P1 = 11400714785074694791
+P2 = 14029467366897019727
+P3 = 1609587929392839161
+P4 = 9650029242287828579
+P5 = 2870177450012600261
+
+
+def _n(value: int) -> str:
+    return f"{value % 2**64}::UHUGEINT"
+
+
+def _low(x: str) -> str:
+    return f"(({x}) & {_n(-1)})"
+
+
+def _times(x: str, prime: int) -> str:
+    return _low(f"({x}) * {_n(prime)}")
+
+
+def _turn(x: str, bits: int) -> str:
+    return _low(f"(({x}) << {bits}) | (({x}) >> {64 - bits})")
+
+
+def _read(at: str, size: int) -> str:
+    """The little-endian number of so many bytes from byte `at` of the hexadecimal text x on."""
+    return "CAST('0x' || " + " || ".join(f"substring(x, 2 * ({at}) + {2 * k + 1}, 2)" for k in reversed(range(size))) + " AS UHUGEINT)"
+
+
+def _numbers(count: str, start: str, step: int, size: int) -> str:
+    return f"list_transform(range({count}), lambda i: {_read(f'{start} + {step} * i', size)})"
+
+
+def _round(acc: str, number: str) -> str:
+    return _times(_turn(_low(f"{acc} + {_times(number, P2)}"), 31), P1)
+
+
+def _lane(k: int, start: int) -> str:
+    return f"list_reduce({_numbers('n // 32', str(8 * k), 32, 8)}, lambda v, w: {_round('v', 'w')}, {_n(start)}) AS v{k}"
+
+
+def _merged() -> str:
+    out = _low(" + ".join(_turn(f"v{k}", bits) for k, bits in enumerate((1, 7, 12, 18))))
+    for k in range(4):
+        out = _low(f"{_times(f'xor({out}, {_round(_n(0), f"v{k}")})', P1)} + {_n(P4)}")
+    return out
+
+
+def _eights() -> str:
+    step = f"{_times(_turn(f'xor(h, {_round(_n(0), "w")})', 27), P1)} + {_n(P4)}"
+    return f"list_reduce({_numbers('(n % 32) // 8', 'n - n % 32', 8, 8)}, lambda h, w: {_low(step)}, h)"
+
+
+def _four() -> str:
+    mixed = f"xor(h, {_times(_read('n - n % 8', 4), P1)})"
+    return f"CASE WHEN n % 8 >= 4 THEN {_low(f'{_times(_turn(mixed, 23), P2)} + {_n(P3)}')} ELSE h END"
+
+
+def _ones() -> str:
+    return f"list_reduce({_numbers('n % 4', 'n - n % 4', 1, 1)}, lambda h, w: {_times(_turn(f'xor(h, {_times("w", P5)})', 11), P1)}, h)"
+
+
+_BIT_SUMS = " + ".join(f"CASE WHEN 2 * sum((h >> {b}) & 1) > count(*) THEN {2**b}::UBIGINT ELSE 0::UBIGINT END" for b in range(64))
+_NEXT = ", ".join(f"lead(word, {k}) OVER (PARTITION BY doc_id ORDER BY pos)" for k in range(1, SHINGLE_WORDS))
+
+SQL = f"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, len(w) AS total, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM texts),
+shingles AS (
+  SELECT doc_id, g FROM (SELECT doc_id, total, pos, concat_ws(' ', word, {_NEXT}) AS g FROM words)
+  WHERE pos + {SHINGLE_WORDS - 1} <= total OR (total < {SHINGLE_WORDS} AND pos = 1)),
+h0 AS (SELECT g, hex(encode(g)) AS x, CAST(strlen(g) AS BIGINT) AS n FROM (SELECT DISTINCT g FROM shingles)),
+h1 AS (SELECT *, {", ".join(_lane(k, start) for k, start in enumerate((SEED + P1 + P2, SEED + P2, SEED, SEED - P1)))} FROM h0),
+h2 AS (SELECT g, x, n, {_low(f"CASE WHEN n >= 32 THEN {_merged()} ELSE {_n(SEED + P5)} END + CAST(n AS UHUGEINT)")} AS h FROM h1),
+h3 AS (SELECT g, x, n, {_eights()} AS h FROM h2),
+h4 AS (SELECT g, x, n, {_four()} AS h FROM h3),
+h5 AS (SELECT g, {_ones()} AS h FROM h4),
+h6 AS (SELECT g, {_times("xor(h, h >> 33)", P2)} AS h FROM h5),
+h7 AS (SELECT g, {_times("xor(h, h >> 29)", P3)} AS h FROM h6),
+hashes AS (SELECT g, CAST(xor(h, h >> 32) AS UBIGINT) AS h FROM h7),
+voted AS (SELECT doc_id, {_BIT_SUMS} AS fp FROM shingles JOIN hashes USING (g) GROUP BY doc_id),
+prints AS (SELECT doc_id, coalesce(CAST(fp AS UBIGINT), 0::UBIGINT) AS fp FROM documents LEFT JOIN voted USING (doc_id)),
+nodes AS (SELECT fp, min(doc_id) AS own FROM prints GROUP BY fp),
+links AS (SELECT a.fp AS a, b.fp AS b FROM nodes a JOIN nodes b ON a.fp <> b.fp AND bit_count(CAST(xor(a.fp, b.fp) AS HUGEINT)) <= {MAX_BITS}),
+reach AS (SELECT fp, fp AS other FROM nodes UNION SELECT fp, b FROM reach JOIN links ON a = other),
+components AS (SELECT reach.fp, min(own) AS component_id FROM reach JOIN nodes ON nodes.fp = other GROUP BY reach.fp)
+SELECT doc_id, format('{{:016x}}', fp) AS fingerprint, component_id FROM prints JOIN components USING (fp)"""
