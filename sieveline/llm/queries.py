@@ -9,10 +9,10 @@ from .common import table
 from .compression import score_quality
 from .decontaminate import benchmark_matches
 from .mixing import mix
+from .oracle_sql import MIX, SIMHASH
 from .rules import judge
 from .sharding import shard_documents
 from .simhash import near_duplicates
-from .simhash_sql import SQL as SIMHASH_SQL
 from .spans import remove_repeats
 from .tokenbin import token_documents
 from .toxicity import score_toxicity
@@ -69,7 +69,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_shards, op3_quality, op4_simhash, op5_suffix_dedup, op6_toxicity, op7_warc, op8_quality_rules, op9_tokens, op10_mix)}
-#: Learned models, differencing, tokenizer ids and seeded orders are beyond SQL; their tests use brute force.
+#: Learned models, differencing, edit matching and tokenizer ids are beyond SQL; their tests use brute force.
 ORACLE_SQL: dict[str, str] = {
     "op7_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
@@ -77,7 +77,8 @@ copies AS (SELECT h, max(page_id) AS top FROM p WHERE strlen(h) >= 1000 GROUP BY
 SELECT p.page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes, sha1(p.h) AS payload_digest,
   CASE WHEN top <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN top <> p.page_id THEN top END AS refers_to
 FROM p LEFT JOIN copies USING (h)""",
-    "op4_simhash": SIMHASH_SQL,
+    "op10_mix": MIX,
+    "op4_simhash": SIMHASH,
     "op5_suffix_dedup": """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
 -- windows of 100 bytes, cut from pieces of the text so that long texts cost no more a window
