@@ -22,7 +22,7 @@ shingles AS (
   WHERE pos + {SHINGLE_WORDS - 1} <= total OR (total < {SHINGLE_WORDS} AND pos = 1)),
 {hashed_texts("hashes", "SELECT DISTINCT g FROM shingles", HASH_SEED)},
 voted AS (SELECT doc_id, {_BIT_SUMS} AS fp FROM shingles JOIN hashes USING (g) GROUP BY doc_id),
-prints AS (SELECT doc_id, coalesce(CAST(fp AS UBIGINT), 0::UBIGINT) AS fp FROM documents LEFT JOIN voted USING (doc_id)),
+prints AS (SELECT doc_id, coalesce(CAST(voted.fp AS UBIGINT), 0::UBIGINT) AS fp FROM documents LEFT JOIN voted USING (doc_id)),
 nodes AS (SELECT fp, min(doc_id) AS own FROM prints GROUP BY fp),
 links AS (SELECT a.fp AS a, b.fp AS b FROM nodes a JOIN nodes b ON a.fp <> b.fp AND bit_count(CAST(xor(a.fp, b.fp) AS HUGEINT)) <= {MAX_BITS}),
 reach AS (SELECT fp, fp AS other FROM nodes UNION SELECT fp, b FROM reach JOIN links ON a = other),
