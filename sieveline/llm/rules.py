@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, in_training_fold, materialize, training_labels
+from .common import WORD_PATTERN, free_name, in_training_fold, materialize, training_labels
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 STATISTICS = (*BASE, "n_upper", "n_punct", "n_digits", "n_lines", "n_distinct")
@@ -27,6 +27,8 @@ RATIOS = {
     "log_words": lambda c: F.log1p(F.col("n_words")),
 }
 WINDOW = 5
+#: With no more labelled ids than this, 8 MB, they are broadcast to pick the rows to learn from.
+BROADCAST_IDS = 1_000_000
 
 
 def _let(value: Column, body) -> Column:
@@ -249,9 +251,13 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that the rules keep, with the columns of docs; judged as by judge().
 
-    Only the training fold's statistics are written; the verdict then streams over docs, so no text is stored or
-    shuffled.
+    Only statistics of the training fold are written, of its labelled rows alone where their ids can be broadcast, as
+    the others teach nothing; the verdict then streams over docs, so no text is stored or shuffled.
     """
     train = docs.where(in_training_fold(F.col(id_col)))
+    labelled = training_labels(labels, "quality")
+    if labelled.count() <= BROADCAST_IDS:
+        own = free_name(docs, "labelled_id")
+        train = train.join(F.broadcast(labelled.select(F.col("doc_id").alias(own))), F.col(id_col) == F.col(own), "left_semi")
     rules = learn_from(materialize(with_statistics(train, id_col, text_col), "rule-statistics"), labels)
     return with_verdict(with_statistics(docs, id_col, text_col, keep=True), rules).where("kept").select("row.*")
