@@ -69,10 +69,14 @@ class KeyTable:
         for k in np.flatnonzero(self.y):
             toxic[own[k]] = True
         keys: dict[str, int] = {}
+        for k in np.flatnonzero(toxic).tolist():
+            for s in _stems(names[k]):
+                keys.setdefault(s, len(keys))
+        # words of other texts alone count as well where they have a key of a toxic text's word
         flat: list[int] = []
         edges = [0]
-        for w, used in zip(names, toxic.tolist()):
-            flat += [keys.setdefault(s, len(keys)) for s in _stems(w)] if used else []
+        for w in names:
+            flat += [k for s in _stems(w) if (k := keys.get(s)) is not None]
             edges.append(len(flat))
         flat_keys, edges = np.array(flat, np.int64), np.array(edges)
         self.keys = list(keys)

@@ -155,9 +155,12 @@ def test_features_are_those_of_passes_over_the_text(monkeypatch):
 
 def test_lexicon_counts_are_exact():
     rng = random.Random(3)
+    # half of the words are in texts of one label only, and share their beginnings with words of the other
     vocabulary = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))) for _ in range(150)]
-    texts = [" ".join(rng.choice(["", "(", '"']) + rng.choice(vocabulary) + rng.choice(["", "!", ","]) for _ in range(rng.randrange(0, 30))) for _ in range(700)]
-    y = [int(rng.random() < 0.4) for _ in texts]
+    tails = {1: "xy", 0: "zw"}
+    y = [int(rng.random() < 0.4) for _ in range(700)]
+    word = lambda t: rng.choice(vocabulary) + (rng.choice(tails[t]) if rng.random() < 0.5 else "")
+    texts = [" ".join(rng.choice(["", "(", '"']) + word(t) + rng.choice(["", "!", ","]) for _ in range(rng.randrange(0, 30))) for t in y]
     table = toxicity.KeyTable(texts, y)
     import numpy as np
 
@@ -171,6 +174,27 @@ def test_lexicon_counts_are_exact():
     assert often <= set(table.keys) and toxicity.KeyTable([], []).keys == []
 
 
+def test_beginnings_count_in_texts_whose_words_no_toxic_text_has():
+    texts, y = ["abcde x"] * 5 + ["abcdz y"] * 5, [1] * 5 + [0] * 5
+    table = toxicity.KeyTable(texts, y)
+    import numpy as np
+
+    toxic, other = table.counts(np.ones(10, bool))
+    k = table.keys.index("abc-")
+    assert (toxic[k], other[k]) == (5, 5) and "abcd-" not in toxicity.learn_lexicon(table, np.ones(10, bool))
+
+
+def test_held_out_documents_are_told_apart(spark):
+    """Area under the curve of the held-out rows of the whole table, and toxic ones found at the threshold of the query."""
+    import numpy as np
+
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
+    got = toxicity.score_toxicity(read("documents"), read("labels")).where("held_out").join(read("labels").select("doc_id", "toxic"), "doc_id").where("toxic in (0, 1)").toPandas()
+    y, s = got.toxic.to_numpy() == 1, got.score.to_numpy()
+    higher = (s[y][:, None] > s[~y][None, :]).mean() + 0.5 * (s[y][:, None] == s[~y][None, :]).mean()
+    assert len(got) > 100 and higher >= 0.97 and np.mean((got.predicted == 1) == y) >= 0.95 and got.predicted[y].mean() >= 0.7
+
+
 def test_trees_score_as_their_nodes_say():
     import numpy as np
 
