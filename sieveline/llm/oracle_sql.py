@@ -1,4 +1,4 @@
-"""SQL of op4_simhash and op10_mix, which DuckDB runs: both by their definitions, over whole tables."""
+"""SQL of op4_simhash, op10_mix, op11_jaccard and op13_trie, which DuckDB runs: all by their definitions, over whole tables."""
 
 from __future__ import annotations
 
@@ -70,3 +70,26 @@ got AS (
   SELECT doc_id, d_hi, sum(rounds * (hi - lo) + greatest(0, least(hi, p_first + more) - greatest(lo, p_first)) + greatest(0, least(hi, p_first + more - (p_hi - p_lo)) - greatest(lo, p_first - (p_hi - p_lo)))) AS taken FROM met GROUP BY doc_id, d_hi)
 SELECT doc_id, size, words AS source_size, CAST(goal AS DOUBLE) / unit AS target, CAST(coalesce(taken, 0) AS BIGINT) AS taken
 FROM placed LEFT JOIN (SELECT doc_id, sum(taken) AS taken FROM got GROUP BY doc_id) USING (doc_id)"""
+
+
+# Nodes are told by the digests of their turns; what lies below a node is found from the beginnings of each node's smallest member.
+TRIE = f"""
+WITH turns AS (
+  SELECT conv_id, n, k, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, k) AS pos
+  FROM (SELECT conv_id, turn, r, CAST(strlen(t) AS BIGINT) AS n, md5(strlen(r) || ':' || r || t) AS k
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL))),
+convs AS (SELECT conv_id, conv_id - (conv_id % 5 + 5) % 5 AS base, {crc32("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+parts AS (
+  SELECT c.conv_id, 0 AS own, pos, k, n FROM convs c JOIN turns t ON t.conv_id = base AND pos <= h
+  UNION ALL SELECT conv_id, 1, pos, k, n FROM convs JOIN turns USING (conv_id) WHERE pos > h),
+whole AS (SELECT conv_id, coalesce(list(k ORDER BY own, pos) FILTER (k IS NOT NULL), []) AS ks, coalesce(list(n ORDER BY own, pos) FILTER (k IS NOT NULL), []) AS ns FROM convs LEFT JOIN parts USING (conv_id) GROUP BY conv_id),
+begun AS (SELECT conv_id, d, d = len(ks) AS ended, array_to_string(ks[1:d], ',') AS p, CASE WHEN d > 0 THEN array_to_string(ks[1:d - 1], ',') END AS up, CASE WHEN d > 0 THEN ns[d] ELSE 0 END AS last FROM (SELECT *, unnest(range(0, len(ks) + 1)) AS d FROM whole)),
+nodes AS (
+  SELECT d, p, any_value(up) AS up, min(conv_id) AS low, count(*) AS n, (count(*) - 1) * any_value(last) AS saved, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ended), '')) AS ends
+  FROM begun GROUP BY d, p),
+kids AS (SELECT d - 1 AS d, up AS p, count(*) AS k FROM nodes WHERE d > 0 GROUP BY ALL),
+below AS (
+  SELECT a.d, a.p, count(*) FILTER (kids.k IS NULL) AS leaves, CAST(sum(nodes.saved) AS BIGINT) AS saved
+  FROM nodes LEFT JOIN kids USING (d, p) JOIN begun a ON a.conv_id = nodes.low AND a.d <= nodes.d GROUP BY a.d, a.p)
+SELECT nodes.low AS conv_id, nodes.d AS depth, above.low AS parent_conv_id, nodes.n AS n_convs, coalesce(k, 0) AS n_children, leaves AS n_leaves, below.saved AS saved_tokens, nodes.ends AS ends_sha256
+FROM nodes LEFT JOIN kids USING (d, p) JOIN below USING (d, p) LEFT JOIN nodes above ON above.d = nodes.d - 1 AND above.p = nodes.up"""

@@ -9,13 +9,14 @@ from .common import table
 from .compression import score_quality
 from .decontaminate import benchmark_matches
 from .mixing import mix
-from .oracle_sql import MIX, SIMHASH
+from .oracle_sql import MIX, SIMHASH, TRIE
 from .rules import judge
 from .sharding import shard_documents
 from .simhash import near_duplicates
 from .spans import remove_repeats
 from .tokenbin import token_documents
 from .toxicity import score_toxicity
+from .trie import conversation_trie
 from .warc import archived_pages
 
 
@@ -68,7 +69,14 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_shards, op3_quality, op4_simhash, op5_suffix_dedup, op6_toxicity, op7_warc, op8_quality_rules, op9_tokens, op10_mix)}
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"), rebuilt=True)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_decontaminate, op2_shards, op3_quality, op4_simhash, op5_suffix_dedup, op6_toxicity, op7_warc, op8_quality_rules, op9_tokens, op10_mix, op13_trie)
+}
 #: Learned models, differencing, edit matching and tokenizer ids are beyond SQL; their tests use brute force.
 ORACLE_SQL: dict[str, str] = {
     "op7_warc": """
@@ -78,6 +86,7 @@ SELECT p.page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes, sha1(p.h) AS pay
   CASE WHEN top <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN top <> p.page_id THEN top END AS refers_to
 FROM p LEFT JOIN copies USING (h)""",
     "op10_mix": MIX,
+    "op13_trie": TRIE,
     "op4_simhash": SIMHASH,
     "op5_suffix_dedup": """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
