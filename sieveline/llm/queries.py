@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .align import align_tokenizers
 from .common import table
 from .compression import score_quality
 from .decontaminate import benchmark_matches
@@ -69,13 +70,19 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align_tokenizers(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations"), rebuilt=True)
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_shards, op3_quality, op4_simhash, op5_suffix_dedup, op6_toxicity, op7_warc, op8_quality_rules, op9_tokens, op10_mix, op13_trie)
+    for f in (op1_decontaminate, op2_shards, op3_quality, op4_simhash, op5_suffix_dedup, op6_toxicity, op7_warc, op8_quality_rules, op9_tokens, op10_mix, op12_align, op13_trie)
 }
 #: Learned models, differencing, edit matching and tokenizer ids are beyond SQL; their tests use brute force.
 ORACLE_SQL: dict[str, str] = {
