@@ -93,3 +93,25 @@ below AS (
   FROM nodes LEFT JOIN kids USING (d, p) JOIN begun a ON a.conv_id = nodes.low AND a.d <= nodes.d GROUP BY a.d, a.p)
 SELECT nodes.low AS conv_id, nodes.d AS depth, above.low AS parent_conv_id, nodes.n AS n_convs, coalesce(k, 0) AS n_children, leaves AS n_leaves, below.saved AS saved_tokens, nodes.ends AS ends_sha256
 FROM nodes LEFT JOIN kids USING (d, p) JOIN below USING (d, p) LEFT JOIN nodes above ON above.d = nodes.d - 1 AND above.p = nodes.up"""
+
+
+_SHINGLE = 5
+_AFTER = ", ".join(f"lead(word, {k}) OVER (PARTITION BY nth ORDER BY pos)" for k in range(1, _SHINGLE))
+# Rows are told by their place, as ids can repeat or be null; equal sets are compared once.
+JACCARD = f"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, row_number() OVER () AS nth, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+words AS (SELECT nth, len(w) AS total, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM texts),
+shingles AS (
+  SELECT DISTINCT nth, g FROM (SELECT nth, total, pos, concat_ws(' ', word, {_AFTER}) AS g FROM words)
+  WHERE pos + {_SHINGLE - 1} <= total OR (total < {_SHINGLE} AND pos = 1)),
+sets AS (SELECT nth, list(g ORDER BY g) AS own FROM shingles GROUP BY nth),
+classes AS (SELECT min(nth) AS class, min(doc_id) AS low, own, len(own) AS n FROM sets JOIN texts USING (nth) GROUP BY own),
+elements AS (SELECT class, n, unnest(own) AS g FROM classes),
+links AS (
+  SELECT a.class AS a, b.class AS b FROM elements a JOIN elements b ON a.g = b.g AND a.class <> b.class
+  GROUP BY a.class, b.class, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT class, class AS other FROM classes UNION SELECT class, b FROM reach JOIN links ON a = other),
+roots AS (SELECT reach.class, min(low) AS component_id FROM reach JOIN classes ON classes.class = other GROUP BY reach.class)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, CASE WHEN own IS NULL THEN doc_id ELSE component_id END AS component_id
+FROM texts LEFT JOIN sets USING (nth) LEFT JOIN classes USING (own) LEFT JOIN roots USING (class)"""

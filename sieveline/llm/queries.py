@@ -9,8 +9,9 @@ from .align import align_tokenizers
 from .common import table
 from .compression import score_quality
 from .decontaminate import benchmark_matches
+from .jaccard import jaccard_components
 from .mixing import mix
-from .oracle_sql import MIX, SIMHASH, TRIE
+from .oracle_sql import JACCARD, MIX, SIMHASH, TRIE
 from .rules import judge
 from .sharding import shard_documents
 from .simhash import near_duplicates
@@ -70,6 +71,10 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -82,7 +87,7 @@ def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_shards, op3_quality, op4_simhash, op5_suffix_dedup, op6_toxicity, op7_warc, op8_quality_rules, op9_tokens, op10_mix, op12_align, op13_trie)
+    for f in (op1_decontaminate, op2_shards, op3_quality, op4_simhash, op5_suffix_dedup, op6_toxicity, op7_warc, op8_quality_rules, op9_tokens, op10_mix, op11_jaccard, op12_align, op13_trie)
 }
 #: Learned models, differencing, edit matching and tokenizer ids are beyond SQL; their tests use brute force.
 ORACLE_SQL: dict[str, str] = {
@@ -93,6 +98,7 @@ SELECT p.page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes, sha1(p.h) AS pay
   CASE WHEN top <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN top <> p.page_id THEN top END AS refers_to
 FROM p LEFT JOIN copies USING (h)""",
     "op10_mix": MIX,
+    "op11_jaccard": JACCARD,
     "op13_trie": TRIE,
     "op4_simhash": SIMHASH,
     "op5_suffix_dedup": """
