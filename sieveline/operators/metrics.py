@@ -2,43 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from .ranks import ranked
 
-def _ranked(df: DataFrame, by: list[str]) -> DataFrame:
-    """Rank and hits so far, by falling score; the row order `ord` settles ties.
 
-    Scores are first counted by value, so that ranks come from running sums over distinct scores plus a rank within
-    one score; a group's rows are not gathered in one task unless they share one score.
-    """
-    keys = [*by, "score"]
-    at = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum("label").alias("_hits"))
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
-    at = at.select(*keys, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_hits").over(w), F.lit(0)).alias("_h0"))
-    own = Window.partitionBy(*keys).orderBy("ord")
-    df = df.withColumn("_rn", F.row_number().over(own)).withColumn("_h", F.sum("label").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    return df.join(at, keys).withColumn("rank", F.col("_n0") + F.col("_rn")).withColumn("hits", F.col("_h0") + F.col("_h"))
+def _ranked(df: DataFrame, by: list[str]) -> DataFrame:
+    """Rank and hits so far, by falling score; the row order `ord` settles ties."""
+    return ranked(df, by, [F.desc("score"), F.asc("ord")], "label")
 
 
 def average_precision(df: DataFrame, by: list[str]) -> DataFrame:
     """Mean precision at the positives; 0 without positives."""
     at = F.sum(F.when(F.col("label") == 1, F.col("hits") / F.col("rank")))
-    out = _ranked(df, by).groupBy(*by).agg(F.coalesce(at / F.sum("label"), F.lit(0.0)).alias("ap")) if by else _ranked(df, by).agg(F.coalesce(at / F.nullif(F.sum("label"), F.lit(0)), F.lit(0.0)).alias("ap"))
-    return out
+    return _ranked(df, by).groupBy(*by).agg(F.coalesce(at / F.nullif(F.sum("label"), F.lit(0)), F.lit(0.0)).alias("ap"))
 
 
 def at_k(df: DataFrame, by: list[str], percents: list[float]) -> DataFrame:
     """(by, percent, k, precision, recall) with k = max(1, round half even of the share of rows)."""
-    ranked = _ranked(df, by)
-    totals = df.groupBy(*by).agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
-    shares = totals.select(*by, "n", "pos", F.explode(F.array(*[F.lit(float(p)) for p in percents])).alias("percent"))
-    shares = shares.withColumn("k", F.greatest(F.lit(1), F.expr("bround(n * percent / 100, 0)")).cast("long"))
-    best = ranked.join(shares, by) if by else ranked.crossJoin(F.broadcast(shares))
-    return best.groupBy(*by, "percent", "k", "pos").agg(F.sum(F.when(F.col("rank") <= F.col("k"), F.col("label")).otherwise(0)).alias("top")).select(
-        *by, "percent", "k", (F.col("top") / F.col("k")).alias("precision"), F.when(F.col("pos") > 0, F.col("top") / F.col("pos")).otherwise(F.lit(0.0)).alias("recall")
-    )
+    percents = [float(p) for p in percents]
+    totals = df.groupBy(*by).agg(F.count("*").alias("_all"), F.sum("label").alias("_pos"))
+    rows = _ranked(df, by)
+    rows = rows.join(totals, by) if by else rows.crossJoin(F.broadcast(totals))  # one row of totals
+    k = [F.greatest(F.lit(1), F.bround(F.col("_all") * F.lit(p) / 100, 0)).cast("long") for p in percents]
+    found = rows.groupBy(*by).agg(F.first("_pos").alias("_pos"), *[F.first(x).alias(f"_k{i}") for i, x in enumerate(k)], *[F.sum(F.when(F.col("rank") <= x, F.col("label")).otherwise(0)).alias(f"_top{i}") for i, x in enumerate(k)])
+    cell = F.explode(F.array(*[F.struct(F.lit(p).alias("percent"), F.col(f"_k{i}").alias("k"), F.col(f"_top{i}").alias("top")) for i, p in enumerate(percents)]))
+    found = found.select(*by, "_pos", cell.alias("c"))
+    return found.select(*by, "c.percent", "c.k", (F.col("c.top") / F.col("c.k")).alias("precision"), F.when(F.col("_pos") > 0, F.col("c.top") / F.col("_pos")).otherwise(F.lit(0.0)).alias("recall"))
 
 
 def _bin(bins: int) -> Column:
@@ -112,32 +107,47 @@ def average_precision_list(labels: list[int], scores: list[float]) -> float:
     return total / hits if hits else 0.0
 
 
-def bootstrap_ci(df: DataFrame, by: list[str], draws: int = 1000, alpha: float = 0.05) -> DataFrame:
-    """(by, lo, hi): the percentile interval of the average precision, seed 0, one group (a model's test split) a task.
+#: Draws of one row of the table of streams; a task plays the stream up to its first draw, at some ten nanoseconds a number.
+STREAM_DRAWS = 50
 
-    Draws are those of average_precision_list() over one random stream, each sorted and summed as arrays.
-    """
-    kinds = dict(df.dtypes)
-    schema = ", ".join(f"{b} {kinds[b]}" for b in by) + ", lo double, hi double"
 
-    def run(key, pdf):
+def drawn(sizes: DataFrame, draws: int, step: int = STREAM_DRAWS) -> DataFrame:
+    """(size, draw, pos, at): what random.Random(0) draws from so many rows with replacement, `size` numbers a draw, for each of sizes(size)."""
+    blocks = sizes.select("size", F.explode(F.array(*[F.lit(k) for k in range(0, draws, step)])).alias("first"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import random
 
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values("ord")
-        y, s = pdf["label"].to_numpy() != 0, pdf["score"].to_numpy(float)
-        n, rng = len(y), random.Random(0)
-        rank, values = np.arange(1, n + 1), []
-        for _ in range(draws):
-            at = np.fromiter((rng.randrange(n) for _ in range(n)), np.int64, n)
-            hit = y[at][np.argsort(-s[at], kind="stable")]
-            hits = np.cumsum(hit)
-            values.append(np.cumsum((hits / rank)[hit])[-1] / hits[-1] if hit.any() else 0.0)
-        values.sort()
-        lo = values[int(alpha / 2 * draws)]
-        hi = values[max(0, int((1 - alpha / 2) * draws) - 1)]
-        return pd.DataFrame([[*key, lo, hi]], columns=[*by, "lo", "hi"])
-
-    return df.groupBy(*by).applyInPandas(run, schema)
+        for batch in batches:
+            for size, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                _, state, _ = random.Random(0).getstate()
+                stream = np.random.MT19937()
+                stream.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], np.uint32), "pos": state[-1]}}
+                bits = size.bit_length()
+                at, lo, hi = 0, first * size, min(draws, first + step) * size
+                while at < hi:  # as randrange() draws: numbers of so many bits, those that are too large are drawn again
+                    x = stream.random_raw(min(1 << 20, 2 * (hi - at) + 16)) >> np.uint64(32 - bits)
+                    x = x[x < size].astype(np.int64)
+                    k = np.arange(at, at + len(x))
+                    keep = (k >= lo) & (k < hi)
+                    at += len(x)
+                    if keep.any():
+                        k = k[keep]
+                        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (np.full(len(k), size), k // size, k % size, x[keep])], names=["size", "draw", "pos", "at"])
+
+    return blocks.repartition("size", "first").mapInArrow(run, "size long, draw long, pos long, at long")
+
+
+def bootstrap_ci(df: DataFrame, by: list[str], draws: int = 1000, alpha: float = 0.05) -> DataFrame:
+    """(by, lo, hi): the percentile interval of the average precision of samples with replacement, from one stream of seed 0.
+
+    Each group's rows, in the order of `ord`, meet the table of what is drawn from so many rows, and all samples of all
+    groups are ranked at once; equal scores are in the order in which they were drawn, as average_precision_list()
+    has them. A group has at most 2**32 rows.
+    """
+    placed = ranked(df, by, [F.asc("ord")], rank="_place").select(*by, "label", "score", (F.col("_place") - 1).alias("at"))
+    sizes = df.groupBy(*by).agg(F.count("*").alias("size"))
+    placed = placed.join(sizes, by) if by else placed.crossJoin(F.broadcast(sizes))  # one row of sizes
+    samples = drawn(sizes.select("size").where("size > 0").distinct(), draws).join(placed, ["size", "at"]).select(*by, "draw", "label", "score", F.col("pos").alias("ord"))
+    values = average_precision(samples, [*by, "draw"]).groupBy(*by).agg(F.array_sort(F.collect_list("ap")).alias("v"))  # a number for each draw
+    return values.select(*by, F.get("v", F.lit(int(alpha / 2 * draws))).alias("lo"), F.get("v", F.lit(max(0, int((1 - alpha / 2) * draws) - 1))).alias("hi"))
