@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as S
+from .ranks import cut
 
 CATEGORIES = ("venue", "publisher", "subfield", "oa_status")
 
@@ -84,48 +85,126 @@ class LogisticRegression:
         return np.where(z >= 0, 1 / (1 + e), e / (1 + e))
 
 
-def fit_logistic(df: DataFrame, features: str = "features", label: str = "label", rate: float = 0.25, epochs: int = 400, l2: float = 0.001) -> tuple[list[float], float]:
-    """The same descent over a distributed table: each step is one aggregation of gradients, partly summed in each task.
+#: Cells (feature values of training rows) of a model that one task fits; larger models are fitted by one aggregation a step.
+TASK_CELLS = 5_000_000
+#: Bytes of weights that are sent to all tasks; more are joined.
+SENT_BYTES = 64 << 20
+
+
+def _cells(df: DataFrame, features: str) -> Column:
+    """Features as sparse (i, v) cells: they are such already, or numbers by their place."""
+    if "struct" in dict(df.dtypes)[features]:
+        return F.transform(features, lambda c: F.struct(c["i"].cast("int").alias("i"), c["v"].cast("double").alias("v")))
+    return F.transform(features, lambda v, i: F.struct(i.cast("int").alias("i"), v.cast("double").alias("v")))
+
+
+def _score(cells: str) -> Column:
+    """The prediction for cells under the columns w and b; places beyond the weights count nothing."""
+    return S.sigmoid(F.aggregate(cells, F.col("b"), lambda z, c: z + c["v"] * F.coalesce(F.get("w", c["i"]), F.lit(0.0))))
+
 
-    df must be small enough to cache or be a written table; one job a step. For splits that fit one task, fit_groups
-    is the cheaper form.
+class Descent:
+    """Full-batch descents of several models at once: each step is one job, gradients summed by model and feature in the tasks first.
+
+    The driver holds the weights, a number for each feature of each model, and no rows.
     """
-    width = len(df.select(features).first()[0])
-    w, b = [0.0] * width, 0.0
-    n = df.count()
-    for _ in range(epochs):
-        z = sum((F.get(F.col(features), i) * F.lit(w[i]) for i in range(width)), F.lit(b))
-        off = S.sigmoid(z) - F.col(label)
-        row = df.agg(F.sum(off).alias("b"), *[F.sum(off * F.get(F.col(features), i)).alias(f"w{i}") for i in range(width)]).first()
-        w = [w[i] - rate * (row[f"w{i}"] / n + l2 * w[i]) for i in range(width)]
-        b -= rate * row["b"] / n
-    return w, b
-
-
-def _dense(features: list, width: int) -> np.ndarray:
-    """Rows of (place, value) pairs, or plain rows of numbers, as a table; places beyond the width are left out."""
-    out = np.zeros((len(features), width))
-    for row, cells in zip(out, features):
-        for k, c in enumerate(cells):
-            i, v = (c["i"], c["v"]) if isinstance(c, dict) else (k, c)
-            if i < width:
-                row[i] = v
-    return out
-
-
-def _width(features: list) -> int:
-    return max((c["i"] + 1 if isinstance(c, dict) else k + 1 for cells in features for k, c in enumerate(cells)), default=0)
-
-
-def fit_groups(df: DataFrame, by: list[str], rate: float = 0.25, epochs: int = 400, l2: float = 0.001, keep: list[str] | None = None) -> DataFrame:
+
+    def __init__(self, train: DataFrame, by: list[str], label: str = "label", features: str = "features", rate: float = 0.25, epochs: int = 400, l2: float = 0.001):
+        self.by, self.kinds, self.spark = by, dict(train.dtypes), train.sparkSession
+        self.rate, self.epochs, self.l2 = rate, epochs, l2
+        rows = train.select(*by, F.col(label).cast("double").alias("_y"), _cells(train, features).alias("_cells"))
+        self.rows = cut(rows).persist()
+        sizes = self.rows.groupBy(*by).agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("_cells", lambda c: c["i"]))).alias("top")).collect()  # a row for each model
+        self.n = {tuple(r[c] for c in by): r.n for r in sizes}
+        self.w = {tuple(r[c] for c in by): np.zeros(0 if r.top is None else r.top + 1) for r in sizes}
+        self.b = dict.fromkeys(self.n, 0.0)
+
+    def weights(self) -> DataFrame:
+        """(by, w, b) of each model."""
+        schema = "".join(f"{c} {self.kinds[c]}, " for c in self.by) + "w array<double>, b double"
+        return self.spark.createDataFrame([(*k, w.tolist(), float(self.b[k])) for k, w in self.w.items()], schema)
+
+    def beside(self, rows: DataFrame) -> DataFrame:
+        """rows with the weights of their model."""
+        weights = self.weights()
+        if sum(w.nbytes for w in self.w.values()) <= SENT_BYTES:
+            weights = F.broadcast(weights)
+        return rows.join(weights, self.by) if self.by else rows.crossJoin(F.broadcast(weights))  # one model
+
+    def step(self) -> None:
+        off = self.beside(self.rows).select(*self.by, "_cells", (_score("_cells") - F.col("_y")).alias("off"))
+        bias = F.array(F.struct(F.lit(-1).alias("i"), F.lit(1.0).alias("v")))
+        parts = off.select(*self.by, "off", F.explode(F.concat("_cells", bias)).alias("c")).groupBy(*self.by, "c.i").agg(F.sum(F.col("off") * F.col("c.v")).alias("g"))
+        slope = {k: np.zeros(len(w)) for k, w in self.w.items()}
+        for r in parts.collect():  # as many numbers as there are weights
+            k = tuple(r[c] for c in self.by)
+            if r.i < 0:
+                self.b[k] -= self.rate * r.g / self.n[k]
+            else:
+                slope[k][r.i] = r.g
+        for k, g in slope.items():
+            self.w[k] = self.w[k] - self.rate * (g / self.n[k] + self.l2 * self.w[k])
+
+    def fit(self) -> Descent:
+        for _ in range(self.epochs):
+            self.step()
+        self.rows.unpersist()
+        return self
+
+
+def fit_logistic(df: DataFrame, features: str = "features", label: str = "label", rate: float = 0.25, epochs: int = 400, l2: float = 0.001) -> tuple[list[float], float]:
+    """Weights and bias of one model over all rows of df, by distributed steps."""
+    found = Descent(df, [], label, features, rate, epochs, l2).fit()
+    return found.w[()].tolist(), found.b[()]
+
+
+class _Sparse:
+    """Rows of (place, value) pairs, or of numbers, as arrays of cells."""
+
+    def __init__(self, features: list):
+        pairs = [(r, c["i"], c["v"]) if isinstance(c, dict) else (r, k, c) for r, cells in enumerate(features) for k, c in enumerate(cells)]
+        self.n = len(features)
+        self.row, self.at = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+        self.value = np.array([p[2] for p in pairs], float)
+        self.width = int(self.at.max()) + 1 if len(pairs) else 0
+
+    def scores(self, w: np.ndarray, b: float) -> np.ndarray:
+        known = self.at < len(w)
+        z = np.bincount(self.row[known], self.value[known] * w[self.at[known]], self.n) + b
+        e = np.exp(-np.abs(z))
+        return np.where(z >= 0, 1 / (1 + e), e / (1 + e))
+
+    def fit(self, y: np.ndarray, rate: float, epochs: int, l2: float) -> tuple[np.ndarray, float]:
+        w, b = np.zeros(self.width), 0.0
+        for _ in range(epochs):
+            off = self.scores(w, b) - y
+            w = w - rate * (np.bincount(self.at, self.value * off[self.row], self.width) / self.n + l2 * w)
+            b -= rate * off.mean()
+        return w, b
+
+
+def _by_size(df: DataFrame, by: list[str], task_cells: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of the models that a task can hold, and those of the others, if there are any."""
+    cells = df.groupBy(*by).agg(F.sum(F.size("features").cast("long")).alias("_size"))
+    large = [tuple(r[c] for c in by) for r in cells.where(F.col("_size") > task_cells).collect()]  # a row for each model
+    if not large:
+        return df, None
+    kinds = dict(df.dtypes)
+    keys = F.broadcast(df.sparkSession.createDataFrame(large, ", ".join(f"{c} {kinds[c]}" for c in by)))
+    return df.join(keys, by, "left_anti"), df.join(keys, by, "left_semi")
+
+
+def fit_groups(df: DataFrame, by: list[str], rate: float = 0.25, epochs: int = 400, l2: float = 0.001, keep: list[str] | None = None, task_cells: int = TASK_CELLS) -> DataFrame:
     """(by, ord, label, score, keep): for each group (a model of a split) fit on rows of part 'train' and score those of 'test'.
 
-    Features are numbers, or sparse (i, v) pairs. A group's training rows are dense in one task; fit_logistic is the
-    form for splits that no task holds.
+    Features are numbers, or sparse (i, v) pairs; a place that no training row has counts nothing. Groups of no more
+    than task_cells feature values are fitted by a task each; all others at once by distributed steps, with the same
+    weights but for rounding. Groups without rows to train or test on give none.
     """
     kinds = dict(df.dtypes)
     more = keep or []
     schema = ", ".join(f"{b} {kinds[b]}" for b in by) + ", ord long, label int, score double" + "".join(f", {c} {kinds[c]}" for c in more)
+    small, large = _by_size(df, by, task_cells)
 
     def run(key, pdf):
         import pandas as pd
@@ -134,32 +213,38 @@ def fit_groups(df: DataFrame, by: list[str], rate: float = 0.25, epochs: int = 4
         train, test = (pdf[pdf["part"] == p].sort_values("ord") for p in ("train", "test"))
         if not len(train) or not len(test):
             return pd.DataFrame([], columns=names)
-        x, z = train["features"].to_list(), test["features"].to_list()
-        width = _width(x)
-        model = LogisticRegression(rate, epochs, l2).fit(_dense(x, width), train["label"].to_numpy())
-        out = test[["ord", "label", *more]].assign(score=model.predict(_dense(z, width)))
-        for b, v in zip(by, key):
-            out[b] = v
+        w, b = _Sparse(train["features"].to_list()).fit(train["label"].to_numpy(float), rate, epochs, l2)
+        out = test[["ord", "label", *more]].assign(score=_Sparse(test["features"].to_list()).scores(w, b))
+        for c, v in zip(by, key):
+            out[c] = v
         return out[names]
 
-    return df.groupBy(*by).applyInPandas(run, schema)
+    fitted = small.groupBy(*by).applyInPandas(run, schema)
+    if large is None:
+        return fitted
+    found = Descent(large.where("part = 'train'"), by, rate=rate, epochs=epochs, l2=l2).fit()
+    test = large.where("part = 'test'").withColumn("_cells", _cells(large, "features"))
+    scored = found.beside(test).select(*by, F.col("ord").cast("long").alias("ord"), F.col("label").cast("int").alias("label"), _score("_cells").alias("score"), *more)
+    return fitted.unionByName(scored)
 
 
-def fit_weights(df: DataFrame, by: list[str], rate: float = 0.25, epochs: int = 400, l2: float = 0.001) -> DataFrame:
+def fit_weights(df: DataFrame, by: list[str], rate: float = 0.25, epochs: int = 400, l2: float = 0.001, task_cells: int = TASK_CELLS) -> DataFrame:
     """(by, idx, weight) of each group's model."""
     kinds = dict(df.dtypes)
+    small, large = _by_size(df.where("part = 'train'"), by, task_cells)
 
     def run(key, pdf):
         import pandas as pd
 
-        train = pdf[pdf["part"] == "train"].sort_values("ord")
-        x = train["features"].to_list()
-        if not len(x):
-            return pd.DataFrame([], columns=[*by, "idx", "weight"])
-        model = LogisticRegression(rate, epochs, l2).fit(_dense(x, _width(x)), train["label"].to_numpy())
-        return pd.DataFrame({**dict(zip(by, key)), "idx": np.arange(len(model.weights)), "weight": model.weights})[[*by, "idx", "weight"]]
+        pdf = pdf.sort_values("ord")
+        w, _ = _Sparse(pdf["features"].to_list()).fit(pdf["label"].to_numpy(float), rate, epochs, l2)
+        return pd.DataFrame({**dict(zip(by, key)), "idx": np.arange(len(w)), "weight": w})[[*by, "idx", "weight"]]
 
-    return df.groupBy(*by).applyInPandas(run, ", ".join(f"{b} {kinds[b]}" for b in by) + ", idx int, weight double")
+    fitted = small.groupBy(*by).applyInPandas(run, ", ".join(f"{b} {kinds[b]}" for b in by) + ", idx int, weight double")
+    if large is None:
+        return fitted
+    found = Descent(large, by, rate=rate, epochs=epochs, l2=l2).fit()
+    return fitted.unionByName(found.weights().select(*by, F.posexplode("w").alias("idx", "weight")))
 
 
 # The tags of the provenance tagger and the words that stand for each in an evidence entry.

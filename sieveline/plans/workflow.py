@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import canonical, manifest, metrics, models, normalize, records, splits
+from ..operators.ranks import ranked
 from ..schemas import NOTICES, SIGNALS, SNAPSHOT_DATE
 from ..sources import files, sinks
 from . import report
@@ -309,9 +310,14 @@ class Workflow:
         sinks.write_json(self.root / "release" / f"{name}.json", out)
         return out
 
+    @staticmethod
+    def _in_order(records: DataFrame) -> DataFrame:
+        """records with their number `ord` by publication date and identifier, which settles ties."""
+        return ranked(records, [], [F.col("publication_date").asc_nulls_first(), F.asc("doi")], rank="ord")
+
     def _task_a_features(self, label: str, part: DataFrame) -> DataFrame:
         """(doi, ord, label, part, model, idx, value) of one split: each row's features as sparse places and values, for each of the three models."""
-        r = self.records().join(part, "doi").withColumns({"ord": F.xxhash64("doi"), "label": F.col(label).cast("int")})
+        r = self._in_order(self.records()).join(part, "doi").withColumn("label", F.col(label).cast("int"))
         train = r.where("part = 'train'")
         dictionary = models.category_dictionary(train)
         width = dictionary.count()
@@ -335,7 +341,7 @@ class Workflow:
         task, label = f"task_a_{months}m", f"any_signal_or_notice_within_{months}m"
         part = self.spark.read.parquet(self._at("release", "splits")).where((F.col("task_name") == task) & (F.col("split_kind") == "time")).select("doi", "part")
         rows = self._task_a_features(label, part).where("model = 'metadata'").withColumn("split", F.lit(task))
-        train = self.records().join(part.where("part = 'train'"), "doi").withColumn("ord", F.xxhash64("doi"))
+        train = self._in_order(self.records()).join(part.where("part = 'train'"), "doi")
         named = {r.idx: r.feature for r in models.category_dictionary(train).collect()}
         named |= {len(named) + k: n for k, n in enumerate(models.NUMERIC_NAMES)}
         weights = models.fit_weights(rows, ["split"]).collect()
