@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -87,6 +88,8 @@ class LogisticRegression:
 
 #: Cells (feature values of training rows) of a model that one task fits; larger models are fitted by one aggregation a step.
 TASK_CELLS = 5_000_000
+#: Cells of one partition of a distributed step, about.
+STEP_CELLS = 200_000
 #: Bytes of weights that are sent to all tasks; more are joined.
 SENT_BYTES = 64 << 20
 
@@ -112,9 +115,10 @@ class Descent:
     def __init__(self, train: DataFrame, by: list[str], label: str = "label", features: str = "features", rate: float = 0.25, epochs: int = 400, l2: float = 0.001):
         self.by, self.kinds, self.spark = by, dict(train.dtypes), train.sparkSession
         self.rate, self.epochs, self.l2 = rate, epochs, l2
-        rows = train.select(*by, F.col(label).cast("double").alias("_y"), _cells(train, features).alias("_cells"))
-        self.rows = cut(rows).persist()
-        sizes = self.rows.groupBy(*by).agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("_cells", lambda c: c["i"]))).alias("top")).collect()  # a row for each model
+        rows = cut(train.select(*by, F.col(label).cast("double").alias("_y"), _cells(train, features).alias("_cells")))
+        sizes = rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.size("_cells")).alias("cells"), F.max(F.array_max(F.transform("_cells", lambda c: c["i"]))).alias("top")).collect()  # a row for each model
+        # few rows stay together, as a step over one partition has no exchange
+        self.rows = rows.coalesce(max(1, -(-sum(r.n + r.cells for r in sizes) // STEP_CELLS))).persist()
         self.n = {tuple(r[c] for c in by): r.n for r in sizes}
         self.w = {tuple(r[c] for c in by): np.zeros(0 if r.top is None else r.top + 1) for r in sizes}
         self.b = dict.fromkeys(self.n, 0.0)
@@ -122,7 +126,9 @@ class Descent:
     def weights(self) -> DataFrame:
         """(by, w, b) of each model."""
         schema = "".join(f"{c} {self.kinds[c]}, " for c in self.by) + "w array<double>, b double"
-        return self.spark.createDataFrame([(*k, w.tolist(), float(self.b[k])) for k, w in self.w.items()], schema)
+        keys = {c: pa.array([k[i] for k in self.w]) for i, c in enumerate(self.by)}
+        found = {"w": pa.array(self.w.values(), pa.list_(pa.float64())), "b": pa.array([float(self.b[k]) for k in self.w], pa.float64())}
+        return self.spark.createDataFrame(pa.table(keys | found), schema) if self.w else self.spark.createDataFrame([], schema)
 
     def beside(self, rows: DataFrame) -> DataFrame:
         """rows with the weights of their model."""
