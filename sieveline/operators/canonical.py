@@ -106,34 +106,59 @@ def venue_history(articles: DataFrame, notices: DataFrame) -> DataFrame:
     return out.select("doi", total.cast("long").alias("journal_history_signal_count"))
 
 
-def author_history(articles: DataFrame, notices: DataFrame) -> DataFrame:
+#: An author on no more flagged articles than this is rare: such articles are listed for each article that shares the author.
+RARE_FLAGGED = 64
+#: An article's frequent authors are met by pairs only where a list of their flagged articles has more than so many rows a pair.
+LISTED_PER_PAIR = 16
+
+
+def author_history(articles: DataFrame, notices: DataFrame, rare: int = RARE_FLAGGED) -> DataFrame:
     """(doi, author_history_signal_count): distinct flagged articles that share an author, active before publication.
 
-    For each author a running sum over days tells how many flagged articles were active before a day. An article's
-    count is the sum over its authors that have any, less what was counted more than once. With one such author
-    there is nothing to take off, and with two it is the running count of the pair. With more, flagged articles are
-    met by pairs of authors, and one that shares m authors, so m (m - 1) / 2 pairs, was counted m - 1 times too often.
-    Articles of one author never meet each other, so a name on every article costs its days.
+    The count is of a union over an article's authors, and it is never taken from pairs of a long list. Flagged
+    articles of rare authors are listed for each article and counted once. For frequent authors a running sum over
+    days tells how many flagged articles were active before a day, so a name on every article costs its days: with one
+    such author that is the count, with two the pair's running sum is taken off, and with more, flagged articles
+    are met by pairs of them, where one that shares m authors was counted m - 1 times too often. An article with many
+    frequent authors has its flagged articles listed as well, where that is less than its pairs. What is both
+    listed and shares a frequent author is taken off.
     """
-    flagged = flagged_activations(articles, notices).select(F.unix_date("active").alias("active"), F.array_sort(F.array_distinct("authors")).alias("authors"), F.col("doi").alias("other"))
-    mine = articles.select("doi", F.unix_date("publication_date").alias("day"), F.array_distinct("authors").alias("authors"))
-    single = mine.select("doi", "day", F.explode("authors").alias("key"))
-    known = _counts_before(single, flagged.select("active", F.explode("authors").alias("key"))).where("n > 0")
-    per = known.groupBy("doi", "day").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list("key")).alias("authors"))
-    two = per.where("size(authors) = 2").select("doi", "day", F.struct(F.get("authors", 0).alias("a"), F.get("authors", 1).alias("b")).alias("key"))
-    pairs = flagged.select("active", "other", F.explode(_pairs("authors")).alias("key"))
-    both = _counts_before(two, pairs.select("active", "key")).select("doi", F.col("n").alias("twice"))
-    many = per.where("size(authors) > 2").select("doi", "day", F.explode(_pairs("authors")).alias("key"))
-    shared = many.join(pairs, "key").where("active < day").groupBy("doi", "other").agg(F.count("*").alias("c"))
-    again = shared.groupBy("doi").agg(F.sum((F.sqrt(1 + 8 * F.col("c")) - 1) / 2).cast("long").alias("twice"))
-    off = both.unionByName(again)
-    counts = per.join(off, "doi", "left").select("doi", (F.col("n") - F.coalesce("twice", F.lit(0))).alias("n"))
-    return articles.select("doi").join(counts, "doi", "left").select("doi", F.coalesce("n", F.lit(0)).cast("long").alias("author_history_signal_count"))
-
-
-def _pairs(authors: str) -> Column:
-    """All pairs (a, b) of a sorted array, a before b."""
-    return F.flatten(F.transform(authors, lambda a, i: F.transform(F.slice(authors, i + 2, F.size(authors)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    flagged = flagged_activations(articles, notices).select(F.unix_date("active").alias("active"), F.explode(F.array_distinct("authors")).alias("key"), F.col("doi").alias("other"))
+    sizes = flagged.groupBy("key").agg((F.count("*") > rare).alias("frequent"))
+    flagged = flagged.join(sizes, "key")
+    mine = articles.select("doi", F.unix_date("publication_date").alias("day"), F.explode(F.array_distinct("authors")).alias("key")).join(sizes, "key")
+    often, others = mine.where("frequent").drop("frequent"), flagged.where("frequent").drop("frequent")
+
+    known = _counts_before(often, others).where("n > 0")
+    per = known.groupBy("doi", "day").agg(F.sum("n").alias("n"), F.count("*").alias("k"))
+    per = per.withColumn("listed", (F.col("k") > 2) & (F.col("n") <= F.col("k") * (F.col("k") - 1) / 2 * LISTED_PER_PAIR))
+    authors = known.select("doi", "day", "key").join(per.select("doi", "k", "listed"), "doi")
+    some = authors.where("listed").select("doi", "day", "key")
+    met = mine.where("not frequent").join(flagged.where("not frequent").select("key", "active", "other"), "key").select("doi", "day", "active", "other")
+    met = met.unionByName(some.join(others, "key").select("doi", "day", "active", "other")).where("active < day").select("doi", "other").distinct()
+    single = met.groupBy("doi").agg(F.count("*").alias("n"))
+
+    counted = authors.where("not listed").select("doi", "day", "key", "k")
+    pair = lambda df: _author_pairs(df.where("k > 1"), ["doi", "day", "k"])
+    asked = pair(counted)
+    pairs = _author_pairs(others, ["other", "active"]).join(asked.select("key").distinct(), "key", "left_semi")
+    two = _counts_before(asked.where("k = 2").select("doi", "day", "key"), pairs.select("active", "key")).select("doi", F.col("n").alias("twice"))
+    shared = asked.where("k > 2").join(pairs, "key").where("active < day").groupBy("doi", "other").agg(F.count("*").alias("c"))
+    more = shared.groupBy("doi").agg(F.sum((F.sqrt(1 + 8 * F.col("c")) - 1) / 2).cast("long").alias("twice"))
+    both = met.join(counted.select("doi", "key"), "doi").join(others.select("other", "key"), ["other", "key"]).select("doi", "other").distinct().groupBy("doi").agg(F.count("*").alias("twice"))
+
+    zero = F.lit(0).cast("long")
+    parts = single.select("doi", "n").unionByName(per.where("not listed").select("doi", "n"))
+    for off in (two, more, both):
+        parts = parts.unionByName(off.select("doi", (zero - F.col("twice")).alias("n")))
+    counts = parts.groupBy("doi").agg(F.sum("n").alias("n"))
+    return articles.select("doi").join(counts, "doi", "left").select("doi", F.coalesce("n", zero).cast("long").alias("author_history_signal_count"))
+
+
+def _author_pairs(df: DataFrame, by: list[str]) -> DataFrame:
+    """Each pair of keys a < b of the rows that agree in `by`, as rows of a join; no row holds a list."""
+    a, b = df.select(*by, F.col("key").alias("a")), df.select(*by, F.col("key").alias("b"))
+    return a.join(b, by).where("a < b").select(*by, F.struct("a", "b").alias("key"))
 
 
 def _counts_before(asked: DataFrame, events: DataFrame) -> DataFrame:
