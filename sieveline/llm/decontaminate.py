@@ -75,16 +75,35 @@ class Item:
             if score <= self.errors:
                 yield score, at
 
+    @functools.cached_property
+    def peq_back(self) -> dict[str, int]:
+        """The words' bit masks from the item's end on."""
+        masks: dict[str, int] = defaultdict(int)
+        for i, w in enumerate(reversed(self.words)):
+            masks[w] |= 1 << i
+        masks.default_factory = None
+        return masks
+
     def start(self, text: list[str], end: int, distance: int) -> int:
-        """The last start from which text[start : end + 1] is at that distance from the item."""
-        n = self.n
-        row = list(range(n + 1))
-        for back, w in enumerate(reversed(text[max(0, end + 1 - n - distance) : end + 1])):
-            new = [back + 1]
-            for i in range(n):
-                new.append(min(row[i] + (self.words[n - 1 - i] != w), row[i + 1] + 1, new[i] + 1))
-            row = new
-            if row[n] == distance:
+        """The last start from which text[start : end + 1] is at that distance from the item: the same recurrence backwards, with the end fixed."""
+        n, peq = self.n, self.peq_back
+        full, high = (1 << n) - 1, 1 << (n - 1)
+        pv, mv, score = full, 0, n
+        for back in range(min(end + 1, n + distance)):
+            eq = peq.get(text[end - back], 0)
+            xv = eq | mv
+            xh = (((eq & pv) + pv) ^ pv) | eq
+            ph = mv | (full & ~(xh | pv))
+            mh = pv & xh
+            if ph & high:
+                score += 1
+            elif mh & high:
+                score -= 1
+            ph = ((ph << 1) | 1) & full
+            mh = (mh << 1) & full
+            pv = mh | (full & ~(xv | ph))
+            mv = ph & xv
+            if score == distance:
                 return end - back
         return end + 1
 
@@ -152,7 +171,8 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     the document's words is within floor(rate * n) word edits of the whole item: the item is split into one piece
     more than edits, exact hits of pieces are found by an automaton, and the words around them are verified by Myers'
     bit-parallel distance. Items without words match nothing; texts that are null or empty contain nothing; null ids
-    stay null; repeated rows give repeated results. The benchmark goes to the tasks in blocks of block_bytes of
+    stay null; repeated rows give repeated results; very long texts and items are matched whole; other columns, whatever
+    their names, are ignored; an empty table gives no rows. The benchmark goes to the tasks in blocks of block_bytes of
     text, one pass over the documents each, so that what is broadcast has that bound whatever the benchmark's size.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
