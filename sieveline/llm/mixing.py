@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+import math
 from fractions import Fraction
 
+import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,40 +41,51 @@ def targets(sizes: list[int], weights: list[int], total: Fraction, cap: int = CA
         for i in over:
             out[i] = Fraction(cap * sizes[i])
         rest -= sum(out[i] for i in over)
-        open_ = [i for i in open_ if i not in set(over)]
+        capped = set(over)
+        open_ = [i for i in open_ if i not in capped]
     return out
 
 
 def sainte_lague(votes: list[Fraction], seats: int, caps: list[int]) -> list[int]:
     """Seats by highest quotients votes / (2k + 1), none above its cap; ties go to the earlier one.
 
-    With a divisor d each gets round(votes / d) seats; d is found by bisection, and what is then left goes by
-    quotient, so the cost does not grow with the seats.
+    A divisor d gives each round(votes / d) seats, which are those of the highest quotients for some number of seats.
+    A d near the wanted number is found in floating point; from its exact seats on, quotients in a heap say what is
+    given or taken back one by one, at most about half a seat for each source. The cost does not grow with the seats.
     """
     seats = min(seats, sum(c for c, v in zip(caps, votes) if v > 0))
     if seats <= 0:
         return [0] * len(votes)
-    total = sum(votes)
-    fill = lambda d: [min(c, int(v / d + Fraction(1, 2))) for v, c in zip(votes, caps)]
-    low, high = Fraction(0), 2 * total + 1  # fill(high) gives none
-    tight = total / (seats + len(votes)) / 2
-    while sum(fill(tight)) < seats:
-        tight /= 2
-    low = tight
-    for _ in range(80):
-        mid = Fraction(float((low + high) / 2))
-        if not low < mid < high:
-            break
-        if sum(fill(mid)) <= seats:
-            high = mid
-            if sum(fill(mid)) == seats:
-                break
-        else:
-            low = mid
-    out = fill(high)
-    for _ in range(seats - sum(out)):
-        k = max((i for i in range(len(votes)) if out[i] < caps[i]), key=lambda i: (votes[i] / (2 * out[i] + 1), -i))
-        out[k] += 1
+    unit = math.lcm(*(v.denominator for v in votes))
+    whole = [v.numerator * (unit // v.denominator) for v in votes]
+    scale = max(whole)
+    shares, most = np.array([v / scale for v in whole]), np.array(caps, float)
+    filled = lambda d: float(np.minimum(most, np.floor(shares / d + 0.5)).sum())
+    low, high = 1.0, 2.1  # a divisor above twice the largest share gives no seats
+    while filled(low) < seats:
+        low /= 2
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if filled(mid) > seats else (low, mid)
+    p, q = (Fraction(high) * scale).as_integer_ratio()
+    out = [min(c, (2 * v * q + p) // (2 * p)) for v, c in zip(whole, caps)]
+    missing = seats - sum(out)
+    if missing > 0:
+        heap = [(Fraction(-v, 2 * n + 1), i) for i, (v, n, c) in enumerate(zip(whole, out, caps)) if v > 0 and n < c]
+        heapq.heapify(heap)
+        for _ in range(missing):
+            _, i = heapq.heappop(heap)
+            out[i] += 1
+            if out[i] < caps[i]:
+                heapq.heappush(heap, (Fraction(-whole[i], 2 * out[i] + 1), i))
+    elif missing < 0:
+        heap = [(Fraction(v, 2 * n - 1), -i) for i, (v, n) in enumerate(zip(whole, out)) if n > 0]
+        heapq.heapify(heap)
+        for _ in range(-missing):
+            i = -heapq.heappop(heap)[1]
+            out[i] -= 1
+            if out[i]:
+                heapq.heappush(heap, (Fraction(whole[i], 2 * out[i] - 1), -i))
     return out
 
 
