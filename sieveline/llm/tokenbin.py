@@ -30,9 +30,11 @@ BLOCK_IDS = 1 << 16
 END_ID = 1
 #: Entries of a Python worker's word cache; it is emptied when full.
 CACHE_WORDS = 900_000
-#: Bytes of text that one part of the output is made from, about.
-PART_BYTES = 32 << 20
-#: Files at most: beyond that they grow, as each is written by one task that holds no more than a block of ids.
+#: Bytes of text, and documents, that one part of the output is made from, about.
+PART_BYTES, PART_ROWS = 32 << 20, 100_000
+#: Documents of one row of the index, which are read back together.
+INDEX_ROWS = 16_384
+#: Files at most: beyond that they grow. The task that writes one holds a block of token ids, INDEX_ROWS document ids, and an end for each document.
 MAX_PARTS = 100_000
 
 # The word pattern and normalisation of the "word_bpe" family of tokenizer files.
@@ -129,10 +131,10 @@ class TokenFile:
     def ids(self, k: int) -> np.ndarray:
         return self.slice(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))
 
-    def documents(self) -> Iterator[np.ndarray]:
-        """All documents in order; each block is read and unpacked once."""
-        lo, k, block = 0, -1, np.empty(0, np.uint32)
-        for hi in self.ends.tolist():
+    def documents(self, first: int = 0, last: int | None = None) -> Iterator[np.ndarray]:
+        """Documents first to last in order, all of them by default; each block is read and unpacked once."""
+        lo, k, block = int(self.ends[first - 1]) if first else 0, -1, np.empty(0, np.uint32)
+        for hi in self.ends[first:last].tolist():
             parts = []
             while lo < hi:
                 if lo // self.block_ids != k:
@@ -206,16 +208,23 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+_INDEX = "part long, file string, first long, n_docs long, n_ids long, doc_ids array<long>"
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> DataFrame:
-    """Encode each text, append end_id, and write the ids below path in ascending id order; returns (part, file, n_docs, n_ids).
+    """Encode each text, append end_id, and write the ids below path in ascending id order; returns the index (part, file, first, n_docs, n_ids, doc_ids).
 
-    Rows are range-partitioned by id and sorted; each task writes one file under a name of its own attempt and returns
-    it, so a task that runs twice leaves a stray file but no wrong one. Null texts are empty; null ids come first.
+    A row of the index is for the file's documents from number first on, INDEX_ROWS at most, with their ids and how
+    many token ids they have. Rows are range-partitioned by id and sorted; each task writes one file under a name of
+    its own attempt and returns it, so a task that runs twice leaves a stray file but no wrong one. Files follow from
+    bytes and rows, and rows that agree in id and text can lie in several. Null texts are empty; null ids come first.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, min(MAX_PARTS, -(-size // PART_BYTES)), min(docs.sparkSession.sparkContext.defaultParallelism, size >> 20))
-    rows = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.crc32(F.col("text").cast("binary"))).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    total = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("rows")).first()
+    size = total.bytes or 0
+    parts = max(1, min(MAX_PARTS, max(-(-size // PART_BYTES), -(-total.rows // PART_ROWS))), min(docs.sparkSession.sparkContext.defaultParallelism, size >> 20))
+    rows = rows.withColumn("nth", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.crc32(F.col("text").cast("binary")), "nth").drop("nth").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -227,44 +236,54 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         name = f"tokens-{part:06d}-{attempt}.bin"
         end = struct.pack("<I", end_id)
         ids: list[int | None] = []
+        first = before = 0
+
+        def index() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, name, first, len(ids), writer.n - before)] + [pa.array([ids], pa.list_(pa.int64()))], names=["part", "file", "first", "n_docs", "n_ids", "doc_ids"])
+
         with files.open_output_stream(f"{root}/{name}", compression=None) as out:
             writer = TokenFileWriter(out, bits, block_ids)
             for batch in batches:
-                ids += batch.column(0).to_pylist()
-                for text in batch.column(1):
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    if len(ids) == INDEX_ROWS:
+                        yield index()
+                        first, before, ids = first + len(ids), writer.n, []
+                    ids.append(doc_id)
                     writer.add(np.frombuffer(encoder.encode(text.as_py()) + end, "<u4"))
             writer.close()
         if ids:
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, name, len(ids), writer.n)] + [pa.array([ids], pa.list_(pa.int64()))], names=["part", "file", "n_docs", "n_ids", "doc_ids"])
+            yield index()
 
-    return rows.mapInArrow(run, "part long, file string, n_docs long, n_ids long, doc_ids array<long>")
+    return rows.mapInArrow(run, _INDEX)
 
 
 def token_documents(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the token files, read them back, and return (doc_id, start, n_tokens, ids_crc32) per row of docs.
 
     start: ids of all rows before it in file order; crc of the ids as little-endian unsigned 32-bit integers. An empty
-    text has the end id alone. An empty table gives no files and no rows; extra columns are ignored.
+    text has the end id alone; rows that repeat are documents of their own, side by side. An empty table gives no files
+    and no rows; extra columns are ignored.
     """
     spark = docs.sparkSession
     path = path or fresh_dir(spark, "tokens")
-    index = write_token_files(docs, path, tokenizer, end_id, id_col, text_col)
-    index = written(index, "token-index")[0]
+    index = written(write_token_files(docs, path, tokenizer, end_id, id_col, text_col), "token-index")[0]
     # ids of all files before, one row for each of MAX_PARTS files at most: a running sum and a join of a few numbers
-    sums = index.select("part", "n_ids").withColumn("before", F.sum("n_ids").over(Window.orderBy("part")) - F.col("n_ids"))
-    n_files = index.count()
-    rows = index.select("part", "file", "doc_ids").join(sums.select("part", "before"), "part").select("file", "before", "doc_ids").repartition(max(1, n_files), "file")
+    sums = index.groupBy("part").agg(F.sum("n_ids").alias("n_ids"))
+    sums = sums.select("part", (F.sum("n_ids").over(Window.orderBy("part")) - F.col("n_ids")).alias("before"))
+    rows = index.select("part", "file", "first", "doc_ids").join(sums, "part").select("file", "first", "before", "doc_ids").repartition(max(1, index.count()), "file", "first")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = file_system(path)
         for batch in batches:
-            for file, start, ids in zip(*(c.to_pylist() for c in batch.columns)):
+            for file, first, before, ids in zip(*(c.to_pylist() for c in batch.columns)):
+                last = first + len(ids)
                 with files.open_input_file(f"{root}/{file}") as source:
                     book = TokenFile(source)
-                    crcs = [zlib.crc32(x.astype("<u4").tobytes()) for x in book.documents()]
-                ends = book.ends.astype(np.int64)
-                n = np.diff(ends, prepend=0)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(start + ends - n), pa.array(n), pa.array(crcs, pa.int64())], names=schema.names)
+                    crcs = [zlib.crc32(x.astype("<u4").tobytes()) for x in book.documents(first, last)]
+                ends = book.ends[max(0, first - 1) : last].astype(np.int64)
+                n = np.diff(ends, prepend=0)[1 if first else 0 :]
+                ends = ends[1 if first else 0 :]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(before + ends - n), pa.array(n), pa.array(crcs, pa.int64())], names=schema.names)
 
     return rows.mapInArrow(run, schema)
