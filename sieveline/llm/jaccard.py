@@ -1,7 +1,8 @@
 """N-gram Jaccard join: links between documents whose word shingles overlap, found by signature trees.
 
-Sets that link share one of the first shingles of both, in an order that all documents keep (prefix filter); so sets
-meet by such shingles. Where they meet, signature trees prune by bitmaps and sizes, and what is left is verified.
+Sets that link share one of the first shingles of both, in the order of their hashes, and many of the first few more
+(prefix filter); so sets meet by such shingles. Where they meet, signature trees prune by bitmaps and sizes, and what
+is left is verified.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -20,12 +21,12 @@ from .sigtree import bitmap, bits_for, linked, near_pairs, widened
 
 SHINGLE_WORDS = 5
 CACHE_WORDS = 600_000
-#: A shingle that is a key of more sets than this is moved to the end of the order; so many such shingles at most are told to the tasks.
-COMMON_SETS, COMMON_KEYS = 512, 1 << 17
 #: Elements, and sets, that one task holds of a group; and bytes of bitmaps.
 BLOCK_ELEMENTS, BLOCK_SETS, BLOCK_BYTES = 2_000_000, 8192, 32 << 20
 #: The first keys of each set, by which most copies are linked before all keys are used.
 FIRST_KEYS = 3
+#: With no more sets than this to fetch (some 40 bytes each), their ids are sent to the tasks; with more, texts and ids are shuffled.
+SENT_SETS = 200_000
 
 # Odd multipliers that give each place of a shingle a weight of its own.
 _PLACES = tuple(pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(8))
@@ -64,84 +65,64 @@ def n_keys(n: int) -> int:
     return n - -(-4 * n // 5) + 1
 
 
-def key_order(s: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """A set in the order that all keep: common shingles come last."""
-    if not len(common):
-        return s
-    late = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
-    return np.concatenate((s[~late], s[late]))
+def n_early(n: int) -> int:
+    """How many first elements are looked at: the keys and a third more. Sets that link share n_early - n_keys + 1 of the smaller one's at least."""
+    return min(n, n_keys(n) + n_keys(n) // 3 + 4)
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.astype(np.uint64).view(np.int64))
+def _least_shared(n: Column) -> Column:
+    """The least number of early elements that a set of n shares with one that links with it, which has 80 % of n at least."""
+    eighty = lambda x: F.floor((4 * x + 4) / 5)
+    m = eighty(n)
+    return F.least(eighty(m), F.floor((m - eighty(m) + 1) / 3) + 5)
 
 
 def _sets(rows: DataFrame) -> DataFrame:
-    """(doc_id, h, n, fp): size of each document's set and its 128-bit hash, null for an empty one."""
+    """(doc_id, h, n, fp, early): each document's set: its size, 128-bit hash (null for an empty one) and first elements, null where the task has met the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[bytes] = set()
         for batch in batches:
-            sets = [shingle_set(t.as_py()) for t in batch.column(2)]
-            fp = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp, pa.binary())], names=["doc_id", "h", "n", "fp"])
-
-    return rows.mapInArrow(run, "doc_id long, h long, n long, fp binary")
-
+            n, fps, early = [], [], []
+            for t in batch.column(2):
+                s = shingle_set(t.as_py())
+                fp = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
+                n.append(len(s))
+                fps.append(fp)
+                early.append(s[: n_early(len(s))].view(np.int64) if fp and fp not in met else None)
+                met.add(fp)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(fps, pa.binary()), pa.array(early, pa.list_(pa.int64()))], names=["doc_id", "h", "n", "fp", "early"])
 
-def _short(fp: bytes) -> int:
-    return int.from_bytes(fp[:8], "little", signed=True)
+    return rows.mapInArrow(run, "doc_id long, h long, n long, fp binary, early array<long>")
 
 
-def _keys(texts: DataFrame, common: np.ndarray, more: bool) -> DataFrame:
-    """(key, n, doc, first, late): keys of each set, told by 64 bits of its hash; a set that a task meets again is passed over. more: some keys beyond, as common ones are to be found."""
+def _met(known: DataFrame) -> DataFrame:
+    """(key, m, doc) of early elements that sets of a size within 4 : 5 share; doc: 64 bits of the set's hash; m: 4 times the size, plus 0 for a first key, 1 for a key, 2 for the rest.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[bytes] = set()
-        for batch in batches:
-            keys, docs, sizes = [], [], []
-            for t in batch.column(0):
-                s = shingle_set(t.as_py())
-                if not len(s) or (fp := xxhash.xxh3_128_digest(s.tobytes())) in met:
-                    continue
-                met.add(fp)
-                p = n_keys(len(s))
-                own = key_order(s, common)[: min(len(s), p + p // 3 + 4) if more else p]
-                keys.append(own)
-                docs.append(_short(fp))
-                sizes.append(len(s))
-            n = [len(k) for k in keys]
-            flat = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-            rank = np.arange(len(flat)) - np.repeat(np.cumsum([0, *n[:-1]]) if n else np.empty(0, int), n)
-            late = np.isin(flat, common) if len(common) else np.zeros(len(flat), bool)
-            yield pa.RecordBatch.from_arrays(
-                [_signed(flat), pa.array(np.repeat(np.array(sizes, np.int32), n)), pa.array(np.repeat(np.array(docs, np.int64), n)), pa.array(rank < FIRST_KEYS), pa.array(late)],
-                names=["key", "n", "doc", "first", "late"],
-            )
-
-    return texts.mapInArrow(run, "key long, n int, doc long, first boolean, late boolean")
-
-
-def _met(keys: DataFrame) -> DataFrame:
-    """Of rows of one key side by side in the order of n: those of which a neighbour is another set with a size within 4 : 5."""
+    Rows of one element lie side by side, by size; one whose neighbours are of other sizes, or the same set, goes.
+    """
+    n = F.col("n")
+    keys = n - F.floor((4 * n + 4) / 5) + 1
+    rows = known.where("early is not null").select(n, F.xxhash64("fp").alias("doc"), F.posexplode("early").alias("pos", "key"))
+    kind = F.when(F.col("pos") < F.least(keys, F.lit(FIRST_KEYS)), 0).when(F.col("pos") < keys, 1).otherwise(2)
+    rows = rows.select("key", (4 * n + kind).cast("long").alias("m"), "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        names = ["key", "n", "doc", "first"]
+        held: list[np.ndarray] | None = None
+        back = 0  # rows of `held` that were given already, kept to look back at
 
-        def out(cols: list[np.ndarray], n_out: int, drop_first: int) -> pa.RecordBatch:
-            key, n, doc, _ = cols
-            same = (key[1:] == key[:-1]) & (5 * n[:-1].astype(np.int64) >= 4 * n[1:].astype(np.int64)) & (doc[1:] != doc[:-1])
+        def out(cols: list[np.ndarray], lo: int, hi: int) -> pa.RecordBatch:
+            key, m, doc = cols
+            n = m >> 2
+            same = (key[1:] == key[:-1]) & (5 * n[:-1] >= 4 * n[1:]) & (doc[1:] != doc[:-1])
             keep = np.zeros(len(key), bool)
             keep[1:] |= same
             keep[:-1] |= same
-            keep[n_out:] = False
-            keep[:drop_first] = False
-            return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names=names)
+            keep[:lo] = keep[hi:] = False
+            return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names=["key", "m", "doc"])
 
-        # rows are held until the next distinct one is known; one row before is kept to look back at
-        back = 0
         for batch in batches:
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+            cols = [c.to_numpy() for c in batch.columns]
             if held:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
             again = np.zeros(len(cols[0]), bool)
@@ -151,13 +132,12 @@ def _met(keys: DataFrame) -> DataFrame:
             if len(cols[0]) < 3:
                 held = cols
                 continue
-            yield out(cols, len(cols[0]) - 1, back)
+            yield out(cols, back, len(cols[0]) - 1)
             held, back = [c[-2:] for c in cols], 1
         if held:
-            yield out(held, len(held[0]), back)
+            yield out(held, back, len(held[0]))
 
-    sorted_ = keys.repartition("key").sortWithinPartitions("key", "n", "doc")
-    return sorted_.select("key", "n", "doc", "first").mapInArrow(run, "key long, n int, doc long, first boolean")
+    return rows.repartition("key").sortWithinPartitions("key", "m", "doc").mapInArrow(run, "key long, m long, doc long")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[list]]:
@@ -260,14 +240,7 @@ def _candidates(dealt: DataFrame) -> DataFrame:
     return dealt.select("key", "p", "q", "comp", "lo", "hi", "spare", "bits").mapInArrow(run, "a long, b long")
 
 
-def _common_keys(texts: DataFrame, more_than: int) -> np.ndarray:
-    """The shingles that are early in most sets, COMMON_KEYS at most: only the order of keys depends on them, no result."""
-    counted = _keys(texts, np.empty(0, np.uint64), True).groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > more_than)
-    top = counted.orderBy(F.desc("k"), "key").limit(COMMON_KEYS).select("key").toArrow()
-    return np.unique(top.column(0).to_numpy().view(np.uint64)) if top.num_rows else np.empty(0, np.uint64)
-
-
-def set_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", common_sets: int = COMMON_SETS, block_elements: int = BLOCK_ELEMENTS, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
+def set_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_elements: int = BLOCK_ELEMENTS, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, sets, links): rows(doc_id, h, n, fp), the sets that met others as (fp, no), and links (a, b) over `no` that connect what all pairs would.
 
     Links join any two sets a and b with 100 * |a & b| >= 80 * |a | b|; of the links within what is connected already
@@ -276,19 +249,18 @@ def set_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.cast("binary").alias("text"))
     known = materialize(_sets(rows), "jaccard-sets")
-    texts = rows.select("text")
-    common = _common_keys(texts, common_sets)
-    keys = materialize(_keys(texts, common, False), "jaccard-keys")
-    # common keys are shared by what they are; the others go by key, so that no key meets many rows there
-    shared = _met(keys.where("not late")).unionByName(keys.where("late").select("key", "n", "doc", "first").distinct())
-    shared = materialize(shared, "jaccard-shared")
-
-    # the sets that share a key, from their texts; each has a number of its own
-    some = shared.select("doc").distinct()
-    sized = known.where("fp is not null").select("doc_id", "h", "fp", _low_word("fp").alias("doc"))
+    shared = materialize(_met(known), "jaccard-shared")
+    n = F.floor(F.col("m") / 4)
+    enough = shared.groupBy("doc", n.alias("n")).agg(F.count_distinct("key").alias("k")).where(F.col("k") >= _least_shared(F.col("n")))
+    some = materialize(enough.select("doc").distinct(), "jaccard-some")
+    shared = materialize(shared.where("m % 4 < 2").select("key", "doc", (F.col("m") % 4 == 0).alias("first")).distinct().join(some, "doc", "left_semi"), "jaccard-keys")
+
+    # the sets that may link, from their texts; each has a number of its own
+    sized = known.where("fp is not null").select("doc_id", "h", "fp", F.xxhash64("fp").alias("doc"))
     picks = sized.join(some, "doc").groupBy("fp").agg(F.min(F.struct("doc_id", "h")).alias("own"), F.first("doc").alias("doc"))
     picks = materialize(picks.select("fp", "doc", F.col("own.doc_id").alias("own_id"), F.col("own.h").alias("own_h"), F.monotonically_increasing_id().alias("no")), "jaccard-picks")
-    chosen = rows.join(picks, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("h") == F.col("own_h")))
+    chosen = F.broadcast(picks) if picks.count() <= SENT_SETS else picks
+    chosen = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("h") == F.col("own_h")))
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
@@ -346,15 +318,7 @@ def set_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     return known, picks.select("fp", "no"), links.unionByName(more)
 
 
-def _low_word(fp: str):
-    """The first 8 bytes of a binary column as a signed little-endian number."""
-    hexed = F.hex(fp)
-    turned = F.concat(*[F.substring(hexed, 2 * k + 1, 2) for k in reversed(range(8))])
-    high, low = F.conv(F.substring(turned, 1, 8), 16, 10).cast("long"), F.conv(F.substring(turned, 9, 8), 16, 10).cast("long")
-    return F.shiftleft(high, 32).bitwiseOR(low)
-
-
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", common_sets: int = COMMON_SETS, block_elements: int = BLOCK_ELEMENTS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_elements: int = BLOCK_ELEMENTS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs.
 
     A set is a text's distinct shingles of five words (ASCII letters in lower case), of the whole sequence where there
@@ -363,7 +327,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     never the smallest; rows that repeat link like any others; an empty table gives no rows; very long texts are taken
     whole; other columns are ignored.
     """
-    known, numbers, links = set_links(docs, id_col, text_col, common_sets, block_elements, block_bytes)
+    known, numbers, links = set_links(docs, id_col, text_col, block_elements, block_bytes)
     roots = connected_components(links)
     classes = known.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("low"))
     classes = classes.join(numbers, "fp", "left").join(roots.withColumnRenamed("node", "no"), "no", "left").select("fp", "low", F.coalesce("root", "no").alias("root"))

@@ -60,10 +60,11 @@ def near_copies(seed, base=3, copies=40, size=60):
     return [(k, t, "en", "a", 1, "x", "y", "z", "q") for k, t in enumerate(rows, 1000)]
 
 
-@pytest.mark.parametrize("seed,common,elements,size", [(1, 512, 2_000_000, 1 << 25), (2, 3, 400, 4000), (3, 8, 3000, 1 << 14)])
-def test_components_are_those_of_all_pairs(spark, seed, common, elements, size):
+@pytest.mark.parametrize("seed,sent,elements,size", [(1, 200_000, 2_000_000, 1 << 25), (2, 0, 400, 4000), (3, 200_000, 3000, 1 << 14)])
+def test_components_are_those_of_all_pairs(spark, monkeypatch, seed, sent, elements, size):
+    monkeypatch.setattr(jaccard, "SENT_SETS", sent)
     rows = documents(seed, 60) + near_copies(seed)
-    got = jaccard.jaccard_components(frame(spark, rows).repartition(3), common_sets=common, block_elements=elements, block_bytes=size).collect()
+    got = jaccard.jaccard_components(frame(spark, rows).repartition(3), block_elements=elements, block_bytes=size).collect()
     key = lambda r: tuple(-1 if x is None else x for x in r)
     assert sorted(map(tuple, got), key=key) == sorted(brute(rows), key=key)
 
@@ -110,23 +111,17 @@ def test_trees_lose_no_link(n):
         assert met >= {tuple(sorted(p)) for p in pairs} and len(met) < n * (n - 1) / 2 or n < 10
 
 
-def test_keys_hold_one_that_linked_sets_share():
+def test_linked_sets_share_a_key_and_enough_early_elements(spark):
     rng = np.random.default_rng(0)
-    for _ in range(400):
-        n = int(rng.integers(1, 60))
+    least = [r[0] for r in spark.range(400).select(jaccard._least_shared(jaccard.F.col("id"))).collect()]
+    for _ in range(3000):
+        n = int(rng.integers(1, 120))
         a = np.sort(rng.choice(10**9, n, replace=False).astype(np.uint64))
-        b = a.copy()
-        k = int(rng.integers(0, n // 5 + 1))
-        b[rng.choice(n, k, replace=False)] += np.uint64(1)
-        common = np.unique(rng.choice(np.concatenate((a, b)), max(1, n // 3)))
-        b = np.unique(b)
+        k = int(rng.integers(0, n // 4 + 1))
+        b = a.copy() if rng.random() < 0.5 else a[: n - k]
+        b = np.unique(np.concatenate((b, rng.choice(10**3, int(rng.integers(0, n // 4 + 1)), replace=False).astype(np.uint64))))
         o = len(np.intersect1d(a, b))
         if 100 * o >= 80 * (len(a) + len(b) - o):
-            ka, kb = (jaccard.key_order(s, common)[: jaccard.n_keys(len(s))] for s in (a, b))
-            assert len(np.intersect1d(ka, kb))
-
-
-def test_low_word_is_that_of_the_bytes(spark):
-    rows = [(bytearray(np.random.default_rng(k).bytes(16)),) for k in range(50)]
-    got = spark.createDataFrame(rows, "fp binary").select("fp", jaccard._low_word("fp").alias("x")).collect()
-    assert all(r.x == jaccard._short(bytes(r.fp)) for r in got)
+            assert len(np.intersect1d(*(s[: jaccard.n_keys(len(s))] for s in (a, b))))
+            both = len(np.intersect1d(*(s[: jaccard.n_early(len(s))] for s in (a, b))))
+            assert both >= max(least[len(a)], least[len(b)])
