@@ -33,8 +33,7 @@ def freeze_end(label: str) -> date:
 
 def archive_notices(spark: SparkSession, archive: str, label: str) -> DataFrame:
     """Notice rows of a tar archive of records, as of the freeze's end, without repeats; records without a usable notice give none."""
-    spark.dataSource.register(files.TarJsonSource)
-    raw = spark.read.format("tar_json").load(archive)
+    raw = files.tar_records(spark, archive)
     lines = raw.select(F.col("json").alias("line"), F.col("member").alias("file_id"), (F.col("ordinal") + 1).alias("line_number"), F.lit(label).alias("snapshot_id"))
     rows = normalize.normalize_notices(lines).where("kind = 'normalized'").select("row.*")
     rows = rows.withColumns({"source_name": F.lit("Crossref Metadata Plus"), "rights_status": F.lit("metadata_only")})

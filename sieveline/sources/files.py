@@ -8,12 +8,13 @@ import json
 import re
 import tarfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 from datetime import date
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.window import Window
 
 from ..functions.scalars import normalize_doi
@@ -30,8 +31,7 @@ PUBMED_XML = (
 def numbered_lines(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
     """(file, line_number, line) of non-blank lines of plain and gzip files; numbers count blank lines too.
 
-    A file's splits are ordered by their first byte and a split's lines by their running id, so numbers hold when a
-    plain file is read in several splits.
+    Numbers hold when a plain file is read in several splits, and no task holds more of a file than its own split.
     """
     reader = spark.read.option("recursiveFileLookup", True)
     reader = reader.option("pathGlobFilter", glob) if glob else reader
@@ -78,9 +78,19 @@ def allowlist(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
-    """df with `file` and the rows' numbers within their files from 1 on, which hold where a file is read in several splits."""
-    df = df.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_i"))
-    return df.withColumn(name, F.row_number().over(Window.partitionBy("file").orderBy("_at", "_i")).cast("long")).drop("_at", "_i")
+    """df, as it is read from files, with `file` and the rows' numbers within their files from 1 on, which hold where a file is read in several splits.
+
+    A first scan counts the rows of each split; a running sum over a file's splits tells how many come before. Within
+    a split rows are numbered as they are read, and nothing is sorted. Should the two scans be cut into unlike splits,
+    the query fails.
+    """
+    df = df.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_i"))
+    splits = df.groupBy("file", "_at", "_part").agg(F.count("*").alias("_n"), F.min("_i").alias("_first"), F.max("_i").alias("_last"))
+    earlier = Window.partitionBy("file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "_at", "_part", "_n", "_first", "_last", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    place = F.when(F.col("_i").between(F.col("_first"), F.col("_last")) & (F.col("_last") - F.col("_first") + 1 == F.col("_n")), F.col("_i") - F.col("_first") + 1 + F.col("_before"))
+    out = df.join(splits, ["file", "_at", "_part"], "left")
+    return out.withColumn(name, F.coalesce(place, F.raise_error(F.lit("a file was read in unlike splits")).cast("long"))).drop("_at", "_part", "_i", "_n", "_first", "_last", "_before")
 
 
 def csv_rows(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
@@ -115,10 +125,72 @@ def dois_in_xml(text: Column) -> Column:
     return F.filter(F.transform(found, lambda x: normalize_doi(strip_tags(unescape(x)))), lambda x: x != "")
 
 
-def xml_dois(spark: SparkSession, path: str) -> DataFrame:
+def _opened(uri: str):
+    """(file system, path) of a path as Spark names it."""
+    from pyarrow import fs as pafs
+
+    uri = uri if "://" in uri else f"file://{uri.removeprefix('file:')}"
+    return pafs.FileSystem.from_uri(uri)
+
+
+#: Bytes of a file that one row of byte_ranges() is for, and bytes before and after that are read with them.
+CHUNK_BYTES, OVERLAP_BYTES = 1 << 20, 64 << 10
+
+
+def byte_ranges(spark: SparkSession, path: str, chunk: int = CHUNK_BYTES) -> DataFrame:
+    """(file, start, stop) of the files of a folder, a row for each `chunk` bytes; gzip files, which cannot be cut, have one each, without a stop."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"), "length")
+    packed = F.lower("file").endswith(".gz")
+    start = F.when(packed | (F.col("length") == 0), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(chunk).cast("long")))
+    return found.select("file", F.explode(start).alias("start"), "length", packed.alias("packed")).select("file", "start", F.when(~F.col("packed"), F.least(F.col("start") + chunk, F.col("length"))).alias("stop"))
+
+
+def xml_elements(spark: SparkSession, path: str, chunk: int = CHUNK_BYTES, overlap: int = OVERLAP_BYTES) -> DataFrame:
+    """(file, at, element): each element of XML files that holds an identifier, with its first byte. Elements and what they lie in are at most `overlap` bytes long.
+
+    Ranges of a file are tasks of their own. Each reads `overlap` bytes more on both sides, and keeps the elements that
+    start within its range, so one across a border is found once.
+    """
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(file: str, data: bytes, base: int, start: int, stop: int) -> pa.RecordBatch:
+            hits = [(base + m.start(), m[0].decode("utf-8", errors="replace")) for m in _IDENTIFIER.finditer(data) if start <= base + m.start() < stop]
+            return pa.RecordBatch.from_arrays([pa.array([file] * len(hits), pa.string()), pa.array([h[0] for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.string())], names=["file", "at", "element"])
+
+        for batch in batches:
+            for file, start, stop in zip(*(c.to_pylist() for c in batch.columns)):
+                files, name = _opened(file)
+                if stop is not None:
+                    with files.open_input_file(name) as source:
+                        low = max(0, start - overlap)
+                        yield found(file, source.read_at(stop + overlap - low, low), low, start, stop)
+                    continue
+                with files.open_input_stream(name, compression="gzip") as source:
+                    data, base, start = b"", 0, 0
+                    while True:
+                        more = source.read(chunk)
+                        data += more
+                        stop = base + len(data) - (overlap if more else 0)
+                        if stop > start:
+                            yield found(file, data, base, start, stop)
+                            start = stop
+                            cut = max(0, stop - overlap - base)
+                            data, base = data[cut:], base + cut
+                        if not more:
+                            break
+
+    ranges = byte_ranges(spark, path, chunk)
+    return ranges.repartition("file", "start").mapInArrow(run, "file string, at long, element string")
+
+
+#: As in dois_in_xml(), over bytes.
+_IDENTIFIER = re.compile(rb"""(?is)<(ArticleId|ELocationID)\b[^>]*?\bE?IdType\s*=\s*["']doi["'][^>]*>(.*?)</\1\s*>""")
+
+
+def xml_dois(spark: SparkSession, path: str, chunk: int = CHUNK_BYTES, overlap: int = OVERLAP_BYTES) -> DataFrame:
     """dois_in_xml() of a folder's files, a row each."""
-    df = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    return df.select(F.explode(dois_in_xml(F.col("value"))).alias("doi"))
+    return xml_elements(spark, path, chunk, overlap).select(F.explode(dois_in_xml(F.col("element"))).alias("doi"))
 
 
 def unescape(c: Column) -> Column:
@@ -142,53 +214,119 @@ def strip_tags(c: Column) -> Column:
 
 
 def member_records(data: bytes, name: str) -> Iterator[dict]:
-    """Objects of one archive member: JSON lines, one object, or an array of objects; lines that do not parse are left out."""
+    """Objects of one archive member: each line is an object or an array of objects; lines that do not parse, and what is no object, are left out."""
     if name.endswith(".gz"):
         data = gzip.decompress(data)
-    text = data.decode("utf-8", errors="replace").strip()
-    try:
-        whole = json.loads(text)
-    except ValueError:
-        for line in text.split("\n"):
-            try:
-                x = json.loads(line)
-            except ValueError:
-                continue
-            if isinstance(x, dict):
-                yield x
-        return
-    for x in whole if isinstance(whole, list) else whole.get("items", [whole]) if isinstance(whole, dict) else []:
-        if isinstance(x, dict):
-            yield x
-
-
-class TarJsonSource(DataSource):
-    """spark.read.format("tar_json").load(path): (member, ordinal, json) of a tar archive, gzip or not; one task an archive."""
+    for line in data.decode("utf-8", errors="replace").split("\n"):
+        try:
+            x = json.loads(line)
+        except ValueError:
+            continue
+        yield from (y for y in (x if isinstance(x, list) else [x]) if isinstance(y, dict))
+
+
+#: Bytes of archive members that one task parses, about, and how many a byte of a gzip archive is taken to hold.
+MEMBER_BYTES, PACKED = 16 << 20, 4
+
+
+@dataclass
+class _Members(InputPartition):
+    """Members (name, first byte, bytes) that one task reads; None for the whole of an archive that cannot be cut."""
+
+    members: list[tuple[str, int, int]] | None
+
+
+class TarSource(DataSource):
+    """spark.read.format("tar_members").load(path): (member, data) of a tar archive.
+
+    A first pass over the headers of a plain archive gives the places of its members, which tasks then read by
+    themselves. A gzip archive is one stream, so one task cuts it into members.
+    """
 
     @classmethod
     def name(cls) -> str:
-        return "tar_json"
+        return "tar_members"
 
     def schema(self) -> str:
-        return "member string, ordinal bigint, json string"
+        return "member string, data binary"
 
     def reader(self, schema):
-        return _TarReader(self.options.get("path", ""))
+        return _TarReader(self.options.get("path", ""), int(self.options.get("member_bytes", MEMBER_BYTES)))
 
 
 class _TarReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, member_bytes: int):
+        self.path, self.member_bytes = path, member_bytes
+
+    def partitions(self) -> list[InputPartition]:
+        files, path = _opened(self.path)
+        with files.open_input_file(path) as raw:
+            if raw.read(2) == b"\x1f\x8b":
+                return [_Members(None)]
+            raw.seek(0)
+            parts, size = [[]], 0
+            with tarfile.open(fileobj=raw, mode="r:") as tar:
+                for m in tar:
+                    if m.isfile():
+                        if size and size + m.size > self.member_bytes:
+                            parts.append([])
+                            size = 0
+                        parts[-1].append((m.name, m.offset_data, m.size))
+                        size += m.size
+        return [_Members(p) for p in parts]
 
     def read(self, partition):
-        from pyarrow import fs as pafs
-
-        files, path = pafs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
+        files, path = _opened(self.path)
+        if partition.members is not None:
+            with files.open_input_file(path) as raw:
+                for name, at, size in partition.members:
+                    yield name, raw.read_at(size, at)
+            return
         with files.open_input_stream(path, compression=None) as raw, tarfile.open(fileobj=io.BufferedReader(raw), mode="r|*") as tar:
             for member in tar:
                 if member.isfile():
-                    for k, x in enumerate(member_records(tar.extractfile(member).read(), member.name)):
-                        yield member.name, k, json.dumps(x)
+                    yield member.name, tar.extractfile(member).read()
+
+
+class TarJsonSource(TarSource):
+    """spark.read.format("tar_json").load(path): (member, ordinal, json) of a tar archive; tasks as in tar_members, each parses what it reads."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "tar_json"
+
+    def schema(self) -> str:
+        return "member string, ordinal bigint, json string"
+
+    def reader(self, schema):
+        return _TarJsonReader(self.options.get("path", ""), int(self.options.get("member_bytes", MEMBER_BYTES)))
+
+
+class _TarJsonReader(_TarReader):
+    def read(self, partition):
+        for name, data in super().read(partition):
+            for k, x in enumerate(member_records(data, name)):
+                yield name, k, json.dumps(x)
+
+
+def tar_records(spark: SparkSession, path: str, member_bytes: int = MEMBER_BYTES) -> DataFrame:
+    """(member, ordinal, json) of the objects in a tar archive, gzip or not; members are parsed by many tasks in either case."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = [json.dumps(x) for x in member_records(data.as_py(), name)]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(range(len(found)), pa.int64()), pa.array(found, pa.string())], names=["member", "ordinal", "json"])
+
+    spark.dataSource.register(TarSource)
+    members = spark.read.format("tar_members").option("member_bytes", member_bytes).load(path)
+    files, name = _opened(path)
+    with files.open_input_file(name) as raw:
+        tasks = -(-PACKED * raw.size() // member_bytes)
+        if raw.read(2) == b"\x1f\x8b" and tasks > 1:
+            members = members.repartition(tasks, "member")
+    return members.mapInArrow(run, "member string, ordinal long, json string")
 
 
 def latest_dated(names: list[str], bound: date) -> str | None:

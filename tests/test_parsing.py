@@ -112,13 +112,13 @@ def test_numbered_lines(spark, tmp_path):
 def test_tar_members(spark, tmp_path):
     path = tmp_path / "all.json.tar.gz"
     with tarfile.open(path, "w:gz") as tar:
-        for name, data in (("a.jsonl", b'{"a": 1}\nbroken\n{"a": 2}'), ("b.json", b'[{"a": 3}, 4]'), ("c.json.gz", gzip.compress(b'{"items": [{"a": 5}]}')), ("d.json", b'{"a": 6}')):
+        for name, data in (("a.jsonl", b'{"a": 1}\nbroken\n{"a": 2}'), ("b.json", b'[{"a": 3}, 4]'), ("c.json.gz", gzip.compress(b'{"items": [{"a": 5}], "a": 7}\n[{"a": 8}, {"a": 9}]')), ("d.json", b'{"a": 6}')):
             info = tarfile.TarInfo(name)
             info.size = len(data)
             tar.addfile(info, io.BytesIO(data))
     spark.dataSource.register(files.TarJsonSource)
     got = spark.read.format("tar_json").load(str(path)).collect()
-    assert sorted((r.member, r.ordinal, json.loads(r.json)["a"]) for r in got) == [("a.jsonl", 0, 1), ("a.jsonl", 1, 2), ("b.json", 0, 3), ("c.json.gz", 0, 5), ("d.json", 0, 6)]
+    assert sorted((r.member, r.ordinal, json.loads(r.json)["a"]) for r in got) == [("a.jsonl", 0, 1), ("a.jsonl", 1, 2), ("b.json", 0, 3), ("c.json.gz", 0, 7), ("c.json.gz", 1, 8), ("c.json.gz", 2, 9), ("d.json", 0, 6)]
 
 
 def test_driver_side_picks():
