@@ -95,6 +95,7 @@ def main(argv: list[str] | None = None) -> int:
         else:
             sources = (w.canonical(a.snapshot_id, "articles"), w.canonical(a.snapshot_id, "official_notices"), w.signals(a.snapshot_id))
         out = w.build_core(*sources, day)
+        code = int(not out["record_count"])
     elif a.verb == "build-splits":
         out = w.build_splits()
     elif a.verb == "audit-leakage":

@@ -54,9 +54,10 @@ def vocabulary(docs: DataFrame, text: Column, size: int = 128) -> DataFrame:
 def tf_idf(docs: DataFrame, key: str, text: Column, vocab: DataFrame) -> DataFrame:
     """(key, token, tf_idf) of vocabulary tokens; frequencies are shares of all tokens, known or not."""
     words = docs.select(F.col(key), S.tokenize(text).alias("w"))
-    counted = words.select(key, F.size("w").alias("total"), F.explode("w").alias("token")).groupBy(key, "total", "token").agg(F.count("*").alias("c"))
+    known = words.select(key, F.size("w").alias("total"), F.explode("w").alias("token")).join(F.broadcast(vocab), "token")  # before anything is shuffled
+    counted = known.groupBy(key, "total", "token", "df", "n_docs").agg(F.count("*").alias("c"))
     idf = F.log(1 + F.col("n_docs") / (1 + F.col("df"))) + 1
-    return counted.join(F.broadcast(vocab), "token").select(key, "token", (F.col("c") / F.col("total") * idf).alias("tf_idf"))
+    return counted.select(key, "token", (F.col("c") / F.col("total") * idf).alias("tf_idf"))
 
 
 class LogisticRegression:

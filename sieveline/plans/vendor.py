@@ -6,6 +6,8 @@ import calendar
 import json
 import re
 import shutil
+from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import date
 from pathlib import Path
 
@@ -57,105 +59,107 @@ def _below(folder: Path) -> list[Path]:
     return sorted(p for p in folder.rglob("*") if p.is_file()) if folder.is_dir() else []
 
 
-def latest_retraction_folder(root: Path, end: date) -> Path | None:
-    name = files.latest_dated([p.name for p in root.iterdir() if p.is_dir()], end) if root.is_dir() else None
-    return root / name if name else None
-
-
-def check_archive(root: str | Path, label: str, allow_missing_crossref: bool = False) -> dict:
-    """Whether each part of a vendor archive has its folder, its sidecars and a file of the needed kind."""
+@dataclass(frozen=True)
+class Part:
+    """One part of a vendor archive: where it lies for a freeze's end, what it needs to hold, and the bucket of a raw snapshot that it goes to.
+
+    rows: the function that turns the needed file, the first of those that it prefers, into notice rows; without one, files are put below `below` as they
+    are, and so are those named in `beside`.
+    """
+
+    name: str
+    folder: Callable[[date], str]
+    needed: str
+    bucket: str
+    below: str = ""
+    beside: tuple[str, ...] = ()
+    prefer: tuple[str, ...] = ()
+    rows: Callable[[SparkSession, str, str], DataFrame] | None = None
+
+    def place(self, root: Path, end: date) -> Path | None:
+        """The part's folder. A name that ends with * stands for its latest dated folder up to the end."""
+        at = root / self.folder(end)
+        if at.name != "*":
+            return at if at.is_dir() else None
+        dated = files.latest_dated([p.name for p in at.parent.iterdir() if p.is_dir()], end) if at.parent.is_dir() else None
+        return at.parent / dated if dated else None
+
+    def files(self, at: Path | None) -> list[Path]:
+        return [p for p in _below(at) if re.search(self.needed, p.name)] if at else []
+
+
+_MONTH = "%Y-%m"
+PARTS = (
+    Part("openalex", lambda end: f"openalex/{end:{_MONTH}}", r"\.gz$", "openalex", beside=OPENALEX_EXTRAS),
+    Part("crossref", lambda end: f"crossref/{end:{_MONTH}}", r"^all\.json\.tar\.gz$", "official_notices", prefer=("all.json.tar.gz",), rows=archive_notices),
+    Part("retraction_watch", lambda end: "retraction_watch/*", r"\.csv(\.gz)?$", "official_notices", prefer=("retraction_watch.csv", "retraction_watch.csv.gz", ".csv", ".csv.gz"), rows=retraction_notices),
+    Part("pubmed_baseline", lambda end: f"pubmed/baseline/{end.year}", r"\.xml(\.gz)?$", "pubmed", "baseline"),
+    Part("pubmed_updatefiles", lambda end: f"pubmed/updatefiles/{end:{_MONTH}}", r"\.xml(\.gz)?$", "pubmed", "updatefiles"),
+)
+#: The part that an archive of open data alone does without.
+LICENSED = "crossref"
+
+
+def check_archive(root: str | Path, label: str, open_data_only: bool = False) -> dict:
+    """{"passed", "problems"}: for each part of a vendor archive that is not complete, what it lacks; open_data_only: the licensed part may lack anything."""
     root, end = Path(root), freeze_end(label)
-    period = f"{end:%Y-%m}"
-    retractions = latest_retraction_folder(root / "retraction_watch", end)
-    parts = [
-        ("openalex", root / "openalex" / period, lambda n: n.endswith(".gz")),
-        ("crossref", root / "crossref" / period, lambda n: n == "all.json.tar.gz"),
-        ("pubmed_baseline", root / "pubmed" / "baseline" / str(end.year), lambda n: n.endswith((".xml", ".xml.gz"))),
-        ("pubmed_updatefiles", root / "pubmed" / "updatefiles" / period, lambda n: n.endswith((".xml", ".xml.gz"))),
-        ("retraction_watch", retractions, lambda n: n.endswith((".csv", ".csv.gz"))),
-    ]
-    checks = []
-    for name, folder, wanted in parts:
-        if folder is None:
-            reason = "no dated directory found at or before freeze_end"
-        elif not folder.is_dir():
-            reason = "missing_directory"
-        elif missing := sorted(s for s in SIDECARS if not (folder / s).exists()):
-            reason = f"missing_metadata:{','.join(missing)}"
+    problems: dict[str, list[str]] = {}
+    for part in PARTS:
+        at = part.place(root, end)
+        lacks = ["folder"] if at is None else [s for s in SIDECARS if not (at / s).exists()] + ([] if part.files(at) else [f"a file like {part.needed}"])
+        if lacks and not (open_data_only and part.name == LICENSED):
+            problems[part.name] = lacks
+    return {"label": label, "as_of": str(end), "passed": not problems, "problems": problems}
+
+
+def _put(sources: list[Path], top: Path, out: Path, link: bool) -> int:
+    """Copies of files below top, or links to them, at the same places below out."""
+    for p in sources:
+        to = out / p.relative_to(top)
+        to.parent.mkdir(parents=True, exist_ok=True)
+        to.unlink(missing_ok=True)
+        if link:
+            to.symlink_to(p.resolve())
         else:
-            reason = "ok" if any(wanted(p.name) for p in _below(folder)) else "missing_required_files"
-        row = {"label": name, "path": str(folder or root / name), "passed": reason == "ok", "reason": reason}
-        if name == "crossref" and allow_missing_crossref and reason != "ok":
-            row |= {"passed": True, "required": False, "reason": "optional in open-data-only mode"}
-        checks.append(row)
-    return {"snapshot_label": label, "freeze_end": str(end), "allow_missing_crossref": allow_missing_crossref, "passed": all(c["passed"] for c in checks), "checks": checks}
-
-
-def _stage(folder: Path, wanted, out: Path, mode: str) -> list[Path]:
-    """Copies or links of the wanted files of a folder, at the same places below out."""
-    if not folder.is_dir():
-        raise FileNotFoundError(f"no vendor archive at {folder}")
-    staged = []
-    for p in _below(folder):
-        if wanted(p.name):
-            to = out / p.relative_to(folder)
-            to.parent.mkdir(parents=True, exist_ok=True)
-            to.unlink(missing_ok=True)
-            if mode == "symlink":
-                to.symlink_to(p.resolve())
-            else:
-                shutil.copy2(p, to)
-            staged.append(to)
-    return staged
-
-
-def write_sidecars(bucket: Path, label: str, batches: list[dict]) -> None:
-    """What a bucket was staged from, and the size and hash of each of its files."""
-    sinks.write_json(bucket / "source_versions.json", {"snapshot_label": label, "generated_at": now(), "batches": batches})
-    own = [p for p in _below(bucket) if p.name not in ("sha256_manifest.tsv", "fetch.log")]
-    sinks.sha256_manifest(own, bucket, bucket / "sha256_manifest.tsv")
-
-
-def stage_archive(spark: SparkSession, root: str | Path, raw: str | Path, label: str, mode: str = "copy", allow_missing_crossref: bool = False) -> dict:
-    """A raw snapshot from a vendor archive: works and index files as they are, notices extracted, sidecars for each bucket."""
+            shutil.copy2(p, to)
+    return len(sources)
+
+
+def write_sidecars(bucket: Path, label: str, taken: list[dict]) -> None:
+    """What a bucket was made from, and the size and hash of each of its files."""
+    sinks.write_json(bucket / SIDECARS[0], {"label": label, "at": now(), "taken": taken})
+    sinks.sha256_manifest([p for p in _below(bucket) if p.name not in (SIDECARS[1], "fetch.log")], bucket, bucket / SIDECARS[1])
+
+
+def stage_archive(spark: SparkSession, root: str | Path, raw: str | Path, label: str, mode: str = "copy", open_data_only: bool = False) -> dict[str, int]:
+    """A raw snapshot from a vendor archive, part by part; returns what each part gave: notice rows, or files. Parts that need not be there give nothing."""
     if mode not in ("copy", "symlink"):
         raise ValueError("mode is copy or symlink")
     root, raw, end = Path(root), Path(raw), freeze_end(label)
-    period = f"{end:%Y-%m}"
-    works_at, notices_at, index_at = (raw / b for b in ("openalex", "official_notices", "pubmed"))
-    works = _stage(root / "openalex" / period, lambda n: n.endswith(".gz") or n in OPENALEX_EXTRAS, works_at, mode)
-    if not any(p.name.endswith(".gz") for p in works):
-        raise FileNotFoundError(f"no gzip shards below {root / 'openalex' / period}")
-    crossref = root / "crossref" / period
-    archive = files.first_match([p.name for p in _below(crossref)], ["all.json.tar.gz"])
-    if archive is None and not allow_missing_crossref:
-        raise FileNotFoundError(f"no record archive below {crossref}")
-    batches, counts = [], {"crossref": 0}
-    if archive is not None:
-        at = next(p for p in _below(crossref) if p.name == archive)
-        counts["crossref"] = write_notices(archive_notices(spark, f"file://{at.resolve()}", label), f"file://{(notices_at / f'crossref_updates_{period}').resolve()}")
-        batches.append({"source_name": "Crossref Metadata Plus", "vendor_path": str(at), "staged_file_count": counts["crossref"]})
-    folder = latest_retraction_folder(root / "retraction_watch", end)
-    names = {p.name: p for p in _below(folder)} if folder else {}
-    csv = files.first_match(list(names), ["retraction_watch.csv", "retraction_watch.csv.gz", ".csv", ".csv.gz"])
-    if csv is None:
-        raise FileNotFoundError(f"no retraction export at or before {end} below {root / 'retraction_watch'}")
-    counts["retraction_watch"] = write_notices(retraction_notices(spark, f"file://{names[csv].resolve()}", label), f"file://{(notices_at / f'retraction_watch_{folder.name}').resolve()}")
-    batches.append({"source_name": "Retraction Watch", "vendor_path": str(folder), "staged_file_count": counts["retraction_watch"]})
-    xml = lambda n: n.endswith((".xml", ".xml.gz"))
-    baseline, updates = root / "pubmed" / "baseline" / str(end.year), root / "pubmed" / "updatefiles" / period
-    index = _stage(baseline, xml, index_at / "baseline", mode) + _stage(updates, xml, index_at / "updatefiles", mode)
-    write_sidecars(works_at, label, [{"source_name": "OpenAlex works snapshot", "vendor_path": str(root / "openalex" / period), "staged_file_count": len(works)}])
-    write_sidecars(notices_at, label, batches)
-    write_sidecars(index_at, label, [{"source_name": "PubMed baseline + updatefiles", "vendor_path": str(baseline), "update_vendor_path": str(updates), "staged_file_count": len(index)}])
-    return {
-        "snapshot_label": label,
-        "openalex_staged_files": len(works),
-        "crossref_notice_rows": counts["crossref"],
-        "crossref_skipped": archive is None,
-        "retraction_watch_rows": counts["retraction_watch"],
-        "pubmed_staged_files": len(index),
-    }
+    gave: dict[str, int] = {}
+    taken: dict[str, list[dict]] = {p.bucket: [] for p in PARTS}
+    places = {p.name: p.place(root, end) for p in PARTS}
+    for part in PARTS:  # before anything is written
+        optional = part.name == "pubmed_updatefiles" and places[part.name] or open_data_only and part.name == LICENSED  # a month can be without updates
+        if not optional and not part.files(places[part.name]):
+            raise FileNotFoundError(f"{part.name} needs a file like {part.needed} below {root / part.folder(end)}")
+    for part in PARTS:
+        at = places[part.name]
+        found = part.files(at)
+        if not found:
+            continue
+        if part.rows:
+            named = {p.name: p for p in found}
+            best = named[files.first_match(list(named), list(part.prefer))]
+            out = raw / part.bucket / f"{part.name}_{at.name}"
+            gave[part.name] = write_notices(part.rows(spark, f"file://{best.resolve()}", label), f"file://{out.resolve()}")
+        else:
+            found += [p for p in _below(at) if p.name in part.beside and p not in found]
+            gave[part.name] = _put(found, at, raw / part.bucket / part.below, mode == "symlink")
+        taken[part.bucket].append({"part": part.name, "from": str(at), "gave": gave[part.name]})
+    for bucket, rows in taken.items():
+        write_sidecars(raw / bucket, label, rows)
+    return gave
 
 
 #: One example row of each raw bucket, as the normalisers read them.

@@ -221,8 +221,9 @@ class Workflow:
         out = {"articles": canonical.with_history(articles, matched), "official_notices": matched, "orphan_notices": orphans}
         counts = {}
         for name, df in out.items():
-            df.write.mode("overwrite").option("maxRecordsPerFile", sinks.SHARD_ROWS).parquet(self._at("canonical", snapshot_id, name))
-            counts[name] = self.spark.read.parquet(self._at("canonical", snapshot_id, name)).count()
+            order = ["publication_date", "doi"] if name == "articles" else ["doi", "notice_date", "notice_type", "source_name", "source_url"]
+            sinks.write_tables(df, self._at("canonical", snapshot_id, name), order)
+            counts[name] = self.canonical(snapshot_id, name).count()
             self.store.put_artifact(snapshot_id, name, f"canonical/{snapshot_id}/{name}", counts[name])
         counts["duplicate_doi"] = canonical.duplicate_count(works, "doi").first()[0]
         counts["pubmed_joins"] = self.canonical(snapshot_id, "articles").where("pmid != ''").count()
@@ -237,8 +238,21 @@ class Workflow:
         """External signals laid beside the canonical tables; none if there is no such file."""
         return files.source_rows(self.spark, self.root / "canonical" / snapshot_id, "external_signals", SIGNALS)
 
+    def file_mismatches(self, snapshot_id: str) -> DataFrame:
+        """(relative_path, collector_name, recorded_rows, rows, recorded_errors, errors) of files whose normalised or quarantined rows are not as many as were recorded; rows of no registered file have no path."""
+        kinds = "file_id string, relative_path string, collector_name string, recorded_rows long, recorded_errors long"
+        known = [(f["file_id"], f["relative_path"], f["collector_name"], f["parsed_rows"] or 0, f["quarantined_rows"] or 0) for f in self.store.files(snapshot_id)]
+        recorded = self.spark.createDataFrame(known, kinds)
+        found = self.spark.createDataFrame([], "file_id string, rows long, errors long")
+        for collector in sorted({k[2] for k in known}):
+            if (self.root / "normalized" / snapshot_id / collector).is_dir():
+                rows = self.spark.read.parquet(self._at("normalized", snapshot_id, collector))
+                found = found.unionByName(rows.groupBy(F.col("file_id").cast("string").alias("file_id")).agg(F.count_if(F.col("kind") == "normalized").alias("rows"), F.count_if(F.col("kind") == "quarantine").alias("errors")))
+        both = recorded.join(found, "file_id", "full").na.fill(0, ["recorded_rows", "rows", "recorded_errors", "errors"])
+        return both.where((F.col("recorded_rows") != F.col("rows")) | (F.col("recorded_errors") != F.col("errors"))).select("relative_path", "collector_name", "recorded_rows", "rows", "recorded_errors", "errors")
+
     def validate(self, snapshot_id: str) -> dict:
-        """Broken promises of the canonical snapshot, all written below its folder and counted by rule, and recorded counts that do not hold."""
+        """Broken promises of the canonical snapshot, all written below its folder and counted by rule; recorded counts that do not hold, of tables and of files; and raw files that are no longer as registered."""
         day = self.store.snapshot(snapshot_id)["snapshot_date"]
         at = self._at("canonical", snapshot_id, "violations")
         splits.validate_snapshot(self.canonical(snapshot_id, "articles"), self.canonical(snapshot_id, "official_notices"), day).write.mode("overwrite").parquet(at)
@@ -251,6 +265,14 @@ class Workflow:
         else:
             recorded = json.loads(summary.read_text())
             wrong += [f"summary:{k}" for k in ("articles", "official_notices", "orphan_notices") if recorded.get(k) != actual.get(k)]
+        files_at = self._at("canonical", snapshot_id, "file_mismatches")
+        self.file_mismatches(snapshot_id).write.mode("overwrite").parquet(files_at)
+        unlike = self.spark.read.parquet(files_at)
+        wrong += [f"file:{r.relative_path or 'not registered'}" for r in unlike.orderBy("relative_path").limit(20).collect()]  # a sample for the message, all are written
+        try:
+            self.assert_frozen(snapshot_id)
+        except manifest.SnapshotChanged as e:
+            wrong.append(f"frozen:{e}")
         return {"passed": not rules and not wrong, "violations": rules, "mismatches": wrong}
 
     # release
@@ -308,6 +330,11 @@ class Workflow:
                 | {"scan": {f"top_{x['percent']:g}pct": {"k": x["k"], "precision": round(x["precision"], 4), "recall": round(x["recall"], 4)} for x in sorted(own(scan, r), key=lambda x: x["percent"])}}
             )
         sinks.write_json(self.root / "release" / f"{name}.json", out)
+        points = metrics.at_k(scores, by, [0.5, 1.0, 2.0, *range(5, 101, 5)]).collect()  # a few numbers for each run
+        for split in split_names:
+            at = self.root / "release" / "curves"
+            sinks.write_text(at / f"{split}_precision_recall.svg", report.precision_recall_svg([x.asDict() for x in points if x.split == split]))
+            sinks.write_text(at / f"{split}_calibration.svg", report.calibration_svg([x.asDict() for x in curve if x.split == split]))
         return out
 
     @staticmethod
@@ -369,7 +396,8 @@ class Workflow:
         return summary["rows_written"]
 
     def build_site(self, summary: dict) -> int:
-        """Pages for the publishable records; the number of pages is the number of rows that reach the driver."""
+        """Pages for the publishable records; the number of pages is the number of rows that reach the driver. What curators alone see goes to the release's folder, not to the site's."""
+        sinks.export_curation_queue(self.records(), self._at("release", "curation_queue"))
         public = records.public_rows(self.records()).select("doi", "internal_id", "title", "venue", "publication_year", "notice_status", "public_summary", F.transform("provenance", lambda e: e.withField("source_url", S.safe_href(e["source_url"]))).alias("provenance"))
         return report.build_site([r.asDict(recursive=True) for r in public.toLocalIterator()], self.root / "site", summary)
 

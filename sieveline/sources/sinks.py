@@ -7,9 +7,10 @@ import json
 import os
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
+from ..operators.ranks import ranked
 from ..operators.records import flat_rows, release_summary, summary_breakdown
 
 SHARD_ROWS = 100_000
@@ -33,12 +34,25 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.select(*sorted(df.columns)).write.mode("overwrite").option("compression", "gzip").option("ignoreNullFields", False).json(path)
 
 
+def _sharded(df: DataFrame, order: list[str], rows: int) -> DataFrameWriter:
+    """A writer of globally sorted files of exactly `rows` rows but the last.
+
+    Rows are numbered over the whole order, and ranges of whole shards are tasks, so files end where shards do.
+    """
+    numbered = ranked(df, [], [F.asc_nulls_first(c) for c in order], rank="_row")
+    shard = F.floor((F.col("_row") - 1) / rows)
+    ranges = numbered.withColumn("_shard", shard).repartitionByRange("_shard").sortWithinPartitions("_row").drop("_row", "_shard")
+    return ranges.write.mode("overwrite").option("maxRecordsPerFile", rows)
+
+
 def write_shards(df: DataFrame, path: str, order: list[str], rows: int = SHARD_ROWS) -> None:
-    """Globally sorted JSON-line shards of at most `rows` rows; what was there before goes."""
-    n = df.count()
-    parts = max(1, -(-n // rows))
-    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    ranged.write.mode("overwrite").option("compression", "gzip").option("maxRecordsPerFile", rows).json(path)
+    """Globally sorted JSON-line shards of exactly `rows` rows but the last; what was there before goes."""
+    _sharded(df, order, rows).option("compression", "gzip").json(path)
+
+
+def write_tables(df: DataFrame, path: str, order: list[str], rows: int = SHARD_ROWS) -> None:
+    """The same as Parquet."""
+    _sharded(df, order, rows).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:

@@ -60,16 +60,16 @@ def test_stage_and_check(spark, tmp_path):
     write_archive(root)
     assert vendor.check_archive(root, LABEL)["passed"]
     got = vendor.stage_archive(spark, root, raw, LABEL, mode="symlink")
-    assert got == {"snapshot_label": LABEL, "openalex_staged_files": 1, "crossref_notice_rows": 2, "crossref_skipped": False, "retraction_watch_rows": 1, "pubmed_staged_files": 2}
-    rows = files.csv_rows(spark, f"file://{raw}/official_notices/crossref_updates_2024-02").collect()
+    assert got == {"openalex": 1, "crossref": 2, "retraction_watch": 1, "pubmed_baseline": 1, "pubmed_updatefiles": 1}
+    rows = files.csv_rows(spark, f"file://{raw}/official_notices/crossref_2024-02").collect()
     assert [(r.doi, r.notice_type, r.notice_date, r.source_name, r.rights_status) for r in rows] == [("10.5/a", "retraction", "2024-01-05", "Crossref Metadata Plus", "metadata_only"), ("10.9/n", "major_correction", "2024-02-29", "Crossref Metadata Plus", "metadata_only")]
-    assert "part_0.gz" in (raw / "openalex" / "sha256_manifest.tsv").read_text() and json.loads((raw / "pubmed" / "source_versions.json").read_text())["snapshot_label"] == LABEL
+    assert "part_0.gz" in (raw / "openalex" / "sha256_manifest.tsv").read_text() and json.loads((raw / "pubmed" / "source_versions.json").read_text())["label"] == LABEL
     w = Workflow(spark, tmp_path / "data")
     w.register("v", str(raw))
     assert w.ingest("v", "local_notice_export")["normalized"] == 3 and w.ingest("v", "openalex_bulk")["normalized"] == 1
     shutil.rmtree(root / "crossref")
-    assert [c["reason"] for c in vendor.check_archive(root, LABEL)["checks"] if not c["passed"]] == ["missing_directory"]
-    assert vendor.check_archive(root, LABEL, allow_missing_crossref=True)["passed"]
+    assert vendor.check_archive(root, LABEL)["problems"] == {"crossref": ["folder"]}
+    assert vendor.check_archive(root, LABEL, open_data_only=True)["passed"]
     with pytest.raises(FileNotFoundError):
         vendor.stage_archive(spark, root, raw, LABEL)
     (root / "pubmed/baseline/2024/source_versions.json").unlink()

@@ -52,6 +52,15 @@ def test_snapshot_to_release(spark, tmp_path):
     assert (a["10.5/second"].author_history_signal_count, a["10.5/second"].journal_history_signal_count, a["10.5/first"].author_history_signal_count) == (1, 1, 0)
     assert a["10.5/third"].task_a_date_bucket == "noisy_date" and a["10.5/fourth"].subfield == "biomedicine" and a["10.5/fourth"].is_pubmed_indexed
     assert w.validate("s1") == {"passed": True, "violations": {}, "mismatches": []}
+    assert w.file_mismatches("s1").collect() == []
+    (lost,) = (tmp_path / "data/normalized/s1/pubmed_index").glob("file_id=*")
+    lost.rename(lost.with_name("file_id=other"))
+    assert {(r.relative_path, r.recorded_rows, r.rows) for r in w.file_mismatches("s1").collect()} == {("pubmed/pubmed.xml", 1, 0), (None, 0, 1)}
+    (raw / "pubmed" / "stray.jsonl").write_text("{}")
+    got = w.validate("s1")
+    assert not got["passed"] and got["mismatches"][:2] == ["file:not registered", "file:pubmed/pubmed.xml"] and "frozen:" in got["mismatches"][2]
+    (raw / "pubmed" / "stray.jsonl").unlink()
+    lost.with_name("file_id=other").rename(lost)
     assert {(r.error_code, r.line_number) for r in w.row_errors("s1", "openalex_bulk").collect()} == {("missing_doi", 6), ("bad_json", 7)}
     summary = w.build_core(w.canonical("s1", "articles"), w.canonical("s1", "official_notices"))
     assert summary["record_count"] == 4 and summary["auto_publish_count"] == 2 and w.audit() == 0
@@ -71,6 +80,13 @@ def test_demo_runs_all_stages(spark, tmp_path):
     text = Workflow(spark, tmp_path).demo(a, n, s)
     assert "0 violations." in text and "| fusion |" in text and "task_b_accuracy" in text
     assert "image_issue" not in (tmp_path / "site" / "records.json").read_text()
+    queue = spark.read.json(f"file://{tmp_path}/release/curation_queue").collect()
+    assert queue and all("image_issue" in r.extension_tags for r in queue) and not any("curation" in p.name for p in (tmp_path / "site").rglob("*"))
+    for kind in ("precision_recall", "calibration"):
+        for split in ("task_a_12m", "task_a_36m", "task_a_12m_venue_holdout"):
+            svg = tmp_path / "release" / "curves" / f"{split}_{kind}.svg"
+            assert not svg.exists() or {"metadata", "text", "fusion"} <= set(ET.fromstring(svg.read_text()).itertext())
+        assert (tmp_path / "release" / "curves" / f"task_a_12m_{kind}.svg").exists()
 
 
 def test_report_parts():
