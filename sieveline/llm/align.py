@@ -12,6 +12,7 @@ import hashlib
 from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from .common import written
 from .tokenbin import _byte_alphabet
 
 #: Units that a Python worker keeps; the store is emptied between texts when it is full.
-CACHE_UNITS = 500_000
+CACHE_UNITS = 800_000
 #: With no more id pairs than this in the corpus (18 bytes each), tasks look counts up in a table that is sent to them; with more, they meet by a join.
 LOOKUP_PAIRS = 1 << 21
 
@@ -104,25 +105,27 @@ class Aligner:
         if not _PLAIN.fullmatch(unit):
             return self.a.encode(unit, add_special_tokens=False).ids
         out = []
-        for piece in self.split.findall(unit):
+        # most units are a space and letters, one piece
+        for piece in (unit,) if unit[0] == " " and unit[1:].isalpha() else self.split.findall(unit):
             ids = self.pieces.get(piece)
             if ids is None:
-                ids = self.pieces[piece] = [t.id for t in self.a.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))]
+                ids = [t.id for t in self.a.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))]
+                if piece is not unit:  # which is kept as it is
+                    self.pieces[piece] = ids
             out += ids
         return out
 
     def aligned(self, a: list[int], b: list[int], data: bytes) -> tuple[str, list[int], int] | None:
         """Groups as text, link codes and their number; None where either's joined bytes are not the text's."""
-        x, y = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(x) != data or b"".join(y) != data or not a or not b:
+        a_bytes, b_bytes, a_text, b_text = self.a_bytes, self.b_bytes, self.a_text, self.b_text
+        if not a or not b or b"".join([a_bytes[i] for i in a]) != data or b"".join([b_bytes[i] for i in b]) != data:
             return None
         if len(a) == 1 or len(b) == 1:
-            groups = [(len(a), len(b))]
-        else:
-            groups = leaf_groups(_ends(x), _ends(y))
+            return f"{','.join([a_text[k] for k in a])}|{','.join([b_text[k] for k in b])}", [a[-1] * self.n_b + b[-1]], 1
+        groups = leaf_groups(list(accumulate([len(a_bytes[i]) for i in a])), list(accumulate([len(b_bytes[i]) for i in b])))
         texts, codes, i, j = [], [], 0, 0
         for i1, j1 in groups:
-            texts.append(",".join([self.a_text[k] for k in a[i:i1]]) + "|" + ",".join([self.b_text[k] for k in b[j:j1]]))
+            texts.append(f"{','.join([a_text[k] for k in a[i:i1]])}|{','.join([b_text[k] for k in b[j:j1]])}")
             codes.append(a[i1 - 1] * self.n_b + b[j1 - 1])
             i, j = i1, j1
         return ";".join(texts), codes, len(groups)
@@ -155,10 +158,11 @@ class Aligner:
         if len(self.units) > self.capacity:
             self._empty()
         units = _UNITS.findall(whole)
-        new = [u for u in dict.fromkeys(units) if u not in self.units]
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self.units.__getitem__, units), np.int64, len(units))
+        at = list(map(self.units.get, units))
+        if None in at:
+            self._learn(list(dict.fromkeys([u for u, k in zip(units, at) if k is None])))
+            at = list(map(self.units.__getitem__, units))
+        at = np.array(at, np.int64)
         groups = np.frombuffer(self.n_groups, np.int32)[at]
         if (groups < 0).any():
             return self._whole(text)
@@ -176,14 +180,6 @@ class Aligner:
         return found and (len(a), len(b), found[2], found[0], np.array(found[1], np.int64))
 
 
-def _ends(parts: list[bytes]) -> list[int]:
-    out, at = [], 0
-    for p in parts:
-        at += len(p)
-        out.append(at)
-    return out
-
-
 @functools.lru_cache(maxsize=1)
 def aligner_for(path_a: str, path_b: str) -> Aligner:
     """One aligner in each Python worker, so that what it knows of units outlives a task."""
