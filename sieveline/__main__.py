@@ -25,6 +25,7 @@ def main(argv: list[str] | None = None) -> int:
             s.add_argument("--collector", required=True)
             s.add_argument("--early-scope", action="store_true")
             s.add_argument("--allowlist", default=None)  # identifiers that pass the score test, one a line
+            s.add_argument("--progress-seconds", type=float, default=30.0)  # between signs of life; 0 for none
         if verb in ("ingest-snapshot", "materialize-canonical"):
             s.add_argument("--trust-registered", action="store_true")
     for verb in ("build-splits", "audit-leakage", "train-task-a", "train-task-b", "make-adjudication-set", "build-site", "build-report", "queries"):
@@ -63,7 +64,7 @@ def main(argv: list[str] | None = None) -> int:
     from .plans import catalog, report, vendor
     from .plans.workflow import Workflow
     from .schemas import SNAPSHOT_DATE
-    from .sources import files
+    from .sources import files, places
     from .sources.sinks import summary_payload, write_text
 
     if a.verb == "queries":
@@ -83,7 +84,7 @@ def main(argv: list[str] | None = None) -> int:
         out = {"files": w.register(a.snapshot_id, a.raw_root, day, label=a.label)}
     elif a.verb == "ingest-snapshot":
         allowed = files.allowlist(w.spark, a.allowlist) if a.allowlist else None
-        out = w.ingest(a.snapshot_id, a.collector, a.early_scope, allowed, a.trust_registered, progress=lambda event: print("ingest_progress", json.dumps(event), file=sys.stderr))
+        out = w.ingest(a.snapshot_id, a.collector, a.early_scope, allowed, a.trust_registered, progress=lambda event: print("ingest_progress", json.dumps(event), file=sys.stderr, flush=True), every=a.progress_seconds)
     elif a.verb == "materialize-canonical":
         out = w.materialize(a.snapshot_id, a.trust_registered)
     elif a.verb == "validate-snapshot":
@@ -130,7 +131,7 @@ def main(argv: list[str] | None = None) -> int:
         write_text(at, text)
         out = {"written": str(at)}
     elif a.verb == "demo":
-        source = Path(a.root) / "sources"
+        source = places.join(a.root, "sources")
         vendor.bootstrap_sample(source)
         out = {"report": w.demo(*files.source_bundle(w.spark, source), day)}
     elif a.verb == "build-report":

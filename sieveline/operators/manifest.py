@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources import places
+
 FILES = "snapshot_id string, file_id string, collector_name string, relative_path string, content_sha256 string, size_bytes bigint, parse_status string, parsed_rows bigint, quarantined_rows bigint"
 
 
@@ -15,15 +17,6 @@ FILES = "snapshot_id string, file_id string, collector_name string, relative_pat
 READ_BYTES = 1 << 20
 
 
-def _file_system(root: str):
-    """The file system of a root and the path within it."""
-    from pyarrow import fs as pafs
-
-    if "://" not in root or root.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + root.removeprefix("file:").lstrip("/")
-    return pafs.FileSystem.from_uri(root)
-
-
 def scan_files(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> DataFrame:
     """(relative_path, content_sha256, size_bytes) of files below root with one of the suffixes, in any case, empty ones too.
 
@@ -32,7 +25,7 @@ def scan_files(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> Dat
     """
     from pyarrow import fs as pafs
 
-    files, base = _file_system(root.rstrip("/"))
+    files, base = places.opened(root)
     listed = [f for f in files.get_file_info(pafs.FileSelector(base, recursive=True)) if f.type == pafs.FileType.File and f.path.lower().endswith(suffixes)]
     rows = spark.createDataFrame([(f.path[len(base) :].lstrip("/"), f.size) for f in listed], "relative_path string, size_bytes long")
 
@@ -41,7 +34,7 @@ def scan_files(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> Dat
 
         import pyarrow as pa
 
-        files, base = _file_system(root.rstrip("/"))
+        files, base = places.opened(root)
         for batch in batches:
             digests = []
             for name in batch.column(0).to_pylist():
@@ -60,6 +53,14 @@ def stable_file_id(snapshot: str, collector: str, path: str) -> str:
     return uuid.uuid5(uuid.NAMESPACE_URL, f"{snapshot}|{collector}|{path}").hex
 
 
+def file_id(snapshot: str, collector: str | Column, path: str | Column) -> Column:
+    """stable_file_id() as a column: a version 5 UUID is a SHA-1 with a version digit and a variant digit."""
+    name = F.concat(F.lit(f"{snapshot}|"), collector, F.lit("|"), path)
+    h = F.sha1(F.concat(F.unhex(F.lit(uuid.NAMESPACE_URL.hex)), F.encode(name, "UTF-8")))
+    variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab" * 4)
+    return F.concat(F.substring(h, 1, 12), F.lit("5"), F.substring(h, 14, 3), variant, F.substring(h, 18, 15))
+
+
 def snapshot_diff(registered: DataFrame, on_disk: DataFrame, key: str, value: str) -> DataFrame:
     """(key, state) of what differs: missing, added or modified."""
     a, b = registered.select(key, F.col(value).alias("_old"), F.lit(1).alias("_a")), on_disk.select(key, F.col(value).alias("_new"), F.lit(1).alias("_b"))
@@ -79,8 +80,12 @@ def assert_frozen(registered: DataFrame, on_disk: DataFrame) -> None:
 
 def upsert_latest(current: DataFrame, changes: DataFrame, keys: list[str], version: Column) -> DataFrame:
     """Rows of both by key; the highest version stays."""
-    both = current.unionByName(changes)
-    return both.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(version.desc()))).where("_rn = 1").drop("_rn")
+    return latest_version(current.unionByName(changes), keys, version)
+
+
+def latest_version(rows: DataFrame, keys: list[str], version: Column) -> DataFrame:
+    """Of the rows of each key the one with the highest version."""
+    return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(version.desc()))).where("_rn = 1").drop("_rn")
 
 
 def pending_files(files: DataFrame, done: DataFrame, keys: tuple[str, ...] | list[str] = ("content_sha256", "config")) -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import html
 import json
-from pathlib import Path
 
+from ..sources import places
 from ..sources.sinks import write_json, write_text
 
 NOTICE = "Pages list public integrity signals and notices; they are no finding of misconduct."
@@ -118,9 +118,8 @@ def _page(title: str, body: str, depth: int = 0) -> str:
     return f'<!doctype html><html lang="en"><meta charset="utf-8"><title>{html.escape(title)}</title><link rel="stylesheet" href="{up}styles.css"><nav>{links}</nav><main><h1>{html.escape(title)}</h1>{body}<p class="notice">{NOTICE}</p></main></html>\n'
 
 
-def build_site(public: list[dict], out: str | Path, summary: dict) -> int:
+def build_site(public: list[dict], out: str, summary: dict) -> int:
     """Static pages of publishable records (dicts with public evidence and safe links only); pages of records that are gone are removed."""
-    out = Path(out)
     e = lambda x: html.escape(str(x if x is not None else ""))
     label = lambda s: s.replace("_", " ").capitalize()
     public = sorted(public, key=lambda r: (str(r["publication_year"]), r["doi"]))
@@ -130,16 +129,16 @@ def build_site(public: list[dict], out: str | Path, summary: dict) -> int:
         keep.add(f"{r['internal_id']}.html")
         items = "".join(f'<li><a href="{e(s["source_url"])}" rel="noopener">{e(s["source_name"])}</a>, {e(s["event_date"])}: {e(label(s["observed_label"]))}</li>' for s in r["provenance"])
         body = f"<p>{e(r['venue'])}, {e(r['publication_year'])}</p><p>{e(r['public_summary'])}</p><p>{e(label(r['notice_status']))}</p><ul>{items}</ul>"
-        write_text(out / "records" / f"{r['internal_id']}.html", _page(r["title"], body, 1))
+        write_text(f"{out}/records/{r['internal_id']}.html", _page(r["title"], body, 1))
         cards.append(f'<li data-status="{e(r["notice_status"])}" data-text="{e((r["title"] + " " + r["doi"]).lower())}"><a href="records/{e(r["internal_id"])}.html">{e(r["title"])}</a> {e(label(r["notice_status"]))}</li>')
-    for old in (out / "records").glob("*.html"):
-        if old.name not in keep:
-            old.unlink()
+    for old in places.names(places.join(out, "records"), recursive=False):
+        if old.endswith(".html") and old not in keep:
+            places.remove(places.join(out, "records", old))
     options = "".join(f'<option value="{e(s)}">{e(label(s))}</option>' for s in sorted({r["notice_status"] for r in public}))
     script = "const q=document.getElementById('q'),s=document.getElementById('s');function f(){for(const x of document.querySelectorAll('#list li'))x.hidden=!(x.dataset.text.includes(q.value.toLowerCase())&&(!s.value||x.dataset.status===s.value))}q.oninput=s.onchange=f;"
-    write_text(out / "index.html", _page("Records", f'<input id="q" placeholder="Search"><select id="s"><option value="">All</option>{options}</select><ul id="list">{"".join(cards)}</ul><script>{script}</script>'))
-    write_text(out / "policy.html", _page("Policy", "<p>Only records with an official notice are shown. Signals from the community go to curators and are never shown here. Records without a notice are called none known at snapshot.</p>"))
-    write_text(out / "changes.html", _page("Changes", "<ul>" + "".join(f"<li>{e(label(k))}: {e(v)}</li>" for k, v in sorted(summary.items()) if not isinstance(v, dict)) + "</ul>"))
-    write_text(out / "styles.css", "body{font-family:sans-serif;margin:2rem auto;max-width:50rem}nav a{margin-right:1rem}.notice{color:#666;font-size:.9em}li{margin:.3rem 0}\n")
-    write_json(out / "records.json", json.loads(json.dumps(public, default=str)))
+    write_text(f"{out}/index.html", _page("Records", f'<input id="q" placeholder="Search"><select id="s"><option value="">All</option>{options}</select><ul id="list">{"".join(cards)}</ul><script>{script}</script>'))
+    write_text(f"{out}/policy.html", _page("Policy", "<p>Only records with an official notice are shown. Signals from the community go to curators and are never shown here. Records without a notice are called none known at snapshot.</p>"))
+    write_text(f"{out}/changes.html", _page("Changes", "<ul>" + "".join(f"<li>{e(label(k))}: {e(v)}</li>" for k, v in sorted(summary.items()) if not isinstance(v, dict)) + "</ul>"))
+    write_text(f"{out}/styles.css", "body{font-family:sans-serif;margin:2rem auto;max-width:50rem}nav a{margin-right:1rem}.notice{color:#666;font-size:.9em}li{margin:.3rem 0}\n")
+    write_json(f"{out}/records.json", json.loads(json.dumps(public, default=str)))
     return len(public)

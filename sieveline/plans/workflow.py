@@ -1,31 +1,25 @@
 """The stages of a data folder, from raw files to report: each reads what the one before wrote.
 
-Layout below the root: raw/<snapshot>/{openalex,official_notices,pubmed}, normalized/, canonical/, release/, site/,
-and manifest.sqlite3.
+Layout below the root, a local path or a URI: raw/<snapshot>/{openalex,official_notices,pubmed}, normalized/, canonical/,
+release/, site/, and control/ with the Parquet tables of `ledger.py`.
 """
 
 from __future__ import annotations
 
-import gzip
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import canonical, manifest, metrics, models, normalize, records, splits
 from ..operators.ranks import ranked
 from ..schemas import NOTICES, SIGNALS, SNAPSHOT_DATE
-from ..sources import files, sinks
-from . import report
-from .store import Store
-
-COLLECTORS = {
-    "openalex_bulk": ("openalex", (".jsonl", ".gz")),
-    "local_notice_export": ("official_notices", (".jsonl", ".jsonl.gz", ".csv", ".csv.gz")),
-    "pubmed_index": ("pubmed", (".jsonl", ".jsonl.gz", ".csv", ".csv.gz", ".xml", ".xml.gz")),
-}
+from ..sources import files, places, sinks
+from . import collectors, report
+from .heartbeat import Heartbeat
+from .ledger import Ledger
 
 #: Part of the key under which a file counts as done; a change of the parsers changes it.
 PARSER_VERSION = "v2"
@@ -35,51 +29,56 @@ REVIEW_COLUMNS = ("reviewer_a_decision", "reviewer_b_decision", "consensus_decis
 
 class Workflow:
     def __init__(self, spark: SparkSession, root: str | Path):
-        self.spark, self.root = spark, Path(root)
-        self.store = Store(self.root / "manifest.sqlite3")
+        self.spark, self.root = spark, places.uri(root)
+        self.store = Ledger(spark, self.root)
 
     def _at(self, *parts: str) -> str:
-        return "file://" + str(self.root.joinpath(*parts).resolve())
+        return places.join(self.root, *parts)
 
     # raw snapshot
 
     def scan(self, raw_root: str) -> DataFrame:
+        """(relative_path, content_sha256, size_bytes, collector_name) of the raw files of all collectors."""
         out = None
-        for name, (folder, suffixes) in COLLECTORS.items():
-            path = Path(raw_root) / folder
-            if path.is_dir() and any(p.is_file() for p in path.rglob("*")):
-                df = manifest.scan_files(self.spark, f"file://{path.resolve()}", suffixes).withColumn("collector_name", F.lit(name)).withColumn("relative_path", F.concat(F.lit(f"{folder}/"), "relative_path"))
+        for c in collectors.COLLECTORS.values():
+            at = places.join(raw_root, c.folder)
+            if places.names(at):
+                df = manifest.scan_files(self.spark, at, c.suffixes).withColumn("collector_name", F.lit(c.name)).withColumn("relative_path", F.concat(F.lit(f"{c.folder}/"), "relative_path"))
                 out = df if out is None else out.unionByName(df)
         if out is None:
             raise FileNotFoundError(f"no raw files below {raw_root}")
         return out
 
     def register(self, snapshot_id: str, raw_root: str, snapshot_date: str = SNAPSHOT_DATE, family: str = "openalex_notices", label: str = "") -> int:
-        rows = [r.asDict() | {"snapshot_id": snapshot_id, "file_id": manifest.stable_file_id(snapshot_id, r.collector_name, r.relative_path)} for r in self.scan(raw_root).collect()]
-        self.store.register({"snapshot_id": snapshot_id, "raw_root": str(raw_root), "source_family": family, "snapshot_date": snapshot_date, "label": label}, rows)
-        return len(rows)
+        found = self.scan(raw_root)
+        found = found.withColumn("file_id", manifest.file_id(snapshot_id, F.col("collector_name"), F.col("relative_path")))
+        return self.store.register({"snapshot_id": snapshot_id, "raw_root": places.uri(raw_root), "source_family": family, "snapshot_date": snapshot_date, "parser_version": PARSER_VERSION, "label": label}, found)
 
-    def assert_frozen(self, snapshot_id: str) -> None:
+    def _raw_root(self, snapshot_id: str) -> str:
         snap = self.store.snapshot(snapshot_id)
         if snap is None:
             raise KeyError(snapshot_id)
-        have = self.spark.createDataFrame([(f["relative_path"], f["content_sha256"]) for f in self.store.files(snapshot_id)], "relative_path string, content_sha256 string")
-        manifest.assert_frozen(have, self.scan(snap["raw_root"]).select("relative_path", "content_sha256"))
-
-    def _lines(self, snapshot_id: str, collector: str, todo: list[dict]) -> DataFrame:
-        """Raw rows of the files to do as JSON lines; CSV and XML rows are written as objects first. One reader for each format, and for CSV one for each header."""
-        raw = Path(self.store.snapshot(snapshot_id)["raw_root"]).resolve()
-        paths = [raw / f["relative_path"] for f in todo]
-        kind = lambda p: next((k for k in ("csv", "xml") if p.name.lower().endswith((f".{k}", f".{k}.gz"))), "json")
-        of = lambda k: [f"file://{p}" for p in paths if kind(p) == k]
+        return snap["raw_root"]
+
+    def assert_frozen(self, snapshot_id: str) -> None:
+        found = self.scan(self._raw_root(snapshot_id))
+        manifest.assert_frozen(self.store.table("files", snapshot_id), found)
+
+    def _lines(self, snapshot_id: str, todo: DataFrame) -> DataFrame:
+        """Raw rows of the files to do as JSON lines; CSV and XML rows are written as objects first. One reader for each format, and for CSV one for each header.
+
+        The names of the files reach the driver, as Spark's readers take them from there.
+        """
+        raw = self._raw_root(snapshot_id)
+        paths = [places.join(raw, r.relative_path) for r in todo.select("relative_path").orderBy("relative_path").collect()]
+        kind = lambda p: next((k for k in ("csv", "xml") if p.lower().endswith((f".{k}", f".{k}.gz"))), "json")
+        of = lambda k: [p for p in paths if kind(p) == k]
         parts = []
         if of("json"):
             parts.append(files.numbered_lines(self.spark, of("json")))
         heads: dict[str, list[str]] = {}
-        for p in paths:
-            if kind(p) == "csv":
-                with (gzip.open if p.name.lower().endswith(".gz") else open)(p, "rt", encoding="utf-8-sig", errors="replace") as f:
-                    heads.setdefault(f.readline().strip(), []).append(f"file://{p}")
+        for r in files.first_lines(self.spark, of("csv")).orderBy("file").collect() if of("csv") else []:
+            heads.setdefault(r.head, []).append(r.file)
         for same in heads.values():
             rows = files.csv_rows(self.spark, same)
             line = F.to_json(F.struct(*rows.columns))
@@ -92,78 +91,83 @@ class Workflow:
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
-        wanted = self.spark.createDataFrame([(f["relative_path"], f["file_id"]) for f in todo], "relative_path string, file_id string")
-        relative = F.regexp_replace(F.substring_index(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))), str(raw) + "/", -1), "^/+", "")
+        wanted = todo.select("relative_path", "file_id")
+        relative = F.regexp_replace(F.substring_index(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))), places.opened(raw)[1] + "/", -1), "^/+", "")
         # every line belongs to a file that was asked for; one that does not is an error, not a row to leave out
-        placed = out.withColumn("relative_path", relative).join(F.broadcast(wanted), "relative_path", "left")
+        placed = out.withColumn("relative_path", relative).join(wanted, "relative_path", "left")
         file_id = F.when(F.col("file_id").isNull(), F.raise_error(F.concat(F.lit("file is not registered: "), "relative_path"))).otherwise(F.col("file_id"))
         return placed.select(file_id.alias("file_id"), "line_number", "line", F.lit(snapshot_id).alias("snapshot_id"))
 
     def _unregistered(self, snapshot_id: str, collector: str) -> list[str]:
-        raw, (folder, suffixes) = Path(self.store.snapshot(snapshot_id)["raw_root"]), COLLECTORS[collector]
-        have = {f["relative_path"] for f in self.store.files(snapshot_id, collector)}
-        there = {p.relative_to(raw).as_posix() for p in (raw / folder).rglob("*") if p.is_file() and p.name.lower().endswith(suffixes)}
-        return sorted(there - have)
+        """Raw files of a collector that are not registered, 20 of them at most, for a message."""
+        c = collectors.get(collector)
+        there = [(f"{c.folder}/{n}",) for n in places.names(places.join(self._raw_root(snapshot_id), c.folder)) if n.lower().endswith(c.suffixes)]
+        listed = self.spark.createDataFrame(there, "relative_path string")
+        return [r.relative_path for r in listed.join(self.store.files(snapshot_id, collector), "relative_path", "left_anti").orderBy("relative_path").limit(20).collect()]
 
-    def pending(self, snapshot_id: str, collector: str, config: str) -> list[dict]:
+    def pending(self, snapshot_id: str, collector: str, config: str) -> DataFrame:
         """Files that are not done under this configuration, or whose output is gone."""
         rows = self.store.files(snapshot_id, collector)
-        if not rows:
-            return []
-        out = self.root / "normalized" / snapshot_id / collector
-        kept = lambda f: not (f["parsed_rows"] or f["quarantined_rows"]) or any((out / f"file_id={f['file_id']}").glob("*.parquet"))
-        done = [(f["file_id"], f["content_sha256"], f["config"] or "", f["parse_status"]) for f in rows if kept(f)]
-        kinds = "file_id string, content_sha256 string, config string, parse_status string"
-        files_ = self.spark.createDataFrame([(f["file_id"], f["content_sha256"], config, "") for f in rows], kinds).drop("parse_status")
-        left = {r.file_id for r in manifest.pending_files(files_, self.spark.createDataFrame(done, kinds), ["file_id", "content_sha256", "config"]).collect()}
-        return [f for f in rows if f["file_id"] in left]
-
-    def ingest(self, snapshot_id: str, collector: str, early_scope: bool = False, allowed: DataFrame | None = None, trusted: bool = False, progress=None) -> dict:
+        out = self._at("normalized", snapshot_id, collector)
+        kept = [(n.removeprefix("file_id="),) for n in places.folders(out) if n.startswith("file_id=")]
+        there = self.spark.createDataFrame(kept, "file_id string").withColumn("_there", F.lit(True))
+        done = rows.join(there, "file_id", "left").where(F.col("_there") | (F.col("parsed_rows") + F.col("quarantined_rows") == 0)).drop("_there")
+        return manifest.pending_files(rows.drop("config").withColumn("config", F.lit(config)), done, ["file_id", "content_sha256", "config"])
+
+    def ingest(self, snapshot_id: str, collector: str, early_scope: bool = False, allowed: DataFrame | None = None, trusted: bool = False, progress=None, every: float = 30.0) -> dict:
         """Parse files that are not done under this configuration; returns counts by kind.
 
-        The configuration is the parser's version, the scope and the allowlist's contents. progress(event) is told of
-        the start, each file's counts and the end.
+        The configuration is the versions of the parsers, the scope and the allowlist's contents. progress(event) is told
+        of the start, of tasks done every so many seconds, of the rows that the writing pass observed, of each file's
+        counts and of the end; `control/heartbeat.json` keeps the last sign of life. Counts by file are those of the rows
+        written: a pass that lost executors may observe a row twice.
         """
+        source = collectors.get(collector)
         if not trusted:
             self.assert_frozen(snapshot_id)
         if stray := self._unregistered(snapshot_id, collector):
-            raise manifest.SnapshotChanged("not registered: " + ", ".join(stray[:20]))
-        config = f"{PARSER_VERSION},early={early_scope}"
+            raise manifest.SnapshotChanged("not registered: " + ", ".join(stray))
+        config = f"{PARSER_VERSION}{source.version},early={early_scope}"
         if allowed is not None:
             n, total = allowed.select("doi").distinct().agg(F.count("*"), F.sum(F.xxhash64("doi").cast("decimal(38,0)"))).first()
             config += f",allowed={n}:{total}"
         tell = progress or (lambda event: None)
-        todo = self.pending(snapshot_id, collector, config)
-        tell({"event": "start", "collector": collector, "total_files": len(todo)})
-        if not todo:
+        todo = self.pending(snapshot_id, collector, config).select("file_id", "relative_path")
+        n_files = todo.count()
+        tell({"event": "start", "collector": collector, "total_files": n_files})
+        if not n_files:
             return {"files": 0}
         run = self.store.start_run(snapshot_id, "ingest", collector)
+        work = self._at("control", "work", run["run_id"])
         try:
-            lines = self._lines(snapshot_id, collector, todo)
-            parse = {"openalex_bulk": lambda d: normalize.normalize_works(d, early_scope, allowed), "local_notice_export": normalize.normalize_notices, "pubmed_index": normalize.normalize_index_rows}[collector]
-            out = self._at("normalized", snapshot_id, collector)
-            # only the folders of the files of this run are replaced
-            parse(lines).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_id").parquet(out)
-            wanted = self.spark.createDataFrame([(f["file_id"],) for f in todo], "file_id string")
-            done = self.spark.read.parquet(out).join(F.broadcast(wanted), "file_id", "left_semi")
-            counts = normalize.outcome_counts(done).collect()  # a few rows for each file
-            by_file: dict[str, list] = {}
-            for r in counts:
-                by_file.setdefault(r.file_id, []).append(r)
-            for k, f in enumerate(todo, 1):
-                own = by_file.get(f["file_id"], [])
-                errors = {r.code: r.n for r in own if r.kind == "quarantine"}
-                parsed = sum(r.n for r in own if r.kind == "normalized")
-                self.store.parsed(f["file_id"], config, parsed, errors)
-                tell({"event": "file_completed", "collector": collector, "file_index": k, "total_files": len(todo), "path": f["relative_path"], "normalized_rows": parsed, "quarantined_rows": sum(errors.values())})
-            self.store.finish_run(run, "success")
+            with Heartbeat(self.spark, tell, every, self._at("control", "heartbeat.json"), collector=collector, snapshot_id=snapshot_id):
+                todo.write.parquet(f"{work}/todo")
+                todo = self.spark.read.parquet(f"{work}/todo")
+                seen = Observation()
+                kinds = [F.count_if(F.col("kind") == k).alias(k) for k in ("normalized", "quarantine")]
+                rows = source.outcomes(self._lines(snapshot_id, todo), early_scope, allowed).observe(seen, F.count(F.lit(1)).alias("rows"), *kinds)
+                out = self._at("normalized", snapshot_id, collector)
+                # only the folders of the files of this run are replaced
+                rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_id").parquet(out)
+                tell({"event": "written", "collector": collector} | seen.get)
+                done = self.spark.read.parquet(out).withColumn("file_id", F.col("file_id").cast("string")).join(todo, "file_id", "left_semi")
+                normalize.outcome_counts(done).write.parquet(f"{work}/counts")
+                counts = self.spark.read.parquet(f"{work}/counts")
+                parsed = F.sum(F.when(F.col("kind") == "normalized", F.col("n")))
+                errors = F.map_from_entries(F.collect_list(F.when(F.col("kind") == "quarantine", F.struct("code", "n"))))  # an entry for each code
+                results = todo.join(counts.groupBy("file_id").agg(parsed.alias("parsed_rows"), errors.alias("errors")), "file_id", "left")
+                results = results.withColumns({"parsed_rows": F.coalesce("parsed_rows", F.lit(0)), "errors": F.coalesce("errors", F.create_map().cast("map<string, long>")), "snapshot_id": F.lit(snapshot_id), "config": F.lit(config), "parse_status": F.lit("success")})
+                self.store.finish_run(run, "success", results)
+            if progress:
+                for k, r in enumerate(results.orderBy("relative_path").toLocalIterator(), 1):
+                    tell({"event": "file_completed", "collector": collector, "file_index": k, "total_files": n_files, "path": r.relative_path, "normalized_rows": r.parsed_rows, "quarantined_rows": sum(r.errors.values())})
+            totals = {"files": n_files} | {r.kind: r.n for r in counts.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
         except Exception:
             self.store.finish_run(run, "failed")
             tell({"event": "failed", "collector": collector})
             raise
-        totals: dict = {"files": len(todo)}
-        for r in counts:
-            totals[r.kind] = totals.get(r.kind, 0) + r.n
+        finally:
+            places.remove(work)
         tell({"event": "finished", "collector": collector} | totals)
         return totals
 
@@ -174,11 +178,11 @@ class Workflow:
 
     def normalize_sources(self, raw_root: str, out: str) -> dict:
         """Normalised articles, notices and index rows of a raw folder as JSON lines, without a registered snapshot of its own."""
-        snapshot_id = "export-" + manifest.stable_file_id("", "", str(Path(raw_root).resolve()))[:12]
+        snapshot_id = "export-" + manifest.stable_file_id("", "", places.uri(raw_root))[:12]
         self.register(snapshot_id, raw_root)
         counts = {}
         for name, collector in (("articles", "openalex_bulk"), ("official_notices", "local_notice_export"), ("pubmed_index", "pubmed_index")):
-            if self.store.files(snapshot_id, collector):
+            if not self.store.files(snapshot_id, collector).isEmpty():
                 self.ingest(snapshot_id, collector, trusted=True)
                 rows = self.normalized(snapshot_id, collector)
                 sinks.write_json_lines(canonical.merge_articles(rows) if name == "articles" else rows, f"{out}/{name}")
@@ -191,7 +195,7 @@ class Workflow:
         names = ["local_notice_export"] + ["pubmed_index"] * include_pubmed
         found = {}
         for name in names:
-            if self.store.files(snapshot_id, name):
+            if not self.store.files(snapshot_id, name).isEmpty():
                 self.ingest(snapshot_id, name, trusted=True)
                 found[name] = self.normalized(snapshot_id, name)
         counts = {name: df.where("doi <> ''").count() for name, df in found.items()}
@@ -200,8 +204,7 @@ class Workflow:
         return {"doi_count": files.count_lines(self.spark, out), "rows_by_collector": counts, "include_pubmed": include_pubmed}
 
     def normalized(self, snapshot_id: str, collector: str) -> DataFrame | None:
-        path = self.root / "normalized" / snapshot_id / collector
-        if not path.is_dir():
+        if not places.folders(self._at("normalized", snapshot_id, collector)):
             return None
         return self.spark.read.parquet(self._at("normalized", snapshot_id, collector)).where("kind = 'normalized'").select("row.*")
 
@@ -224,11 +227,12 @@ class Workflow:
             order = ["publication_date", "doi"] if name == "articles" else ["doi", "notice_date", "notice_type", "source_name", "source_url"]
             sinks.write_tables(df, self._at("canonical", snapshot_id, name), order)
             counts[name] = self.canonical(snapshot_id, name).count()
-            self.store.put_artifact(snapshot_id, name, f"canonical/{snapshot_id}/{name}", counts[name])
+        # what an earlier run made under these kinds goes
+        self.store.replace_artifacts(snapshot_id, {k: {f"canonical/{snapshot_id}/{k}": n} for k, n in counts.items()})
         counts["duplicate_doi"] = canonical.duplicate_count(works, "doi").first()[0]
         counts["pubmed_joins"] = self.canonical(snapshot_id, "articles").where("pmid != ''").count()
         row = manifest.collection_summary(self.canonical(snapshot_id, "articles")).first().asDict()
-        sinks.write_json(self.root / "canonical" / snapshot_id / "collection_summary.json", counts | row | {"errors": self.store.error_counts(snapshot_id)})
+        sinks.write_json(self._at("canonical", snapshot_id, "collection_summary.json"), counts | row | {"errors": self.store.error_counts(snapshot_id)})
         return counts
 
     def canonical(self, snapshot_id: str, name: str) -> DataFrame:
@@ -236,17 +240,16 @@ class Workflow:
 
     def signals(self, snapshot_id: str) -> DataFrame:
         """External signals laid beside the canonical tables; none if there is no such file."""
-        return files.source_rows(self.spark, self.root / "canonical" / snapshot_id, "external_signals", SIGNALS)
+        return files.source_rows(self.spark, self._at("canonical", snapshot_id), "external_signals", SIGNALS)
 
     def file_mismatches(self, snapshot_id: str) -> DataFrame:
         """(relative_path, collector_name, recorded_rows, rows, recorded_errors, errors) of files whose normalised or quarantined rows are not as many as were recorded; rows of no registered file have no path."""
-        kinds = "file_id string, relative_path string, collector_name string, recorded_rows long, recorded_errors long"
-        known = [(f["file_id"], f["relative_path"], f["collector_name"], f["parsed_rows"] or 0, f["quarantined_rows"] or 0) for f in self.store.files(snapshot_id)]
-        recorded = self.spark.createDataFrame(known, kinds)
+        recorded = self.store.files(snapshot_id).select("file_id", "relative_path", "collector_name", F.col("parsed_rows").alias("recorded_rows"), F.col("quarantined_rows").alias("recorded_errors"))
         found = self.spark.createDataFrame([], "file_id string, rows long, errors long")
-        for collector in sorted({k[2] for k in known}):
-            if (self.root / "normalized" / snapshot_id / collector).is_dir():
-                rows = self.spark.read.parquet(self._at("normalized", snapshot_id, collector))
+        for collector in sorted(collectors.COLLECTORS):
+            at = self._at("normalized", snapshot_id, collector)
+            if places.folders(at):
+                rows = self.spark.read.parquet(at)
                 found = found.unionByName(rows.groupBy(F.col("file_id").cast("string").alias("file_id")).agg(F.count_if(F.col("kind") == "normalized").alias("rows"), F.count_if(F.col("kind") == "quarantine").alias("errors")))
         both = recorded.join(found, "file_id", "full").na.fill(0, ["recorded_rows", "rows", "recorded_errors", "errors"])
         return both.where((F.col("recorded_rows") != F.col("rows")) | (F.col("recorded_errors") != F.col("errors"))).select("relative_path", "collector_name", "recorded_rows", "rows", "recorded_errors", "errors")
@@ -257,13 +260,14 @@ class Workflow:
         at = self._at("canonical", snapshot_id, "violations")
         splits.validate_snapshot(self.canonical(snapshot_id, "articles"), self.canonical(snapshot_id, "official_notices"), day).write.mode("overwrite").parquet(at)
         rules = {r.rule: r["count"] for r in self.spark.read.parquet(at).groupBy("rule").count().collect()}
-        actual = {a["kind"]: self.canonical(snapshot_id, a["kind"]).count() for a in self.store.artifacts(snapshot_id)}
-        wrong = [f"row_count:{a['kind']}" for a in self.store.artifacts(snapshot_id) if actual[a["kind"]] != a["row_count"]]
-        summary = self.root / "canonical" / snapshot_id / "collection_summary.json"
-        if not summary.exists():
+        made = {a.kind: a.row_count for a in self.store.artifacts(snapshot_id).collect()}  # a row for each table
+        actual = {kind: self.canonical(snapshot_id, kind).count() for kind in made}
+        wrong = [f"row_count:{kind}" for kind, n in made.items() if actual[kind] != n]
+        summary = self._at("canonical", snapshot_id, "collection_summary.json")
+        if not places.exists(summary):
             wrong.append("summary:missing")
         else:
-            recorded = json.loads(summary.read_text())
+            recorded = json.loads(places.read_text(summary))
             wrong += [f"summary:{k}" for k in ("articles", "official_notices", "orphan_notices") if recorded.get(k) != actual.get(k)]
         files_at = self._at("canonical", snapshot_id, "file_mismatches")
         self.file_mismatches(snapshot_id).write.mode("overwrite").parquet(files_at)
@@ -329,12 +333,12 @@ class Workflow:
                 | {"calibration_curve": sorted(({k: x[k] for k in ("bin", "n", "mean_score", "positive_rate")} for x in own(curve, r)), key=lambda x: x["bin"])}
                 | {"scan": {f"top_{x['percent']:g}pct": {"k": x["k"], "precision": round(x["precision"], 4), "recall": round(x["recall"], 4)} for x in sorted(own(scan, r), key=lambda x: x["percent"])}}
             )
-        sinks.write_json(self.root / "release" / f"{name}.json", out)
+        sinks.write_json(self._at("release", f"{name}.json"), out)
         points = metrics.at_k(scores, by, [0.5, 1.0, 2.0, *range(5, 101, 5)]).collect()  # a few numbers for each run
         for split in split_names:
-            at = self.root / "release" / "curves"
-            sinks.write_text(at / f"{split}_precision_recall.svg", report.precision_recall_svg([x.asDict() for x in points if x.split == split]))
-            sinks.write_text(at / f"{split}_calibration.svg", report.calibration_svg([x.asDict() for x in curve if x.split == split]))
+            at = self._at("release", "curves")
+            sinks.write_text(f"{at}/{split}_precision_recall.svg", report.precision_recall_svg([x.asDict() for x in points if x.split == split]))
+            sinks.write_text(f"{at}/{split}_calibration.svg", report.calibration_svg([x.asDict() for x in curve if x.split == split]))
         return out
 
     @staticmethod
@@ -391,20 +395,20 @@ class Workflow:
         written = files.csv_rows(self.spark, at)
         strata = {r.stratum: r.n for r in splits.strata_counts(written, ["notice_status", "subfield"]).collect()}
         summary = {"requested_sample_size": sample, "rows_written": sum(strata.values()), "coverage_complete": sum(strata.values()) >= sample, "strata_counts": strata}
-        sinks.write_json(self.root / "release" / "adjudication_summary.json", summary)
-        sinks.write_text(self.root / "release" / "adjudication_protocol.md", report.protocol(summary, REVIEW_COLUMNS))
+        sinks.write_json(self._at("release", "adjudication_summary.json"), summary)
+        sinks.write_text(self._at("release", "adjudication_protocol.md"), report.protocol(summary, REVIEW_COLUMNS))
         return summary["rows_written"]
 
     def build_site(self, summary: dict) -> int:
         """Pages for the publishable records; the number of pages is the number of rows that reach the driver. What curators alone see goes to the release's folder, not to the site's."""
         sinks.export_curation_queue(self.records(), self._at("release", "curation_queue"))
         public = records.public_rows(self.records()).select("doi", "internal_id", "title", "venue", "publication_year", "notice_status", "public_summary", F.transform("provenance", lambda e: e.withField("source_url", S.safe_href(e["source_url"]))).alias("provenance"))
-        return report.build_site([r.asDict(recursive=True) for r in public.toLocalIterator()], self.root / "site", summary)
+        return report.build_site([r.asDict(recursive=True) for r in public.toLocalIterator()], self._at("site"), summary)
 
     def build_report(self, summary: dict, sizes: list[dict], violations: int, runs: list[dict]) -> str:
         text = report.markdown_report(summary, sizes, violations, runs)
-        sinks.write_text(self.root / "release" / "report.md", text)
-        sinks.write_json(self.root / "release" / "report.json", {"summary": summary, "splits": sizes, "violations": violations, "runs": runs})
+        sinks.write_text(self._at("release", "report.md"), text)
+        sinks.write_json(self._at("release", "report.json"), {"summary": summary, "splits": sizes, "violations": violations, "runs": runs})
         return text
 
     def demo(self, articles: DataFrame, notices: DataFrame, signals: DataFrame, snapshot_date: str = SNAPSHOT_DATE) -> str:

@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scalars import normalize_doi
 from ..schemas import ARTICLES, NOTICES, SIGNALS
+from . import places
 
 PUBMED_XML = (
     "MedlineCitation struct<PMID: string, Article: struct<Journal: struct<Title: string, ISOAbbreviation: string>, "
@@ -45,11 +46,11 @@ def json_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataF
 
 def source_rows(spark: SparkSession, folder: str | Path, name: str, schema: str) -> DataFrame:
     """Rows of <name>.jsonl, else of <name>.jsonl.gz, else of the shards <name>/*.jsonl.gz, else none."""
-    at = Path(folder).resolve()
-    for p in (at / f"{name}.jsonl", at / f"{name}.jsonl.gz"):
-        if p.exists():
-            return json_lines(spark, f"file://{p}", schema)
-    shards = sorted(f"file://{p}" for p in (at / name).glob("*.jsonl.gz"))
+    for p in (places.join(folder, f"{name}.jsonl"), places.join(folder, f"{name}.jsonl.gz")):
+        if places.exists(p):
+            return json_lines(spark, p, schema)
+    at = places.join(folder, name)
+    shards = [places.join(at, n) for n in places.names(at, recursive=False) if n.endswith(".jsonl.gz")]
     return json_lines(spark, shards, schema) if shards else spark.createDataFrame([], schema)
 
 
@@ -99,6 +100,27 @@ def csv_rows(spark: SparkSession, path: str | list[str], glob: str | None = None
     return (reader.option("pathGlobFilter", glob) if glob else reader).csv(path)
 
 
+def first_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file, head): each file's first line without white space around it or a byte order mark, read by tasks; empty files have an empty one. Bytes that are not UTF-8 are replaced."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        for batch in batches:
+            heads = []
+            for path in batch.column(0).to_pylist():
+                files, at = places.opened(path)
+                head = b""
+                with files.open_input_stream(at, compression="gzip" if path.lower().endswith(".gz") else None) as f:
+                    while b"\n" not in head and (block := f.read(1 << 16)):
+                        head += block
+                heads.append(head.split(b"\n", 1)[0].decode("utf-8-sig", errors="replace").strip())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(heads, pa.string())], names=["file", "head"])
+
+    rows = spark.createDataFrame([(p,) for p in paths], "file string")
+    return rows.repartition(max(1, min(len(paths), 4 * spark.sparkContext.defaultParallelism))).mapInArrow(run, "file string, head string")
+
+
 def pubmed_xml(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Index rows of XML article sets: doi, pmid, mesh_terms, keywords, publication_types, journal_title, and error; file and ordinal tell where from."""
     df = spark.read.format("xml").option("rowTag", "PubmedArticle").option("mode", "PERMISSIVE").option("recursiveFileLookup", True).schema(PUBMED_XML).load(path)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 from pathlib import Path
 
 from pyspark.sql import DataFrame, DataFrameWriter
@@ -12,19 +11,11 @@ from pyspark.sql import functions as F
 
 from ..operators.ranks import ranked
 from ..operators.records import flat_rows, release_summary, summary_breakdown
+from .places import write_text
 
 SHARD_ROWS = 100_000
 
 
-def write_text(path: str | Path, text: str) -> None:
-    """Write beside and rename, so that a reader never sees half a file."""
-    path = Path(path)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    part = path.with_name(f".{path.name}.{os.getpid()}.part")
-    part.write_text(text, encoding="utf-8")
-    os.replace(part, path)
-
-
 def write_json(path: str | Path, value) -> None:
     write_text(path, json.dumps(value, indent=2, sort_keys=True, default=str) + "\n")
 
@@ -72,9 +63,7 @@ def export_release(records: DataFrame, path: str) -> dict:
     write_json_lines(records.orderBy("publication_date", "doi"), f"{path}/records")
     write_csv(flat_rows(records), f"{path}/records_csv")
     payload = summary_payload(records)
-    local = path.removeprefix("file://")
-    if "://" not in local:
-        write_json(f"{local}/summary.json", payload)
+    write_json(f"{path}/summary.json", payload)
     return payload
 
 
