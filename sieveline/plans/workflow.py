@@ -114,12 +114,12 @@ class Workflow:
         done = rows.join(there, "file_id", "left").where(F.col("_there") | (F.col("parsed_rows") + F.col("quarantined_rows") == 0)).drop("_there")
         return manifest.pending_files(rows.drop("config").withColumn("config", F.lit(config)), done, ["file_id", "content_sha256", "config"])
 
-    def ingest(self, snapshot_id: str, collector: str, early_scope: bool = False, allowed: DataFrame | None = None, trusted: bool = False, progress=None, every: float = 30.0) -> dict:
+    def ingest(self, snapshot_id: str, collector: str, early_scope: bool = False, allowed: DataFrame | None = None, trusted: bool = False, progress=None, every: float = 0.0) -> dict:
         """Parse files that are not done under this configuration; returns counts by kind.
 
         The configuration is the versions of the parsers, the scope and the allowlist's contents. progress(event) is told
-        of the start, of tasks done every so many seconds, of the rows that the writing pass observed, of each file's
-        counts and of the end; `control/heartbeat.json` keeps the last sign of life. Counts by file are those of the rows
+        of the start, of tasks done every so many seconds (0: never), of each file's counts and of the end, with the rows
+        that the writing pass observed; `control/heartbeat.json` keeps the last sign of life. Counts by file are those of the rows
         written: a pass that lost executors may observe a row twice.
         """
         source = collectors.get(collector)
@@ -149,7 +149,7 @@ class Workflow:
                 out = self._at("normalized", snapshot_id, collector)
                 # only the folders of the files of this run are replaced
                 rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_id").parquet(out)
-                tell({"event": "written", "collector": collector} | seen.get)
+                observed = seen.get
                 done = self.spark.read.parquet(out).withColumn("file_id", F.col("file_id").cast("string")).join(todo, "file_id", "left_semi")
                 normalize.outcome_counts(done).write.parquet(f"{work}/counts")
                 counts = self.spark.read.parquet(f"{work}/counts")
@@ -168,7 +168,7 @@ class Workflow:
             raise
         finally:
             places.remove(work)
-        tell({"event": "finished", "collector": collector} | totals)
+        tell({"event": "finished", "collector": collector, "observed": observed} | totals)
         return totals
 
     def row_errors(self, snapshot_id: str, collector: str) -> DataFrame:

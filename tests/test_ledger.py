@@ -97,7 +97,7 @@ def test_a_collector_of_ones_own_through_a_uri_root(spark, tmp_path, own_collect
     assert w.ingest("s", "grants", progress=events.append, every=0.05) == {"files": 3, "normalized": 2, "quarantine": 1}
     kinds = [e["event"] for e in events]
     assert kinds[0] == "start" and kinds[-1] == "finished" and "heartbeat" in kinds and kinds.count("file_completed") == 3
-    assert next((e["rows"], e["normalized"], e["quarantine"]) for e in events if e["event"] == "written") == (3, 2, 1)
+    assert events[-1]["observed"] == {"rows": 3, "normalized": 2, "quarantine": 1}
     assert {(e["path"], e["normalized_rows"], e["quarantined_rows"]) for e in events if e["event"] == "file_completed"} == {("grants/b.csv", 1, 0), ("grants/deep/a.jsonl", 1, 1), ("grants/empty.jsonl", 0, 0)}
     last = json.loads((tmp_path / "data/control/heartbeat.json").read_text())
     assert last["state"] == "finished" and last["collector"] == "grants" and all(e["tasks_done"] <= e["tasks"] for e in events if e["event"] == "heartbeat")
