@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,13 +11,19 @@ TRUE_WORDS = ("1", "true", "t", "yes", "y")
 FALSE_WORDS = ("0", "false", "f", "no", "n")
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it: a Column that is named twice is two copies, and copies of copies multiply."""
+    return F.get(F.transform(F.array(c), f), 0)
+
+
 def nonblank(c: Column) -> Column:
     """The text, or null where it is blank."""
-    return F.when(F.trim(c.cast("string")) != "", c.cast("string"))
+    return first_nonblank(c)
 
 
 def first_nonblank(*cols: Column) -> Column:
-    return F.coalesce(*[nonblank(c) for c in cols])
+    """The first text that is not blank; each column is named once."""
+    return F.get(F.filter(F.array(*[c.cast("string") for c in cols]), lambda x: F.trim(x) != ""), 0)
 
 
 def strip(c: Column) -> Column:
@@ -43,16 +51,17 @@ def tokenize(c: Column) -> Column:
 
 def coerce_date(c: Column) -> Column:
     """struct(date, precision) of a full date, a year and month, or a year; null where none parses."""
-    s = F.trim(c.cast("string"))
-    full = F.try_to_date(s, "y-M-d")
-    month = F.try_to_date(F.concat(s, F.lit("-01")), "y-M-d")
-    year = F.try_to_date(F.concat(s, F.lit("-01-01")), "y-M-d")
-    made = lambda d, p: F.when(d.isNotNull(), F.struct(d.alias("date"), F.lit(p).alias("precision")))
-    return (
-        F.when(s.rlike(r"^\d{4}$"), made(year, "year_imputed"))
-        .when(s.rlike(r"^\d{4}-\d{2}$"), made(month, "month_imputed"))
-        .when(s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), made(full, "day"))
-    )
+    made = lambda d, p: F.get(F.filter(F.array(F.struct(d.alias("date"), F.lit(p).alias("precision"))), lambda x: x["date"].isNotNull()), 0)
+
+    def parsed(s: Column) -> Column:
+        day = lambda tail: F.try_to_date(F.concat(s, F.lit(tail)), "y-M-d")
+        return (
+            F.when(s.rlike(r"^\d{4}$"), made(day("-01-01"), "year_imputed"))
+            .when(s.rlike(r"^\d{4}-\d{2}$"), made(day("-01"), "month_imputed"))
+            .when(s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), made(day(""), "day"))
+        )
+
+    return bound(F.trim(c.cast("string")), parsed)
 
 
 def coerce_bool(c: Column, default: bool) -> Column:

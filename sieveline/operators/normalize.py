@@ -194,16 +194,18 @@ def _outcome(df: DataFrame, row: Column) -> DataFrame:
     }
     message = F.get(F.map_values(F.map_filter(F.create_map(*[F.lit(x) for kv in messages.items() for x in kv]), lambda k, v: k == F.col("error_code"))), 0)
     bad = F.col("kind") == "quarantine"
-    return df.select(
-        "file_id",
-        "line_number",
-        "kind",
+    outcome = F.struct(
+        F.col("file_id").alias("file_id"),
+        F.col("line_number").alias("line_number"),
+        F.col("kind").alias("kind"),
         F.when(F.col("kind") == "normalized", row).alias("row"),
         F.when(bad, F.col("error_code")).alias("error_code"),
         F.when(bad, message).alias("error_message"),
         F.when(bad, F.substring("line", 1, EXCERPT)).alias("raw_excerpt"),
-        "reason",
+        F.col("reason").alias("reason"),
     )
+    # a row made by explode: a caller's filter on its kind stays above it, where one on columns is pushed down to the line and parses it again for each use
+    return df.select(F.explode(F.array(outcome)).alias("o")).select("o.*")
 
 
 def notice_type(label: Column) -> Column:
@@ -230,13 +232,15 @@ def _field(m: Column, *names: str) -> Column:
 
 def date_parts(text: Column) -> Column:
     """A padded date text from an object with date parts, of three, two or one; other values as they are."""
-    parsed = F.from_json(text, "struct<`date-parts`: array<string>, date_parts: array<string>>")
-    parts = F.coalesce(parsed["date-parts"], parsed["date_parts"])
-    head = F.get(parts, 0)
-    numbers = F.when(head.startswith("["), F.from_json(head, "array<string>")).otherwise(parts)
-    numbers = F.filter(numbers, lambda x: x.isNotNull())
-    year, rest = F.lpad(F.get(numbers, 0), 4, "0"), F.transform(F.slice(numbers, 2, 2), lambda x: F.lpad(x, 2, "0"))
-    return F.when(F.trim(text).startswith("{"), F.when(F.size(numbers) > 0, F.array_join(F.concat(F.array(year), rest), "-"))).otherwise(text)
+
+    def padded(numbers: Column) -> Column:
+        year, rest = F.lpad(F.get(numbers, 0), 4, "0"), F.transform(F.slice(numbers, 2, 2), lambda x: F.lpad(x, 2, "0"))
+        return F.when(F.size(numbers) > 0, F.array_join(F.concat(F.array(year), rest), "-"))
+
+    numbers = lambda parts: F.filter(F.when(F.get(parts, 0).startswith("["), F.from_json(F.get(parts, 0), "array<string>")).otherwise(parts), lambda x: x.isNotNull())
+    named = lambda t: F.from_json(t, "struct<`date-parts`: array<string>, date_parts: array<string>>")
+    parts = lambda t: S.bound(named(t), lambda p: F.coalesce(p["date-parts"], p["date_parts"]))
+    return S.bound(text, lambda t: F.when(F.trim(t).startswith("{"), S.bound(S.bound(parts(t), numbers), padded)).otherwise(t))
 
 
 def notice_date(*maps: Column) -> Column:
@@ -246,12 +250,13 @@ def notice_date(*maps: Column) -> Column:
 
 def notice_url(m: Column, fallback: Column) -> Column:
     nested = F.get_json_object(F.try_element_at(m, F.lit("resource")), "$.primary.URL")
-    return F.coalesce(_field(m, "source_url", "url", "URL"), S.nonblank(nested), F.when(fallback != "", F.concat(F.lit("https://doi.org/"), fallback)), F.lit(""))
+    address = S.bound(fallback, lambda f: F.when(f != "", F.concat(F.lit("https://doi.org/"), f)))
+    return F.coalesce(_field(m, "source_url", "url", "URL"), S.nonblank(nested), address, F.lit(""))
 
 
 def _items(text: Column) -> Column:
     """Objects of a text that is one object or a list, as maps."""
-    listed = F.when(F.trim(text).startswith("["), F.from_json(text, "array<string>")).otherwise(F.array(text))
+    listed = S.bound(text, lambda t: F.when(F.trim(t).startswith("["), F.from_json(t, "array<string>")).otherwise(F.array(t)))
     return F.transform(F.filter(listed, lambda x: F.trim(x).startswith("{")), lambda x: F.from_json(x, _MAP))
 
 
@@ -281,6 +286,7 @@ def normalize_notices(lines: DataFrame) -> DataFrame:
             "relation": F.try_element_at(m, F.lit("relation")),
             "own_doi": S.normalize_doi(_field(m, "doi", "DOI")),
             "fallback_type": notice_type(_field(m, "type", "Type", "subtype")),
+            "page_url": notice_url(m, S.normalize_doi(_field(m, "DOI", "doi"))),
         }
     )
     is_relation = F.coalesce(F.trim("relation").startswith("{"), F.lit(False))
@@ -288,19 +294,17 @@ def normalize_notices(lines: DataFrame) -> DataFrame:
     made = "array<struct<doi: string, notice_type: string, d: struct<date: date, precision: string>, url: string>>"
     empty = F.array().cast(made)
     row = lambda doi, kind, d, url: F.struct(doi.alias("doi"), kind.alias("notice_type"), d.alias("d"), url.alias("url"))
-    page = S.normalize_doi(_field(m, "DOI", "doi"))
     from_relation = F.flatten(
         F.transform(
             F.map_entries(relation),
-            lambda e: F.transform(_items(e["value"]), lambda x: row(S.normalize_doi(_field(x, "id", "DOI", "doi", "identifier")), relation_type(e["key"], F.col("fallback_type")), F.col("d"), notice_url(m, page))),
+            lambda e: F.transform(_items(e["value"]), lambda x: row(S.normalize_doi(_field(x, "id", "DOI", "doi", "identifier")), relation_type(e["key"], F.col("fallback_type")), F.col("d"), F.col("page_url"))),
         )
     )
     updates = F.flatten(F.array(*[F.when(F.trim(F.try_element_at(m, F.lit(k))).startswith("["), _items(F.try_element_at(m, F.lit(k)))).otherwise(F.array().cast(f"array<{_MAP}>")) for k in NOTICE_UPDATES]))
 
     def update(x: Column) -> Column:
-        target = S.normalize_doi(_field(x, "DOI", "doi"))
-        url = F.coalesce(S.nonblank(notice_url(x, target)), notice_url(m, target))
-        return row(F.col("own_doi"), notice_type(_field(x, "label", "type", "update_type", "notice_type")), notice_date(x, m), url)
+        url = S.bound(S.normalize_doi(_field(x, "DOI", "doi")), lambda target: F.coalesce(S.nonblank(notice_url(x, target)), notice_url(m, target)))
+        return row(F.col("own_doi"), notice_type(_field(x, "label", "type", "update_type", "notice_type")), F.coalesce(notice_date(x), F.col("d")), url)
 
     from_update = F.when(F.col("own_doi") != "", F.filter(F.transform(updates, update), lambda x: x["notice_type"].isin(*ALLOWED_NOTICE_TYPES)))
     found = F.concat(
