@@ -38,8 +38,13 @@ def merge_articles(articles: DataFrame) -> DataFrame:
 
 
 def lineage(articles: DataFrame) -> DataFrame:
-    """(doi, _lineage, _n): the sorted distinct lineage of all rows of an identifier, and their number."""
-    return articles.groupBy("doi").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_lineage")))).alias("_lineage"), F.count("*").alias("_n"))
+    """(doi, _lineage, _n): the sorted distinct lineage of all rows of an identifier, and their number.
+
+    Repeats go by grouping before the lists are made: array_distinct() compares every two structs of a list.
+    """
+    steps = articles.select("doi", F.posexplode_outer("source_lineage").alias("pos", "step"))
+    steps = steps.groupBy("doi", "step").agg(F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("rows"))
+    return steps.groupBy("doi").agg(F.sort_array(F.collect_list("step")).alias("_lineage"), F.sum("rows").alias("_n"))
 
 
 def duplicate_count(df: DataFrame, key: str) -> DataFrame:
