@@ -141,13 +141,21 @@ def drawn(sizes: DataFrame, draws: int, step: int = STREAM_DRAWS) -> DataFrame:
 def bootstrap_ci(df: DataFrame, by: list[str], draws: int = 1000, alpha: float = 0.05) -> DataFrame:
     """(by, lo, hi): the percentile interval of the average precision of samples with replacement, from one stream of seed 0.
 
-    Each group's rows, in the order of `ord`, meet the table of what is drawn from so many rows, and all samples of all
-    groups are ranked at once; equal scores are in the order in which they were drawn, as average_precision_list()
-    has them. A group has at most 2**32 rows.
+    All samples of all groups are ranked at once; equal scores are in the order in which they were drawn, as
+    average_precision_list() has them. A group has at most 2**32 rows.
+    """
+    values = average_precision(samples(df, by, draws), [*by, "draw"]).groupBy(*by).agg(F.array_sort(F.collect_list("ap")).alias("v"))  # a number for each draw
+    return values.select(*by, F.get("v", F.lit(int(alpha / 2 * draws))).alias("lo"), F.get("v", F.lit(max(0, int((1 - alpha / 2) * draws) - 1))).alias("hi"))
+
+
+def samples(df: DataFrame, by: list[str], draws: int) -> DataFrame:
+    """(by, draw, label, score, ord): each group's samples; its rows, in the order of `ord`, meet the table of what is drawn from so many rows.
+
+    Both sides are dealt by size and place, with hash tables of the rows. What is drawn looks to the optimiser as small as
+    the table of sizes that it comes from, and would be sent whole through the driver.
     """
     placed = ranked(df, by, [F.asc("ord")], rank="_place").select(*by, "label", "score", (F.col("_place") - 1).alias("at"))
     sizes = df.groupBy(*by).agg(F.count("*").alias("size"))
     placed = placed.join(sizes, by) if by else placed.crossJoin(F.broadcast(sizes))  # one row of sizes
-    samples = drawn(sizes.select("size").where("size > 0").distinct(), draws).join(placed, ["size", "at"]).select(*by, "draw", "label", "score", F.col("pos").alias("ord"))
-    values = average_precision(samples, [*by, "draw"]).groupBy(*by).agg(F.array_sort(F.collect_list("ap")).alias("v"))  # a number for each draw
-    return values.select(*by, F.get("v", F.lit(int(alpha / 2 * draws))).alias("lo"), F.get("v", F.lit(max(0, int((1 - alpha / 2) * draws) - 1))).alias("hi"))
+    rows = drawn(sizes.select("size").where("size > 0").distinct(), draws).join(placed.hint("shuffle_hash"), ["size", "at"])
+    return rows.select(*by, "draw", "label", "score", F.col("pos").alias("ord"))
