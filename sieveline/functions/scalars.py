@@ -45,8 +45,7 @@ def slugify(c: Column) -> Column:
 
 def tokenize(c: Column) -> Column:
     """Lower-cased ASCII alphanumeric words of three characters or more, repeats kept."""
-    clean = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9 ]", " ")
-    return F.filter(F.split(clean, " +"), lambda x: F.length(x) > 2)
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]{3,}"), F.lit(0))
 
 
 def coerce_date(c: Column) -> Column:
