@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranks import cut
 from ..schemas import ALLOWED_NOTICE_TYPES, BANNED_FIELDS, HOLDOUT_FIELDS, TASK_A_FIELDS
 
 #: task name, rows it takes, its label
@@ -66,17 +67,17 @@ def holdout_groups(records: DataFrame, fields: tuple[str, ...] = HOLDOUT_FIELDS)
         for name, cond, label in TASKS
         for f in fields
     ]
-    long = records.select("doi", "publication_date", F.explode(F.array_compact(F.array(*cells))).alias("c")).select("doi", "publication_date", "c.*")
+    long = records.select("doi", "publication_date", F.explode(F.array_compact(F.array(*cells))).alias("c")).select("doi", "publication_date", "c.*").where("holdout_value is not null")
+    first = F.when(F.col("publication_date").isNotNull(), F.struct((-F.unix_date("publication_date")).alias("d"), F.col("doi").alias("i")))
     groups = long.groupBy("task_name", "group_field", "holdout_value").agg(
         F.count("*").alias("n"),
-        F.count_distinct("y").alias("labels"),
+        (F.min("y") != F.max("y")).alias("both"),
         F.max("publication_date").alias("newest"),
+        F.min(first)["i"].alias("head"),
     )
-    newest = long.join(groups.select("task_name", "group_field", "holdout_value", "newest"), ["task_name", "group_field", "holdout_value"])
-    head = newest.where("publication_date = newest").groupBy("task_name", "group_field", "holdout_value").agg(F.min("doi").alias("head"))
     total = Window.partitionBy("task_name", "group_field")
-    fit = groups.join(head, ["task_name", "group_field", "holdout_value"]).withColumn("total", F.sum("n").over(total))
-    fit = fit.where((F.col("n") >= 2) & (F.col("total") - F.col("n") >= 3) & ((F.col("task_name") == "task_b") | (F.col("labels") == 2)))
+    fit = groups.where("head is not null").withColumn("total", F.sum("n").over(total))
+    fit = fit.where((F.col("n") >= 2) & (F.col("total") - F.col("n") >= 3) & ((F.col("task_name") == "task_b") | F.col("both")))
     rn = F.row_number().over(total.orderBy(F.desc("newest"), F.asc("head")))
     return fit.withColumn("rn", rn).where("rn = 1").select("task_name", "group_field", "holdout_value")
 
@@ -84,8 +85,9 @@ def holdout_groups(records: DataFrame, fields: tuple[str, ...] = HOLDOUT_FIELDS)
 def group_splits(records: DataFrame, fields: tuple[str, ...] = HOLDOUT_FIELDS) -> DataFrame:
     """The chosen group is test; the other rows of train and validation years keep their part and those of test years leave.
 
-    A split without training or validation rows is dropped.
+    A split without training or validation rows is dropped. The columns that matter are written once, as five steps read them.
     """
+    records = cut(records.select("doi", "publication_date", "publication_year", *fields, *{cond: F.expr(cond).alias(cond) for _, cond, _ in TASKS if cond != "true"}.values(), *{label: F.col(label) for _, _, label in TASKS if label}.values()))
     picked = holdout_groups(records, fields)
     cells = [F.when(F.expr(cond), F.struct(F.lit(name).alias("task_name"), F.lit(f).alias("group_field"), F.col(f).alias("value"))) for name, cond, _ in TASKS for f in fields]
     long = records.select("doi", "publication_date", "publication_year", F.explode(F.array_compact(F.array(*cells))).alias("c")).select("doi", "publication_date", "publication_year", "c.*")
