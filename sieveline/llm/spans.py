@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bwt import bounded_prefix_classes
-from .common import discard, materialize, utf8, written
+from .common import bucketed, discard, materialize, utf8, written
 from .winnow import anchors, gram_hashes
 
 MIN_BYTES, GRAM = 100, 32
@@ -307,8 +307,8 @@ def _expand(min_bytes: int):
     return run
 
 
-def repeated_spans(rows: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM, combine: int = COMBINE_ROWS, hot: int = HOT_SNIPPETS) -> DataFrame:
-    """(doc_id, v, lo, hi) of rows(doc_id, v, t): byte ranges, which may overlap, that cover just the bytes to remove."""
+def repeated_spans(rows: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM, combine: int = COMBINE_ROWS, hot: int = HOT_SNIPPETS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, v, lo, hi) of rows(doc_id, v, t): byte ranges, which may overlap, that cover just the bytes to remove; and rows, stored in buckets of doc_id and v."""
     grams = min_bytes - gram + 1
     if not 0 < grams < _COPIED:
         raise ValueError("anchors need a gram shorter than min_bytes by less than 127")
@@ -331,12 +331,15 @@ def repeated_spans(rows: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM
     def cut(places: DataFrame) -> DataFrame:
         # rows that repeat as they are stand for one another here
         per = places.withColumn("v", v).groupBy("doc_id", "v").agg(F.collect_list(F.struct("a", "at")).alias("leads"))
-        return rows.join(per, ["doc_id", "v"]).select("doc_id", "t", "leads").mapInArrow(_cut_snippets(min_bytes), "a long, doc_id long, at long, snippet binary")
+        return stored.join(per, ["doc_id", "v"]).select("doc_id", "t", "leads").mapInArrow(_cut_snippets(min_bytes), "a long, doc_id long, at long, snippet binary")
 
     too_many = group(found.where("not is_span").select("a", "s", "doc_id", "at"), hot)
     discard(at)
     del found
     _collect_garbage(spark)
+    # texts are shuffled once, here, and not again by each cut
+    stored = bucketed(rows, "texts", "doc_id", "v")
+    _collect_garbage(spark)
     keys = 1
     while not too_many.isEmpty():
         keys = min(2 * keys, grams)
@@ -351,7 +354,7 @@ def repeated_spans(rows: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM
     _collect_garbage(spark)
     for x in spans:
         shared = shared.union(x)
-    return shared
+    return shared, stored
 
 
 def _collect_garbage(spark) -> None:
@@ -393,8 +396,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     their own, between which the earlier start decides, and none where starts are equal. An empty table gives no
     rows; extra columns are ignored.
     """
-    rows = _versioned(_text_rows(docs, id_col, text_col))
-    spans = repeated_spans(rows, min_bytes, combine=combine, hot=hot).groupBy("doc_id", "v").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans, rows = repeated_spans(_versioned(_text_rows(docs, id_col, text_col)), min_bytes, combine=combine, hot=hot)
+    spans = spans.groupBy("doc_id", "v").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     rows = rows.join(spans, ["doc_id", "v"], "left").select("doc_id", "t", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
