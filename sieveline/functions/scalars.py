@@ -83,13 +83,28 @@ def coerce_list(c: Column) -> Column:
 
 def restore_abstract(c: Column) -> Column:
     """The text of a map from words to their positions; of words at one position the last in the map's order stays."""
-    entries = F.map_entries(c)
-    placed = F.flatten(F.transform(entries, lambda e, i: F.transform(e["value"], lambda p: F.struct(p.alias("p"), (-i).alias("i"), e["key"].alias("w")))))
-    ordered = F.array_sort(placed)
-    # beside each entry the one before it; a lambda that reads `ordered` itself would sort once for each entry
-    before = F.concat(F.slice(F.transform(ordered, lambda x: F.lit(None).cast("int")), 1, 1), F.transform(ordered, lambda x: x["p"].cast("int")))
-    pairs = F.zip_with(ordered, before, lambda x, b: F.struct(x["w"].alias("w"), (x.isNotNull() & ~x["p"].eqNullSafe(b)).alias("first")))
-    return F.coalesce(F.array_join(F.transform(F.filter(pairs, lambda x: x["first"]), lambda x: x["w"]), " "), F.lit(""))
+
+    def joined(m: Column) -> Column:
+        # sort_array compares as compiled, array_sort by a lambda for each pair; what is repeated and zipped needs no lambda a position
+        lists = F.map_values(m)
+        order = F.flatten(F.transform(lists, lambda ps, i: F.array_repeat(-i, F.size(ps))))
+        words = F.flatten(F.transform(F.map_entries(m), lambda e: F.array_repeat(e["key"], F.size(e["value"]))))
+        placed = F.sort_array(F.arrays_zip(F.flatten(lists).alias("p"), order.alias("i"), words.alias("w")))
+        first = bound(placed, lambda o: F.filter(o, lambda x, i: x["p"].isNotNull() & ~F.get(o, i - 1)["p"].eqNullSafe(x["p"])))
+        return F.array_join(first["w"], " ")
+
+    return F.coalesce(bound(c, joined), F.lit(""))
+
+
+def invert_words(words: Column) -> Column:
+    """A map from the words of an array to their positions, from 0 on; null words are left out, and null gives null."""
+    placed = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("p"))))
+
+    def entries(o: Column) -> Column:
+        heads = F.filter(F.transform(o, lambda x, i: i), lambda i: ~F.get(o, i - 1)["w"].eqNullSafe(F.get(o, i)["w"]))
+        return bound(heads, lambda h: F.transform(h, lambda i, k: F.struct(F.get(o, i)["w"], F.slice(o, i + 1, F.coalesce(F.get(h, k + 1), F.size(o)) - i)["p"])))
+
+    return F.map_from_entries(bound(placed, entries))
 
 
 def sigmoid(x: Column) -> Column:

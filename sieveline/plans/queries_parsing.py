@@ -96,10 +96,10 @@ def add_months(spark, d):
     "SELECT doc_id, coalesce(array_to_string(string_split(regexp_replace(trim(text), '\\s+', ' ', 'g'), ' '), ' '), '') AS abstract FROM documents",
 )
 def inverted_abstract(spark, d):
-    docs = read(spark, d, "documents")
-    words = docs.select("doc_id", F.posexplode(F.split(F.regexp_replace(F.trim(F.coalesce("text", F.lit(""))), r"\s+", " "), " ")).alias("p", "w"))
-    inverted = words.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("m"))
-    return inverted.select("doc_id", S.restore_abstract(F.col("m")).alias("abstract"))
+    # rows are dealt first: a file may be one row group, which one task reads
+    docs = read(spark, d, "documents").select("doc_id", "text").repartition("doc_id")
+    words = F.split(F.regexp_replace(F.trim(F.coalesce("text", F.lit(""))), r"\s+", " "), " ")
+    return docs.select("doc_id", S.restore_abstract(S.invert_words(words)).alias("abstract"))
 
 
 @query("json_extract", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
